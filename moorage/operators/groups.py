@@ -44,17 +44,24 @@ def _is_heavy(keys: Sequence[str], null_safe: bool) -> Column:
 
 
 def sliced(
-    df: DataFrame, keys: Sequence[str], order: str, limit: int = GROUP_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    limit: int = GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``slice``: 0 for a group within the limit, else consecutive ranges of ``order``.
 
     ``order`` is a listing position, unique within its group, so a slice holds at
     most ``limit`` rows and slices follow each other in listing order. Also adds
     ``_heavy_rows``, the size of a heavy group. Rows with a NULL key keep slice 0.
+
+    ``counted`` is the table to find the heavy groups in, when ``df`` was derived
+    from it row by row at some cost; it has the same keys and order.
     """
     _require_whole_numbers(df, order)
     first = F.min(order).cast("bigint").alias("_heavy_first")
-    heavy = F.broadcast(heavy_groups(df, keys, limit, first))
+    heavy = F.broadcast(heavy_groups(df if counted is None else counted, keys, limit, first))
     return (
         df.join(heavy, _is_heavy(keys, null_safe=False), "left")
         .withColumn("slice", F.expr(f"coalesce((`{order}` - _heavy_first) div {limit}, 0L)"))
@@ -91,18 +98,24 @@ def _slice_offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: str, limit: int = GROUP_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    limit: int = GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``pos`` (1-based position in the group by ``order``), ``n`` (group size), ``slice``.
 
     Rows shuffle once, on (keys, slice); a heavy group is numbered slice by slice
-    and shifted by the number of rows in its earlier slices.
+    and shifted by the number of rows in its earlier slices. ``counted`` is as in
+    :func:`sliced`.
     """
-    rows = sliced(df, keys, order, limit)
-    offsets = _slice_offsets(rows.select(*keys, "slice", "_heavy_rows"), keys)
+    source = (df if counted is None else counted).select(*keys, order)
+    offsets = _slice_offsets(sliced(source, keys, order, limit), keys)
     within = Window.partitionBy(*keys, "slice")
     return (
-        rows.withColumn("_local", F.row_number().over(within.orderBy(order)).cast("bigint"))
+        sliced(df, keys, order, limit, source)
+        .withColumn("_local", F.row_number().over(within.orderBy(order)).cast("bigint"))
         .withColumn("n", F.coalesce(F.col("_heavy_rows"), F.count(F.lit(1)).over(within)))
         .join(offsets, [*keys, "slice"], "left")
         .withColumn("pos", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0).cast("bigint")))
@@ -116,17 +129,21 @@ def lookup(
     keys: Sequence[str],
     spread: Sequence[str],
     limit: int = GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to ``right``, which has one row per key, even where one key fills ``left``.
 
     The left rows of a heavy key are dealt out by the hash of the ``spread`` columns
     (something that differs from row to row) over rows / limit salts, and that key's
     single right row is repeated once per salt: at most N / limit extra rows in all.
-    A NULL key matches nothing but is spread all the same.
+    A NULL key matches nothing but is spread all the same. ``counted`` is the table
+    to find the heavy keys in, when ``left`` was derived from it at some cost.
     """
     salts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
     heavy = F.broadcast(
-        heavy_groups(left, keys, limit).withColumn("_salts", salts).drop("_heavy_rows")
+        heavy_groups(left if counted is None else counted, keys, limit)
+        .withColumn("_salts", salts)
+        .drop("_heavy_rows")
     )
     heavy_columns = [f"_heavy_{k}" for k in keys] + ["_salts"]
     one = F.lit(1).cast("bigint")

@@ -26,6 +26,10 @@ GCP_SUBNETWORK_SUFFIX = "-sub"
 GCP_FIREWALL_SUFFIX = "-allow-all"
 DEFAULT_NETWORK = "default"
 
+# Five colon-separated parts and the resource; a typed resource is type/id.
+_ARN = r"^arn:(?:[^:]*:){4}"
+_TYPED = _ARN + r"([^/]*)/([^/]*)"
+
 # Ids per delete call.
 BATCH_IDS = 1000
 
@@ -37,15 +41,13 @@ def parse_resource_names(df: DataFrame, column: str = "arn") -> DataFrame:
     between slashes are type and id.
     """
     arn = F.col(column)
-    parts = F.split(arn, ":", 6)
-    pieces = F.split(F.get(parts, F.lit(5)), "/")
-    is_arn = F.coalesce(F.startswith(arn, F.lit("arn:")) & (F.size(parts) == 6), F.lit(False))
-    reason = F.when(~is_arn, "not_an_arn").when(F.size(pieces) < 2, "no_id")
     return df.withColumns(
         {
-            "type": F.when(reason.isNull(), F.get(pieces, F.lit(0))),
-            "id": F.when(reason.isNull(), F.get(pieces, F.lit(1))),
-            "reason": reason,
+            "type": F.when(arn.rlike(_TYPED), F.regexp_extract(arn, _TYPED, 1)),
+            "id": F.when(arn.rlike(_TYPED), F.regexp_extract(arn, _TYPED, 2)),
+            "reason": F.when(~F.coalesce(arn.rlike(_ARN), F.lit(False)), "not_an_arn").when(
+                ~arn.rlike(_TYPED), "no_id"
+            ),
         }
     )
 
@@ -115,10 +117,13 @@ def reconcile_resources(
 
     with_id = desired.withColumn("_id_key", F.nullif(F.col(want_id), F.lit("")))
     by_id = lookup(with_id, first_listed(act_id, "id"), ["_id_key"], [desired_id], limit)
-    with_name = by_id.withColumn(
-        "_name_key", F.when(F.col("_id").isNull(), F.nullif(F.col(want_name), F.lit("")))
+    name = F.nullif(F.col(want_name), F.lit(""))
+    with_name = by_id.withColumn("_name_key", F.when(F.col("_id").isNull(), name))
+    # No name can be tried more often than it is wanted.
+    wanted_names = desired.select(name.alias("_name_key"))
+    both = lookup(
+        with_name, first_listed(act_name, "name"), ["_name_key"], [desired_id], limit, wanted_names
     )
-    both = lookup(with_name, first_listed(act_name, "name"), ["_name_key"], [desired_id], limit)
     match = F.coalesce(F.col("_id"), F.col("_name"))
     action = F.when(match.isNull(), "create")
     if compare:

@@ -168,7 +168,7 @@ def _placed_members(
     rows = members.select(cluster, order, private_ip)
     if clusters is not None:
         rows = lookup(rows, clusters, [cluster], [order], limit)
-    placed = numbered(rows, [cluster], order, limit)
+    placed = numbered(rows, [cluster], order, limit, members)
     together = Window.partitionBy(cluster, "slice")
     few = F.col("n") <= inline_peers
     # Same partitioning as the numbering, so the list costs no further shuffle.
