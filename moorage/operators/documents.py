@@ -102,7 +102,11 @@ def _quoted(value: Column) -> Column:
 
 
 def ini_documents(
-    rows: DataFrame, *, doc_id: str = "doc_id", limit: int = GROUP_ROWS
+    rows: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    limit: int | None = GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, part, text): sections and keys written back as INI text.
 
@@ -112,11 +116,21 @@ def ini_documents(
 
     A document of up to ``limit`` keys is one text, part 0. A larger one is dealt out
     by key over rows / limit parts; each part repeats the section headers it needs,
-    so the parts one after the other are the whole document.
+    so the parts one after the other are the whole document. The keys are counted in
+    ``counted``, when ``rows`` are costly to derive and it has no fewer per document;
+    not at all with a ``limit`` of None, for documents known to be small.
     """
     zero = F.lit(0).cast("bigint")
-    parts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
-    heavy = F.broadcast(heavy_groups(rows, [doc_id], limit).withColumn("_parts", parts))
+    placed = rows.withColumn("part", zero)
+    if limit is not None:
+        parts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
+        heavy = heavy_groups(rows if counted is None else counted, [doc_id], limit)
+        part = F.pmod(F.xxhash64("section", "key"), F.col("_parts"))
+        placed = rows.join(
+            F.broadcast(heavy.withColumn("_parts", parts)),
+            F.col(doc_id) == F.col(f"_heavy_{doc_id}"),
+            "left",
+        ).withColumn("part", F.coalesce(part, zero))
     valueless = F.col("valueless") if "valueless" in rows.columns else F.lit(False)
     layer = F.col("layer") if "layer" in rows.columns else F.lit(0)
     order = F.col("ord").cast("bigint") if "ord" in rows.columns else zero
@@ -124,10 +138,9 @@ def ini_documents(
         F.concat(F.col("key"), F.lit(" = "), _quoted(F.coalesce("value", F.lit(""))))
     )
     lines = (
-        rows.join(heavy, F.col(doc_id) == F.col(f"_heavy_{doc_id}"), "left")
-        .select(
+        placed.select(
             doc_id,
-            F.coalesce(F.pmod(F.xxhash64("section", "key"), F.col("_parts")), zero).alias("part"),
+            "part",
             "section",
             F.struct(layer.alias("layer"), order.alias("ord"), F.col("key")).alias("place"),
             line.alias("line"),

@@ -44,24 +44,17 @@ def _is_heavy(keys: Sequence[str], null_safe: bool) -> Column:
 
 
 def sliced(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    limit: int = GROUP_ROWS,
-    counted: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, limit: int = GROUP_ROWS
 ) -> DataFrame:
     """Add ``slice``: 0 for a group within the limit, else consecutive ranges of ``order``.
 
     ``order`` is a listing position, unique within its group, so a slice holds at
     most ``limit`` rows and slices follow each other in listing order. Also adds
     ``_heavy_rows``, the size of a heavy group. Rows with a NULL key keep slice 0.
-
-    ``counted`` is the table to find the heavy groups in, when ``df`` was derived
-    from it row by row at some cost; it has the same keys and order.
     """
     _require_whole_numbers(df, order)
     first = F.min(order).cast("bigint").alias("_heavy_first")
-    heavy = F.broadcast(heavy_groups(df if counted is None else counted, keys, limit, first))
+    heavy = F.broadcast(heavy_groups(df, keys, limit, first))
     return (
         df.join(heavy, _is_heavy(keys, null_safe=False), "left")
         .withColumn("slice", F.expr(f"coalesce((`{order}` - _heavy_first) div {limit}, 0L)"))
@@ -102,22 +95,28 @@ def numbered(
     keys: Sequence[str],
     order: str,
     limit: int = GROUP_ROWS,
-    counted: DataFrame | None = None,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``pos`` (1-based position in the group by ``order``), ``n`` (group size), ``slice``.
 
     Rows shuffle once, on (keys, slice); a heavy group is numbered slice by slice
-    and shifted by the number of rows in its earlier slices. ``counted`` is as in
-    :func:`sliced`.
+    and shifted by the number of rows in its earlier slices.
+
+    The columns of ``per_group``, which has one row per group, come along in the
+    same join (NULL for a group it does not have): it is repeated for the later
+    slices of heavy groups.
     """
-    source = (df if counted is None else counted).select(*keys, order)
-    offsets = _slice_offsets(sliced(source, keys, order, limit), keys)
+    rows = sliced(df, keys, order, limit)
+    slices = _slice_offsets(sliced(df.select(*keys, order), keys, order, limit), keys)
+    if per_group is not None:
+        later = slices.where(F.col("slice") > 0).join(per_group, [*keys])
+        nothing = F.lit(0).cast("bigint")
+        slices = per_group.withColumns({"slice": nothing, "_offset": nothing}).unionByName(later)
     within = Window.partitionBy(*keys, "slice")
     return (
-        sliced(df, keys, order, limit, source)
-        .withColumn("_local", F.row_number().over(within.orderBy(order)).cast("bigint"))
+        rows.withColumn("_local", F.row_number().over(within.orderBy(order)).cast("bigint"))
         .withColumn("n", F.coalesce(F.col("_heavy_rows"), F.count(F.lit(1)).over(within)))
-        .join(offsets, [*keys, "slice"], "left")
+        .join(slices, [*keys, "slice"], "left")
         .withColumn("pos", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0).cast("bigint")))
         .drop("_heavy_rows", "_local", "_offset")
     )
@@ -155,7 +154,7 @@ def lookup(
     )
     every_salt = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), one) - one)
     salted_right = (
-        right.join(heavy, _is_heavy(keys, null_safe=False), "left")
+        right.join(heavy, _is_heavy(keys, null_safe=True), "left")
         .withColumn("_salt", F.explode(every_salt))
         .drop(*heavy_columns)
     )

@@ -37,6 +37,10 @@ _SERVICE_FIELDS = {
 SERVICES_SCHEMA = ", ".join(
     f"{kind} array<struct<{_SERVICE_FIELDS[kind]}>>" for kind in SERVICE_KINDS
 )
+_COMMON_FIELDS = f"{_NAMED},{_PLACED},database_name:string,group:string,{_GROUPED}"
+_COMMON_SERVICES_SCHEMA = ", ".join(
+    f"{kind} array<struct<{_COMMON_FIELDS}>>" for kind in SERVICE_KINDS
+)
 SUPPORTED_ENGINES = ("DISCOVER_RDS_MYSQL", "DISCOVER_RDS_POSTGRESQL")
 MONITORING_USER = "pmm"
 REQUEST_CONSTANTS: dict[str, object] = {
@@ -81,6 +85,16 @@ REQUEST_FIELDS: tuple[tuple[str, str], ...] = (
 _CORRUPT = "_corrupt"
 
 
+def _service_columns() -> dict[str, list[str]]:
+    """Service field to the service kinds that have it."""
+    fields = T.StructType.fromDDL(f"common struct<{_COMMON_FIELDS}>")["common"].dataType.names
+    own = T.StructType.fromDDL(SERVICES_SCHEMA)
+    return {
+        name: [k for k in SERVICE_KINDS if name in own[k].dataType.elementType.names]
+        for name in fields
+    }
+
+
 def _decoded(docs: DataFrame, json: str, ddl: str) -> DataFrame:
     schema = T.StructType.fromDDL(f"{ddl}, {_CORRUPT} string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
@@ -109,37 +123,30 @@ def service_inventory(
 ) -> DataFrame:
     """(keep..., service_type, service fields): six typed lists walked as one.
 
-    The lists become one array of a common struct inside the row, so that the
-    documents are scanned once. Fields a type does not have are NULL.
+    All lists are decoded with the fields of any of them and become one array inside
+    the row, so that the documents are scanned once. Fields a type does not have are
+    NULL, also where a document gives them.
     """
-    types = T.StructType.fromDDL(SERVICES_SCHEMA)
-    common: dict[str, T.DataType] = {"service_type": T.StringType()}
-    for field in types.fields:
-        for member in field.dataType.elementType.fields:
-            common.setdefault(member.name, member.dataType)
-    common["custom_labels"] = common.pop("custom_labels")
-    struct = T.StructType([T.StructField(name, kind) for name, kind in common.items()])
-    array_type = T.ArrayType(struct)
-
-    def as_common(kind: str) -> Column:
-        own = {f.name for f in types[kind].dataType.elementType.fields}
-
-        def member(item: Column) -> Column:
-            return F.struct(
-                F.lit(kind).alias("service_type"),
-                *[
-                    (item[name] if name in own else F.lit(None).cast(data_type)).alias(name)
-                    for name, data_type in common.items()
-                    if name != "service_type"
-                ],
-            )
-
-        listed = F.transform(F.col(f"_doc.{kind}"), member).cast(array_type)
-        return F.coalesce(listed, F.array().cast(array_type))
-
-    decoded = _decoded(docs, json, SERVICES_SCHEMA).where(F.col(f"_doc.{_CORRUPT}").isNull())
-    every = F.concat(*[as_common(kind) for kind in SERVICE_KINDS])
-    return decoded.select(*keep, F.inline(every))
+    decoded = _decoded(docs, json, _COMMON_SERVICES_SCHEMA).where(
+        F.col(f"_doc.{_CORRUPT}").isNull()
+    )
+    empty = F.array().cast(f"array<struct<{_COMMON_FIELDS}>>")
+
+    def typed(kind: str) -> Column:
+        services = F.coalesce(F.col(f"_doc.{kind}"), empty)
+        return F.transform(
+            services,
+            lambda item: F.struct(F.lit(kind).alias("service_type"), item.alias("service")),
+        )
+
+    walked = decoded.select(*keep, F.inline(F.concat(*[typed(kind) for kind in SERVICE_KINDS])))
+    columns = []
+    for name, kinds in _service_columns().items():
+        value = F.col(f"service.{name}")
+        if len(kinds) < len(SERVICE_KINDS):
+            value = F.when(F.col("service_type").isin(*kinds), value)
+        columns.append(value.alias(name))
+    return walked.select(*keep, "service_type", *columns)
 
 
 def select_by_labels(

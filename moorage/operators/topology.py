@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import compact_json_column
-from .groups import GROUP_ROWS, lookup, numbered, sliced
+from .groups import GROUP_ROWS, numbered, sliced
 
 # Ports, addresses and the settings of each kind of cluster.
 GROUP_PORT = 33061
@@ -164,13 +164,12 @@ def _placed_members(
     inline_peers: int,
     limit: int,
 ) -> DataFrame:
-    """Members with ``kind``, ``group_name``, ``pos``, ``n`` and, up to ``inline_peers``, ``peers``."""
+    """Members with their cluster's columns, ``pos``, ``n`` and, in a small cluster, ``peers``."""
     rows = members.select(cluster, order, private_ip)
-    if clusters is not None:
-        rows = lookup(rows, clusters, [cluster], [order], limit)
-    placed = numbered(rows, [cluster], order, limit, members)
+    placed = numbered(rows, [cluster], order, limit, clusters)
     together = Window.partitionBy(cluster, "slice")
-    few = F.col("n") <= inline_peers
+    # A cluster that is numbered in slices has no list of its own.
+    few = F.col("n") <= min(inline_peers, limit)
     # Same partitioning as the numbering, so the list costs no further shuffle.
     listed = F.collect_list(F.when(few, F.struct("pos", F.col(private_ip)))).over(together)
     return placed.withColumn(
@@ -203,10 +202,11 @@ def instance_config(
     members. For a larger cluster they are written once, with ``instance`` NULL and
     in parts as in :func:`peer_lists`, so that nothing grows with its square.
     """
-    name = F.col(group_name).cast("string") if group_name else _derived_uuid(F.col(cluster))
-    described = clusters.select(
-        cluster, F.col(kind).alias("_kind"), name.alias("_group_name")
-    ).where(F.col("_kind").isin(*KINDS))
+    given_name = [F.col(group_name).cast("string").alias("_group_name")] if group_name else []
+    described = clusters.select(cluster, F.col(kind).alias("_kind"), *given_name).where(
+        F.col("_kind").isin(*KINDS)
+    )
+    name = F.col("_group_name") if group_name else _derived_uuid(F.col(cluster))
     placed = _placed_members(members, described, cluster, order, private_ip, inline_peers, limit)
 
     address, server_id = F.col(private_ip), F.col("pos").cast("string")
@@ -219,7 +219,7 @@ def instance_config(
         "server_id": server_id,
         **SOURCE_SETTINGS,
         **GROUP_SETTINGS,
-        "group_replication_group_name": F.col("_group_name"),
+        "group_replication_group_name": name,
         "group_replication_local_address": F.concat(address, F.lit(f":{GROUP_PORT}")),
     }
     own_xtradb = {
@@ -260,7 +260,7 @@ def instance_config(
     # Large clusters: already split by slice, so the lists gather without another shuffle.
     in_order = F.sort_array(F.collect_list(F.struct("pos", address)))
     large = (
-        placed.where((F.col("n") > inline_peers) & (is_group | is_xtradb))
+        placed.where(~few & (is_group | is_xtradb))
         .groupBy(cluster, "slice")
         .agg(
             F.any_value("_kind").alias("_kind"),

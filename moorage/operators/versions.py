@@ -100,11 +100,11 @@ def resolve_versions(
             F.struct(F.lit("canonical").alias("kind"), semver.canonical(text).alias("key")),
         )
     )
+    probed = keyed.select(*by, "_asked").distinct().select(*by, "_asked", F.inline(probes))
+    listed = version_keys(listing, by=by, order=order, version=version)
     answers = (
-        keyed.select(*by, "_asked")
-        .distinct()
-        .select(*by, "_asked", F.inline(probes))
-        .join(version_keys(listing, by=by, order=order, version=version), [*by, "kind", "key"])
+        lookup(probed, listed, [*by, "kind", "key"], ["_asked"], limit)
+        .where(F.col("ord").isNotNull())
         .groupBy(*by, "_asked")
         .agg(F.min_by("version", "ord").alias("version"))
     )

@@ -82,4 +82,5 @@ def cluster_files(
     if monitored:
         layers.append(("monitoring", settings_layer(documents, MONITORING_SETTINGS, SERVER_SECTION)))
     layers.append(("role", role_rows))
-    return ini_documents(overlay_config(layers), limit=limit)
+    # A member's file has the given settings and the few of its role.
+    return ini_documents(overlay_config(layers), limit=None)

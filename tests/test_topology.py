@@ -105,6 +105,9 @@ def test_settings_per_member(members, clusters, limit):
     }
     assert second["server_id"] == "2" and "bind-address" not in second
     if limit == 2:
+        # Numbered in slices, so their lists are shared ones.
+        shared = {cluster for cluster, instance in got if instance is None}
+        assert shared == {"g", "x"} and len(got["g", "10.1.0.3"]) == 11
         return
     group = got["g", "10.1.0.3"]
     assert len(group) == 13

@@ -185,7 +185,9 @@ def overlay_config(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def overlaid_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return m.ini_documents(m.overlay_config(_layers(spark, folder)))
+    layers = _layers(spark, folder)
+    lines = layers[0][1].select("doc_id").unionByName(layers[1][1].select("doc_id"))
+    return m.ini_documents(m.overlay_config(layers), counted=lines)
 
 
 # Inventory.
