@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_rows
 from .images import latest_image, latest_ready_image, undated_images
 from .inventory import (
     discovered_instances,
+    labels_to_tags,
     lookup_instance,
     malformed_documents,
     project_addresses,
@@ -56,6 +57,7 @@ __all__ = [
     "ini_documents",
     "ini_rows",
     "instance_config",
+    "labels_to_tags",
     "latest_image",
     "latest_ready_image",
     "lookup_instance",

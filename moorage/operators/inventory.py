@@ -167,6 +167,12 @@ def select_by_labels(
     return df.where(condition)
 
 
+def labels_to_tags(df: DataFrame, *, labels: str = "labels") -> DataFrame:
+    """Add ``tags``, the labels as an array of (key, value); NULL without labels."""
+    entries = F.sort_array(F.map_entries(F.col(labels)))
+    return df.withColumn("tags", F.when(F.size(entries) > 0, entries))
+
+
 def project_addresses(df: DataFrame, *, interfaces: str = "network_interfaces") -> DataFrame:
     """Add (public_ip, private_ip) of the first interface; NULL where there is none."""
     first = F.get(F.col(interfaces), F.lit(0))

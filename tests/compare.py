@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame
 from workload.derived import TABLES
 
 
+_SQL_TYPES = {
+    "string": "VARCHAR",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -31,17 +40,19 @@ def _canonical(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 
 def differences(result: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
-    """What differs, empty when names, row counts, values and value types agree."""
+    """What differs, empty when names, types, row counts and values agree."""
+    types = {row[0]: row[1] for row in connection.execute(f"describe {sql}").fetchall()}
+    mine = {name: _SQL_TYPES.get(kind, kind) for name, kind in result.dtypes}
+    if mine != types:
+        return [f"types {mine} instead of {types}"]
     cursor = connection.execute(sql)
     expected = _canonical([d[0] for d in cursor.description], cursor.fetchall())
     actual = _canonical(result.columns, [tuple(r) for r in result.collect()])
-    if actual[0] != expected[0]:
-        return [f"columns {actual[0]} instead of {expected[0]}"]
     problems = []
     if len(actual[1]) != len(expected[1]):
         problems.append(f"{len(actual[1])} rows instead of {len(expected[1])}")
     for mine, theirs in zip(actual[1], expected[1]):
-        if mine != theirs or [type(v) for v in mine] != [type(v) for v in theirs]:
+        if mine != theirs:
             problems.append(f"{mine} instead of {theirs}")
         if len(problems) > 3:
             break

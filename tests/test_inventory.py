@@ -55,6 +55,12 @@ def test_label_selection(spark):
     assert pick({}) == [1, 2, 3, 4, 5]
 
 
+def test_tags(spark):
+    df = spark.createDataFrame([(1, {"b": "2", "a": "1"}), (2, {}), (3, None)], "id int, labels map<string,string>")
+    got = [r.tags for r in m.labels_to_tags(df).orderBy("id").collect()]
+    assert got[0] == [("a", "1"), ("b", "2")] and got[1:] == [None, None]
+
+
 def test_addresses_of_missing_elements_are_null(spark):
     kind = "array<struct<network_ip:string,access_configs:array<struct<nat_ip:string>>>>"
     df = spark.createDataFrame(

@@ -397,6 +397,15 @@ _add(
     "select * from services where role = 'machinery' and owner = 'own3'",
     "services",
 )
+_add(
+    "labels_to_tags",
+    """
+    select service_id, '[{"key":"instance_type","value":"' || role || '"}'
+        || coalesce(',{"key":"resource_id","value":"' || owner || '"}', '') || ']' as tags
+    from services
+    """,
+    "services",
+)
 _add(
     "project_addresses",
     """

@@ -269,6 +269,13 @@ def select_by_labels(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.drop("labels")
 
 
+@registered
+def labels_to_tags(spark: SparkSession, folder: str) -> DataFrame:
+    services = derived(spark, folder, "services").withColumn("labels", _labels())
+    tagged = m.labels_to_tags(services)
+    return tagged.select("service_id", F.to_json("tags").alias("tags"))
+
+
 @registered
 def project_addresses(spark: SparkSession, folder: str) -> DataFrame:
     access = F.when(
