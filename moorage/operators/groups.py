@@ -85,7 +85,8 @@ def _slice_offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     return (
         counts.withColumn("_before_slice", F.coalesce(F.sum("_rows").over(per_slice), F.lit(0)))
-        .join(blocks, [*keys, "_block"])
+        # Outer, so that no filter is inferred and both sides share one count.
+        .join(blocks, [*keys, "_block"], "left")
         .select(*keys, "slice", (F.col("_before_block") + F.col("_before_slice")).alias("_offset"))
     )
 

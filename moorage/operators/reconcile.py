@@ -26,10 +26,6 @@ GCP_SUBNETWORK_SUFFIX = "-sub"
 GCP_FIREWALL_SUFFIX = "-allow-all"
 DEFAULT_NETWORK = "default"
 
-# Five colon-separated parts and the resource; a typed resource is type/id.
-_ARN = r"^arn:(?:[^:]*:){4}"
-_TYPED = _ARN + r"([^/]*)/([^/]*)"
-
 # Ids per delete call.
 BATCH_IDS = 1000
 
@@ -41,14 +37,22 @@ def parse_resource_names(df: DataFrame, column: str = "arn") -> DataFrame:
     between slashes are type and id.
     """
     arn = F.col(column)
-    return df.withColumns(
-        {
-            "type": F.when(arn.rlike(_TYPED), F.regexp_extract(arn, _TYPED, 1)),
-            "id": F.when(arn.rlike(_TYPED), F.regexp_extract(arn, _TYPED, 2)),
-            "reason": F.when(~F.coalesce(arn.rlike(_ARN), F.lit(False)), "not_an_arn").when(
-                ~arn.rlike(_TYPED), "no_id"
-            ),
-        }
+    # NULL unless there are six parts.
+    resource = F.when(F.startswith(arn, F.lit("arn:")), F.get(F.split(arn, ":", 6), F.lit(5)))
+    pieces = F.col("_pieces")
+    identity = F.get(pieces, F.lit(1))
+    return (
+        df.withColumn("_pieces", F.split(resource, "/"))
+        .withColumns(
+            {
+                "type": F.when(F.size(pieces) > 1, F.get(pieces, F.lit(0))),
+                "id": identity,
+                "reason": F.when(pieces.isNull(), "not_an_arn").when(
+                    F.size(pieces) < 2, "no_id"
+                ),
+            }
+        )
+        .drop("_pieces")
     )
 
 
@@ -65,7 +69,7 @@ def group_resource_ids(
     delete call, so a type of any size never meets in one task. ``delete_rank``
     orders the deletion; a type outside it has NULL.
     """
-    known = parsed.where(F.col("type").isNotNull()).select("type", "id", order)
+    known = parsed.where(F.col("id").isNotNull()).select("type", "id", order)
     number = F.expr(f"(pos - 1) div {batch}").alias("batch")
     in_order = F.sort_array(F.collect_list(F.struct("pos", "id")))
     rank = F.array_position(F.array(*[F.lit(kind) for kind in DELETE_ORDER]), F.col("type"))
