@@ -13,9 +13,8 @@ from workload.queries import queries
 
 QUERIES = queries()
 ORACLES = oracle_sql()
-# Spark's murmur has no SQL counterpart; hashing whole texts in SQL is too slow. Both
-# are checked against brute force in test_hashing.
-WITHOUT_SQL = {"murmur_rows", "fingerprint_texts"}
+# Spark's murmur has no SQL counterpart.
+WITHOUT_SQL = {"murmur_rows"}
 
 
 @pytest.fixture(scope="module")

@@ -850,3 +850,14 @@ _add(
     )
     """,
 )
+_add(
+    "fingerprint_texts",
+    f"""
+    select doc_id, {_signed_hash("text_bytes", False)} as fnv1a_64
+    from (
+        select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+            lambda h: cast('0x' || h as hugeint)) as text_bytes
+        from documents
+    )
+    """,
+)
