@@ -13,17 +13,24 @@ from .groups import GROUP_ROWS, heavy_groups
 
 _BLOCK_SPAN = 1 << 32
 
+# The end of a line that goes on: from the start of a line that is neither comment nor
+# section, or from the previous such end, up to a backslash before the line break.
+_CONTINUED = r"(?m)(?:^(?![ \t]*[#;\[])|(?!\A)\G)(.*?)\\\n[ \t]*"
+
 
 def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> DataFrame:
     """(doc_id, ord, section, key, value, valueless): the keys of INI texts.
 
     A key ends at the first ``=`` or ``:``; a line without either is a key with the
     value ``true``. Comments start with ``#`` or ``;``, on their own line or behind a
-    value; quotes around a value are dropped. Keys before any section have a NULL
-    section. ``ord`` rises with the line: the section block times 2**32 plus the line
+    value; quotes around a value are dropped; a line ending in a backslash goes on in
+    the next. Keys before any section have a NULL section. ``ord`` rises with the line: the section block times 2**32 plus the line
     in it. A document is parsed inside its row, so nothing shuffles.
     """
     text = F.replace(F.col(doc), F.lit("\r\n"), F.lit("\n"))
+    text = F.when(
+        F.contains(text, F.lit("\\\n")), F.regexp_replace(text, _CONTINUED, "$1")
+    ).otherwise(text)
     blocks = docs.select(
         doc_id, F.posexplode(F.split(text, r"\n(?=[ \t]*\[)", -1)).alias("_block", "_text")
     )
@@ -85,7 +92,9 @@ def overlay_config(
     return (
         every.groupBy(doc_id, "section", "key")
         .agg(
-            F.max_by(F.struct("value", "source", "valueless"), place).alias("_last"),
+            F.max_by(
+                F.struct("value", "source", "valueless"), F.struct("layer", "ord", "value")
+            ).alias("_last"),
             F.min(place).alias("_place"),
         )
         .select(doc_id, "section", "key", "_last.*", "_place.*")

@@ -46,6 +46,23 @@ def test_ini_edge_cases(spark):
     ]
 
 
+def test_lines_ending_in_a_backslash_go_on(spark):
+    text = (
+        "# note \\\n"
+        "a = 1\\\n"
+        "   2\\\n"
+        "#3\n"
+        "; note \\\n"
+        "[s] \n"
+        "b = \\\n"
+        "[x]\n"
+        "c = back\\slash"
+    )
+    assert parse(spark, text) == [
+        (None, "a", "12", False), ("s", "b", "[x]", False), ("s", "c", "back\\slash", False),
+    ]
+
+
 @pytest.mark.parametrize("text", ["", "\n\n", "# only\n", "[empty]\n"])
 def test_ini_without_keys(spark, text):
     assert parse(spark, text) == []
