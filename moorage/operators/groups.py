@@ -170,3 +170,18 @@ def first_by(df: DataFrame, keys: Sequence[str], order: str, *columns: str) -> D
         .agg(F.min_by(kept, F.col(order)).alias("_first"))
         .select(*keys, *[F.col("_first")[c].alias(c) for c in columns])
     )
+
+
+def gathered(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
+    """(keys..., column): the values of each group as an array, in order.
+
+    For groups of bounded size, such as slices. Gathering combines nothing map-side, so
+    the rows shuffle as they are instead of as half-built arrays.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(column))))
+    return (
+        df.select(*keys, order, column)
+        .repartition(*keys)
+        .groupBy(*keys)
+        .agg(F.transform(pairs, lambda pair: pair[column]).alias(column))
+    )

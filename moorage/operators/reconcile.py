@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import GROUP_ROWS, first_by, lookup, numbered
+from .groups import GROUP_ROWS, first_by, gathered, lookup, numbered
 
 # Resource kinds in deletion order, and the suffix of each derived name.
 DELETE_ORDER = (
@@ -70,20 +70,16 @@ def group_resource_ids(
     orders the deletion; a type outside it has NULL.
     """
     known = parsed.where(F.col("id").isNotNull()).select("type", "id", order)
-    number = F.expr(f"(pos - 1) div {batch}").alias("batch")
-    in_order = F.sort_array(F.collect_list(F.struct("pos", "id")))
     rank = F.array_position(F.array(*[F.lit(kind) for kind in DELETE_ORDER]), F.col("type"))
-    return (
-        numbered(known, ["type"], order, limit)
-        .groupBy("type", number)
-        .agg(F.transform(in_order, lambda x: x["id"]).alias("ids"))
-        .select(
-            "type",
-            F.nullif(rank, F.lit(0)).cast("int").alias("delete_rank"),
-            "batch",
-            "ids",
-            F.size("ids").alias("n"),
-        )
+    batches = numbered(known, ["type"], order, limit).withColumn(
+        "batch", F.expr(f"(pos - 1) div {batch}")
+    )
+    return gathered(batches, ["type", "batch"], "pos", "id").select(
+        "type",
+        F.nullif(rank, F.lit(0)).cast("int").alias("delete_rank"),
+        "batch",
+        F.col("id").alias("ids"),
+        F.size("id").alias("n"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import compact_json_column
-from .groups import GROUP_ROWS, numbered, sliced
+from .groups import GROUP_ROWS, gathered, numbered, sliced
 
 # Ports, addresses and the settings of each kind of cluster.
 GROUP_PORT = 33061
@@ -81,22 +81,17 @@ def peer_lists(
     ``limit`` members is one part; a larger one comes in consecutive parts, whose
     texts joined by the list's separator are the whole list.
     """
-    needed = members.select(cluster, order, private_ip)
-    in_order = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(private_ip))))
-    return (
-        sliced(needed, [cluster], order, limit)
-        .groupBy(cluster, F.col("slice").alias("part"))
-        .agg(F.transform(in_order, lambda x: x[private_ip]).alias("nodes"))
-        .select(
-            cluster,
-            "part",
-            F.size("nodes").alias("n"),
-            "nodes",
-            _allow_list(F.col("nodes")).alias("allow_list"),
-            _seeds(F.col("nodes")).alias("seeds"),
-            _cluster_address(F.col("nodes"), galera_port, F.col("part")).alias("cluster_address"),
-            F.array_join(F.transform("nodes", _manager_url), " ").alias("manager_urls"),
-        )
+    rows = sliced(members.select(cluster, order, private_ip), [cluster], order, limit)
+    nodes, part = F.col(private_ip), F.col("slice")
+    return gathered(rows, [cluster, "slice"], order, private_ip).select(
+        cluster,
+        part.alias("part"),
+        F.size(nodes).alias("n"),
+        nodes.alias("nodes"),
+        _allow_list(nodes).alias("allow_list"),
+        _seeds(nodes).alias("seeds"),
+        _cluster_address(nodes, galera_port, part).alias("cluster_address"),
+        F.array_join(F.transform(nodes, _manager_url), " ").alias("manager_urls"),
     )
 
 
