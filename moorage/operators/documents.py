@@ -24,8 +24,8 @@ def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> Da
     A key ends at the first ``=`` or ``:``; a line without either is a key with the
     value ``true``. Comments start with ``#`` or ``;``, on their own line or behind a
     value; quotes around a value are dropped; a line ending in a backslash goes on in
-    the next. Keys before any section have a NULL section. ``ord`` rises with the line: the section block times 2**32 plus the line
-    in it. A document is parsed inside its row, so nothing shuffles.
+    the next. Keys before any section have a NULL section. ``ord`` rises with the line:
+    the section block times 2**32 plus the line in it. A document is parsed inside its row, so nothing shuffles.
     """
     text = F.replace(F.col(doc), F.lit("\r\n"), F.lit("\n"))
     text = F.when(
@@ -51,12 +51,13 @@ def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> Da
         )
     )
     valueless = ~raw.rlike(r"[=:]")
+    bare = F.trim(F.regexp_replace(raw, r"[#;].*$", ""))
     kept = (raw != "") & ~raw.rlike(r"^[#;\[]")
     return lines.where(kept).select(
         doc_id,
         (F.col("_block").cast("bigint") * F.lit(_BLOCK_SPAN) + F.col("_line")).alias("ord"),
         "section",
-        F.when(valueless, F.trim(F.regexp_replace(raw, r"[#;].*$", ""))).otherwise(key).alias("key"),
+        F.when(valueless, bare).otherwise(key).alias("key"),
         F.when(valueless, F.lit("true")).otherwise(value).alias("value"),
         valueless.alias("valueless"),
     )

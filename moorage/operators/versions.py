@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semver
@@ -89,16 +89,15 @@ def resolve_versions(
     asked = F.coalesce(F.col(wanted), F.lit(""))
     keyed = requests.select(*by, request_id, asked.alias("_asked"))
     text = F.col("_asked")
-    probes = F.when(text == "", F.array(F.struct(F.lit("default").alias("kind"), text.alias("key"))))
-    for pattern, kind in ((semver.MAJOR_ONLY, "major"), (semver.MAJOR_MINOR_ONLY, "minor")):
-        probes = probes.when(
-            text.rlike(pattern), F.array(F.struct(F.lit(kind).alias("kind"), text.alias("key")))
-        )
-    probes = probes.otherwise(
-        F.array(
-            F.struct(F.lit("text").alias("kind"), text.alias("key")),
-            F.struct(F.lit("canonical").alias("kind"), semver.canonical(text).alias("key")),
-        )
+
+    def probe(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    probes = (
+        F.when(text == "", F.array(probe("default", text)))
+        .when(text.rlike(semver.MAJOR_ONLY), F.array(probe("major", text)))
+        .when(text.rlike(semver.MAJOR_MINOR_ONLY), F.array(probe("minor", text)))
+        .otherwise(F.array(probe("text", text), probe("canonical", semver.canonical(text))))
     )
     probed = keyed.select(*by, "_asked").distinct().select(*by, "_asked", F.inline(probes))
     listed = version_keys(listing, by=by, order=order, version=version)

@@ -80,7 +80,8 @@ def cluster_files(
     if base:
         layers.append(("base", settings_layer(documents, base, SERVER_SECTION)))
     if monitored:
-        layers.append(("monitoring", settings_layer(documents, MONITORING_SETTINGS, SERVER_SECTION)))
+        monitoring = settings_layer(documents, MONITORING_SETTINGS, SERVER_SECTION)
+        layers.append(("monitoring", monitoring))
     layers.append(("role", role_rows))
     # A member's file has the given settings and the few of its role.
     return ini_documents(overlay_config(layers), limit=None)

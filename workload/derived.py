@@ -177,7 +177,8 @@ DERIVED: dict[str, str] = {
 DERIVED["configs"] = f"""
         select
             c.*,
-            case when config_id % 8 = 0 then '' else concat('kp', config_id % 3) end as key_pair_name,
+            case when config_id % 8 = 0 then '' else concat('kp', config_id % 3) end
+                as key_pair_name,
             config_id % 11 = 0 as disable_telemetry
         from ({DERIVED["cfg"]}) c
 """

@@ -62,7 +62,6 @@ def _metric_json(fields: dict[str, tuple[str, str]]) -> str:
 
 
 def _document(fields: dict[str, tuple[str, str]], time: str) -> str:
-    utc = f"regexp_replace(strftime({time}, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0*$', '')"
     # Only the fraction may lose zeros, so it is trimmed apart from the seconds.
     utc = (
         f"strftime({time}, '%Y-%m-%dT%H:%M:%S') || "
@@ -442,7 +441,10 @@ _LOOKED_UP = """
         case when f.instance_id is null then 'not_found' else 'found' end as status
     from lookups l left join firsts f on f.instance_id = l.wanted_id
 """
-_FIRSTS = "select * from discovered qualify row_number() over (partition by instance_id order by ord) = 1"
+_FIRSTS = """
+    select * from discovered
+    qualify row_number() over (partition by instance_id order by ord) = 1
+"""
 for _name in ("lookup_instance", "lookup_instance_split"):
     _add(_name, _LOOKED_UP, "lookups", "discovered", firsts=_FIRSTS)
 _add(
@@ -519,7 +521,8 @@ _RECONCILED = """
     left join by_name n on n.act_name = d.want_name and d.want_name <> '' and i.ord is null
 """
 _FIRST_ACTUAL = {
-    "by_id": "select * from actual qualify row_number() over (partition by act_id order by ord) = 1",
+    "by_id": "select * from actual "
+    "qualify row_number() over (partition by act_id order by ord) = 1",
     "by_name": "select * from actual "
     "qualify row_number() over (partition by act_name order by ord) = 1",
 }

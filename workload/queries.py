@@ -93,7 +93,8 @@ def telemetry_stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def validate_config(spark: SparkSession, folder: str) -> DataFrame:
     checked = m.validate_config(derived(spark, folder, "configs"), strict=True)
-    return checked.select("config_id", F.size("errors").alias("n"), _joined("errors").alias("errors"))
+    errors = _joined("errors").alias("errors")
+    return checked.select("config_id", F.size("errors").alias("n"), errors)
 
 
 @registered
@@ -108,12 +109,11 @@ def apply_defaults(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def compact_json(spark: SparkSession, folder: str) -> DataFrame:
+    tags = F.create_map(F.lit("net"), F.col("vpc_name"))
     cfg = derived(spark, folder, "configs").withColumns(
         {
             "disk": F.struct("volume_type", "volume_iops"),
-            "tags": F.when(
-                F.col("cloud") == "aws", F.create_map(F.lit("net"), F.col("vpc_name"))
-            ).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
+            "tags": F.map_filter(tags, lambda _, value: F.col("cloud") == "aws"),
             "sizes": F.filter(F.array("volume_size"), lambda v: v > 9),
         }
     )
@@ -380,7 +380,9 @@ def expected_resources(spark: SparkSession, folder: str) -> DataFrame:
     networks = derived(spark, folder, "desired").select(
         "desired_id",
         F.concat(F.lit("vpc-"), F.col("desired_id").cast("string")).alias("vpc_id"),
-        F.when(F.col("desired_id") % 9 == 0, "default").otherwise(F.col("want_name")).alias("vpc_name"),
+        F.when(F.col("desired_id") % 9 == 0, "default")
+        .otherwise(F.col("want_name"))
+        .alias("vpc_name"),
         F.when(F.col("desired_id") % 2 == 0, "aws").otherwise("gcp").alias("cloud"),
     )
     return m.expected_resources(networks, keep=("desired_id",))
@@ -469,7 +471,7 @@ def normalize_endpoints(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def normalize_endpoints_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Some urls with user info, a port, no scheme or another scheme; path and user info taken out."""
+    """Some urls with user info, a port, no scheme or another; path and user info taken out."""
     pages = query(
         spark,
         folder,
