@@ -19,6 +19,13 @@ _URL = (
     r"((?:[/?#].*)?)$"
 )
 
+# A control character, or a percent sign in path or fragment that escapes nothing.
+_BROKEN = (
+    r"[\x00-\x1f\x7f]"
+    r"|^[^?#]*%(?![0-9A-Fa-f]{2})"
+    r"|#.*%(?![0-9A-Fa-f]{2})"
+)
+
 
 def normalize_endpoints(
     df: DataFrame,
@@ -35,7 +42,7 @@ def normalize_endpoints(
     ``user_info`` (``user:password``) is put in only where there is none and only
     when given; ``redact`` takes user info out; ``clear_path`` drops the path.
     """
-    url = F.trim(F.col(column))
+    url = F.col(column)
     scheme = F.lower(F.regexp_extract(url, _URL, 1))
     given_user = F.regexp_extract(url, _URL, 2)
     host = F.regexp_extract(url, _URL, 3)
@@ -56,7 +63,7 @@ def normalize_endpoints(
         rest = F.regexp_replace(rest, r"^/[^?#]*", "")
     reason = F.when(
         url.isNull() | ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "no_scheme"
-    ).when(~url.rlike(_URL), "unparsable")
+    ).when(~url.rlike(_URL) | url.rlike(_BROKEN), "unparsable")
     endpoint = F.concat(scheme, F.lit("://"), user, host, port, rest)
     return df.withColumns(
         {

@@ -29,6 +29,10 @@ def endpoint(spark, url, **options):
         ("https://[::1]:9/x", ("https://[::1]:9/x", False, None)),
         ("http://a b", (None, False, "unparsable")),
         ("http://h:port", (None, False, "unparsable")),
+        ("http://h/%zz", (None, False, "unparsable")),
+        ("http://h/%20?%zz", ("http://h:80/%20?%zz", False, None)),
+        ("http://h/a\tb", (None, False, "unparsable")),
+        (" http://h", (None, False, "no_scheme")),
         ("", (None, False, "no_scheme")),
         (None, (None, False, "no_scheme")),
     ],
