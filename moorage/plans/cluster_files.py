@@ -56,7 +56,7 @@ def cluster_files(
     inline_peers: int = INLINE_PEERS,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(doc_id, part, text): one file per member, named cluster/address.
+    """(doc_id, part, text): one file per member, named cluster/address (unique per cluster).
 
     Settings that a large cluster shares (see ``instance_config``) form a file of
     their own, named by the cluster alone.

@@ -759,8 +759,12 @@ _add(
         from layered group by doc_id, key
     ) group by doc_id
     """,
-    "members",
     "clusters",
+    members=f"""
+        select * replace (
+            concat('10.', cluster_id, '.', launch_ord // 250, '.', launch_ord % 250) as private_ip)
+        from ({DERIVED["members"]})
+    """,
     placed=_PLACED,
     peers=_PEERS,
     settings=_settings_sql(128),

@@ -453,8 +453,10 @@ def manager_config(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def cluster_config_files(spark: SparkSession, folder: str) -> DataFrame:
+    # A file is named by its member's address, so each member gets one of its own.
+    address = F.expr("concat('10.', cluster_id, '.', launch_ord div 250, '.', launch_ord % 250)")
     return cluster_files(
-        derived(spark, folder, "members"),
+        derived(spark, folder, "members").withColumn("private_ip", address),
         derived(spark, folder, "clusters"),
         base={"user": "mysql", "port": "3306", "userstat": "OFF"},
     )
