@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepieces
+from . import langid, sentencepieces, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,10 +28,77 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def held_out() -> Column:
+    """Rows that no model may learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from rows that are not held out."""
+    documents = _table(spark, folder, "documents")
+    model = langid.learn(documents.where(~held_out()).select("doc_id", "text", "lang"))
+    found = langid.predict(documents, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+# Rules of the URL query, as (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(_table(spark, folder, "pages"), rules)
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
+    documents = _table(spark, folder, "documents").where(~held_out())
+    return toxicity.learn(documents, _table(spark, folder, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of rows that are not held out."""
+    found = toxicity.score(_table(spark, folder, "documents"), toxicity_model(spark, folder))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_passages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_language_id": op4_language_id,
+        "op5_url_filter": op5_url_filter,
+        "op10_toxicity": op10_toxicity,
     }
 
 
-ORACLE_SQL: dict[str, str] = {}
+_RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+        WITH rests AS (
+            SELECT page_id, row_number() OVER () AS line,
+                   CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+            FROM pages),
+        parts AS (
+            SELECT page_id, line,
+                   translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rests),
+        rules(rule_host, rule_path, verdict) AS (VALUES {_RULE_ROWS}),
+        best AS (
+            SELECT line, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(verdict, length(rule_host || rule_path)) AS verdict
+            FROM parts JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY line)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN best USING (line)
+    """,
+}
