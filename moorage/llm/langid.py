@@ -124,12 +124,13 @@ def predict(
     travels as a broadcast variable: its size is bounded by ``learn``.
     """
     kind = documents.schema[key].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors need not have this package.
+    shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.tables))
 
     held: dict = {}  # each task has its own copy
 
     def run(batch):
-        model = shared.value
+        model = LanguageModel(*shared.value)
         split = [words_of(value) for value in texts_of(batch.column(1))]
         new = set(chain.from_iterable(split)) - held.keys()
         if len(held) + len(new) > REMEMBERED:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sentencepieces, toxicity, urls
+from . import langid, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), rules)
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
     documents = _table(spark, folder, "documents").where(~held_out())
     return toxicity.learn(documents, _table(spark, folder, "labels"))
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op5_url_filter": op5_url_filter,
+        "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
     }
 

@@ -240,12 +240,14 @@ def score(
     as a broadcast variable: ``learn`` bounds its size.
     """
     kind = documents.schema[key].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors need not have this package.
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     held: dict[str, float] = {}  # each task has its own copy
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batch):
-        model = shared.value
+        model = ToxicityModel.__new__(ToxicityModel)
+        vars(model).update(shared.value)
         scores, passages = [], []
         for value in texts_of(batch.column(1)):
             found, n = _scan(value, model, held)
