@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sentencepieces, simhash, toxicity, urls
+from . import decontaminate, langid, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), rules)
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """How far benchmark items are covered by every document."""
+    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op5_url_filter": op5_url_filter,
+        "op6_decontamination": op6_decontamination,
         "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
     }
