@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, sentencepieces, simhash, toxicity, urls
+from . import decontaminate, langid, linededup, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,13 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document less its recurring lines."""
+    found = linededup.drop_recurring_lines(_table(spark, folder, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
     documents = _table(spark, folder, "documents").where(~held_out())
     return toxicity.learn(documents, _table(spark, folder, "labels"))
@@ -86,13 +93,80 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_decontamination": op6_decontamination,
         "op8_simhash": op8_simhash,
+        "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+# Fixed values of the line tree, as in the operator.
+_FOLDED_LINES = r"""
+    folded AS (
+        SELECT doc_id, text, d.line AS place, d.value AS whole,
+               trim(regexp_replace(regexp_replace(d.value, '(^|[ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*',
+                                                  '\1<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS line
+        FROM (SELECT doc_id, text, unnest(list_zip(range(len(string_split(text, chr(10)))),
+                                                   string_split(text, chr(10)))) AS z
+              FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)) AS t,
+             LATERAL (SELECT z[1] AS line, z[2] AS value) AS d)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": f"""
+        WITH {_FOLDED_LINES},
+        lines AS (
+            SELECT *, len(string_split(line, ' ')) AS n,
+                   array_to_string(string_split(line, ' ')[1:{linededup.DEPTH}], ' ') AS lead
+            FROM folded WHERE line <> '' AND len(string_split(line, ' ')) >= {linededup.MIN_WORDS}),
+        counted AS (
+            SELECT n, lead, line, count(*) AS weight
+            FROM (SELECT DISTINCT doc_id, text, n, lead, line FROM lines) GROUP BY n, lead, line),
+        leaves AS (
+            SELECT n, lead, sum(weight) AS total, count(*) AS kinds FROM counted GROUP BY n, lead
+            HAVING sum(weight) >= {linededup.MIN_DOCUMENTS}),
+        mixed AS (
+            SELECT c.n, c.lead, c.line, c.weight, l.total
+            FROM counted c JOIN leaves l ON c.n = l.n AND c.lead = l.lead WHERE l.kinds > 1),
+        words AS (
+            SELECT n, lead, total, weight, line, unnest(range(n)) AS place, unnest(string_split(line, ' ')) AS word
+            FROM mixed),
+        votes AS (
+            SELECT n, lead, total, place, word, sum(weight) AS weight FROM words GROUP BY n, lead, total, place, word),
+        shape AS (
+            SELECT n, lead, place, word FROM votes WHERE weight * 2 >= total
+            QUALIFY row_number() OVER (PARTITION BY n, lead, place ORDER BY weight DESC, word) = 1),
+        fitting AS (
+            SELECT w.n, w.lead, w.line FROM words w JOIN shape s
+              ON w.n = s.n AND w.lead = s.lead AND w.place = s.place AND w.word = s.word
+            GROUP BY w.n, w.lead, w.line HAVING count(*) >= {linededup.SIMILARITY} * w.n),
+        templates AS (
+            SELECT n, lead, line, '' AS own FROM fitting
+            UNION ALL
+            SELECT n, lead, line, line AS own FROM counted c WHERE weight >= {linededup.MIN_DOCUMENTS}
+              AND NOT EXISTS (FROM fitting f WHERE f.n = c.n AND f.lead = c.lead AND f.line = c.line)),
+        found AS (
+            SELECT doc_id, text, place, length(whole) AS size, n, lead, own
+            FROM lines JOIN templates USING (n, lead, line)),
+        recurring AS (
+            SELECT n, lead, own FROM (SELECT DISTINCT doc_id, text, n, lead, own FROM found)
+            GROUP BY n, lead, own HAVING count(*) >= {linededup.MIN_DOCUMENTS}),
+        lost AS (SELECT doc_id, text, place, size FROM found JOIN recurring USING (n, lead, own)),
+        sizes AS (SELECT doc_id, text, sum(length(whole)) AS total FROM folded GROUP BY doc_id, text),
+        cleaned AS (
+            SELECT doc_id, text FROM lost JOIN sizes USING (doc_id, text)
+            GROUP BY doc_id, text HAVING sum(size) < {linededup.COPY_SHARE} * any_value(total)),
+        kept AS (
+            SELECT f.doc_id, f.text, count(*) AS n_lines, count(l.place) AS n_dropped,
+                   string_agg(f.whole, chr(10) ORDER BY f.place) FILTER (WHERE l.place IS NULL) AS kept_text
+            FROM folded f
+            LEFT JOIN (SELECT lost.* FROM lost JOIN cleaned USING (doc_id, text)) l
+              ON f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.text = l.text AND f.place = l.place
+            GROUP BY f.doc_id, f.text)
+        SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_dropped, 0)::INTEGER AS n_dropped,
+               sha256(coalesce(kept_text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text
+    """,
     "op5_url_filter": f"""
         WITH rests AS (
             SELECT page_id, row_number() OVER () AS line,
