@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, sentencepieces, simhash, toxicity, urls
+from . import decontaminate, embeddings, langid, linededup, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_url_filter": op5_url_filter,
         "op6_decontamination": op6_decontamination,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
