@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, linededup, sentencepieces, simhash, toxicity, urls
+from . import decontaminate, embeddings, htmltext, langid, linededup, sentencepieces, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     documents = _table(spark, folder, "documents")
@@ -93,6 +98,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op5_url_filter": op5_url_filter,
