@@ -132,10 +132,11 @@ def predict(
     def run(batch):
         model = LanguageModel(*shared.value)
         split = [words_of(value) for value in texts_of(batch.column(1))]
-        new = set(chain.from_iterable(split)) - held.keys()
+        words = set(chain.from_iterable(split))
+        new = [word for word in words if word not in held]
         if len(held) + len(new) > REMEMBERED:
             held.clear()
-            new = set(chain.from_iterable(split))
+            new = list(words)
         for word in new:
             held[word] = model.word(word)
         width = len(model.languages)

@@ -126,8 +126,9 @@ class ToxicityModel:
 def _scan(text: str, model: ToxicityModel, held: dict[str, float]) -> tuple[list[tuple[int, int, float]], int]:
     """Segments of a text as token ranges, and its number of tokens."""
     tokens = tokens_of(text)
-    for token in set(tokens) - held.keys():
-        held[token] = model.token(token)
+    for token in tokens:
+        if token not in held:
+            held[token] = model.token(token)
     if len(held) > REMEMBERED:
         kept = {token: held[token] for token in set(tokens)}
         held.clear()
