@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, htmltext, langid, linededup, sentencepieces, simhash, toxicity, urls
+from . import decontaminate, embeddings, htmltext, langid, linededup, sentencepieces, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="moorage-")
+
+
 def piece_model() -> str:
     """Path of the public merge vocabulary; executors read the same path."""
     import public_tokenizers
@@ -26,6 +37,12 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document less strings of 400 bytes that occur elsewhere."""
+    found = substrings.remove_repeated(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     documents = _table(spark, folder, "documents")
@@ -99,6 +116,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_suffix_array": op2_suffix_array,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op5_url_filter": op5_url_filter,

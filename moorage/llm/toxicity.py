@@ -231,16 +231,24 @@ def learn(
 
 
 def score(
-    documents: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = 0.3
+    documents: DataFrame,
+    model: ToxicityModel,
+    key: str = "doc_id",
+    text: str = "text",
+    threshold: float = 0.3,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """(key, score, predicted, n_passages, passages): passages are (start, end, score) in tokens.
 
     ``score`` is the probability of the toxic label; ``predicted`` is 1 from ``threshold``
     on. Only passages beyond chance are listed. NULL and empty texts have no passage and the
-    score of no evidence. Repeated rows stay; further columns are left out. The model travels
-    as a broadcast variable: ``learn`` bounds its size.
+    score of no evidence. Repeated rows stay; further columns are left out, or those named in ``keep`` go
+    first instead of the key alone. The model travels as a broadcast variable: ``learn`` bounds
+    its size.
     """
-    kind = documents.schema[key].dataType.simpleString()
+    keep = keep or [key]
+    fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep]
+    at = keep.index(text) if text in keep else len(keep)
     # Plain values: executors need not have this package.
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     held: dict[str, float] = {}  # each task has its own copy
@@ -250,7 +258,7 @@ def score(
         model = ToxicityModel.__new__(ToxicityModel)
         vars(model).update(shared.value)
         scores, passages = [], []
-        for value in texts_of(batch.column(1)):
+        for value in texts_of(batch.column(at)):
             found, n = _scan(value, model, held)
             scores.append(model.probability(model.evidence(found, n)))
             chance = math.log(model.space * n) if n else 0.0
@@ -258,15 +266,14 @@ def score(
                 [{"start": s, "end": e, "score": v} for s, e, v in found if model.decay * v > chance]
             )
         return {
-            key: batch.column(0),
+            **{c: batch.column(i) for i, c in enumerate(keep)},
             "score": pa.array(scores, pa.float64()),
             "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32()),
             "n_passages": pa.array([len(p) for p in passages], pa.int32()),
             "passages": pa.array(passages, pa.list_(passage)),
         }
 
-    schema = (
-        f"{key} {kind}, score double, predicted int, n_passages int, "
-        "passages array<struct<start: int, end: int, score: double>>"
-    )
-    return map_rows(documents.select(key, text), run, schema, text)
+    fields += ["score double, predicted int, n_passages int"]
+    fields += ["passages array<struct<start: int, end: int, score: double>>"]
+    columns = keep if text in keep else [*keep, text]
+    return map_rows(documents.select(*columns), run, ", ".join(fields), text)
