@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import unset_if_zero
-from .groups import GROUP_ROWS, heavy_groups
+from .groups import GROUP_ROWS, heavy_groups, numbered
 
 _BLOCK_SPAN = 1 << 32
 
@@ -18,40 +18,85 @@ _BLOCK_SPAN = 1 << 32
 _CONTINUED = r"(?m)(?:^(?![ \t]*[#;\[])|(?!\A)\G)(.*?)\\\n[ \t]*"
 
 
+# Stand-ins for the line breaks that do not end an entry: after a comment, and in a value
+# between triple quotes. Control characters that no INI text holds.
+_AFTER_COMMENT, _IN_VALUE = "\x02", "\x04"
+_COMMENTS = f"(?:[ \\t]*[#;][^{_AFTER_COMMENT}\n]*{_AFTER_COMMENT})"
+
+
+def _comment(prefix: Column) -> Column:
+    """Comment lines, joined by line feeds, from the stretch before an entry."""
+    lines = F.split(F.rtrim(prefix, F.lit(_AFTER_COMMENT)), _AFTER_COMMENT)
+    text = F.array_join(F.transform(lines, lambda line: F.btrim(line, F.lit(" \t"))), "\n")
+    return F.when(prefix != "", text)
+
+
 def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> DataFrame:
-    """(doc_id, ord, section, key, value, valueless): the keys of INI texts.
+    """(doc_id, ord, section, key, value, valueless, comment, section_comment): keys of INI texts.
 
-    A key ends at the first ``=`` or ``:``; a line without either is a key with the
-    value ``true``. Comments start with ``#`` or ``;``, on their own line or behind a
-    value; quotes around a value are dropped; a line ending in a backslash goes on in
-    the next. Keys before any section have a NULL section. ``ord`` rises with the line:
-    the section block times 2**32 plus the line in it. A document is parsed inside its row, so nothing shuffles.
+    A key ends at the first ``=`` or ``:``; a line without either is a key with the value
+    ``true``. Quotes around a value are dropped: single, double, backticks, and triple double
+    quotes, between which a value may go over lines. A line ending in a backslash goes on in
+    the next. Keys before any section have a NULL section. ``ord`` rises with the line: the
+    section block times 2**32 plus the line in it. A document is parsed inside its row, so
+    nothing shuffles.
+
+    Comments start with ``#`` or ``;``. Lines of comment above a key are its ``comment``, those
+    above a section header the ``section_comment`` of its keys; one behind a value, or with
+    nothing below it in its section, is dropped.
     """
     text = F.replace(F.col(doc), F.lit("\r\n"), F.lit("\n"))
+    quotes = F.lit('"""')
+    inside = F.transform(
+        F.split(text, '"""', -1),
+        lambda piece, at: F.when(at % 2 == 1, F.replace(piece, F.lit("\n"), F.lit(_IN_VALUE)))
+        .otherwise(piece),
+    )
+    text = F.when(F.contains(text, quotes), F.array_join(inside, '"""')).otherwise(text)
     text = F.when(
         F.contains(text, F.lit("\\\n")), F.regexp_replace(text, _CONTINUED, "$1")
     ).otherwise(text)
+    text = F.regexp_replace(text, r"(?m)^([ \t]*[#;][^\n]*)\n(?:[ \t]*\n)*", f"$1{_AFTER_COMMENT}")
     blocks = docs.select(
-        doc_id, F.posexplode(F.split(text, r"\n(?=[ \t]*\[)", -1)).alias("_block", "_text")
+        doc_id,
+        F.posexplode(F.split(text, rf"\n(?={_COMMENTS}*[ \t]*\[)", -1)).alias("_block", "_text"),
     )
-    header = F.nullif(F.regexp_extract("_text", r"^[ \t]*\[([^\n]*)\]", 1), F.lit(""))
+    start = rf"^({_COMMENTS}*)[ \t]*\[([^\n]*)\]"
+    header = F.nullif(F.regexp_extract("_text", start, 2), F.lit(""))
     lines = blocks.select(
         doc_id,
         "_block",
         F.trim(header).alias("section"),
-        F.posexplode(F.split("_text", "\n", -1)).alias("_line", "_raw"),
-    ).withColumn("_raw", F.trim(F.replace("_raw", F.lit("\t"), F.lit(" "))))
+        _comment(F.regexp_extract("_text", start, 1)).alias("section_comment"),
+        F.posexplode(F.split("_text", "\n", -1)).alias("_line", "_entry"),
+    )
+    entry = rf"(?s)^({_COMMENTS}*)(.*)$"
+    lines = lines.withColumns(
+        {
+            "comment": _comment(F.regexp_extract("_entry", entry, 1)),
+            "_raw": F.btrim(F.regexp_extract("_entry", entry, 2), F.lit(" \t")),
+        }
+    )
     raw = F.col("_raw")
-    key = F.trim(F.regexp_extract(raw, r"^([^=:]*)", 1))
-    value = F.trim(F.regexp_extract(raw, r"^[^=:]*[=:](.*)$", 1))
-    quoted = value.rlike(r"^`[^`]*`")
-    value = F.when(quoted, F.regexp_extract(value, r"^`([^`]*)`", 1)).otherwise(
-        F.regexp_replace(
-            F.trim(F.regexp_replace(value, r"[#;].*$", "")), r"^(['\"])(.*)\1$", "$2"
+    key = F.btrim(F.regexp_extract(raw, r"(?s)^([^=:]*)", 1), F.lit(" \t"))
+    value = F.btrim(F.regexp_extract(raw, r"(?s)^[^=:]*[=:](.*)$", 1), F.lit(" \t"))
+    plain = F.regexp_replace(
+        F.btrim(F.regexp_replace(value, r"(?s)[#;].*$", ""), F.lit(" \t")),
+        r"(?s)^(['\"])(.*)\1$",
+        "$2",
+    )
+    value = (
+        F.when(
+            value.rlike(r'(?s)^"""(.*)"""'),
+            F.replace(
+                F.regexp_extract(value, r'(?s)^"""(.*)"""', 1), F.lit(_IN_VALUE), F.lit("\n")
+            ),
         )
+        .when(value.rlike(r"(?s)^`[^`]*`"), F.regexp_extract(value, r"(?s)^`([^`]*)`", 1))
+        .otherwise(plain)
     )
     valueless = ~raw.rlike(r"[=:]")
-    bare = F.trim(F.regexp_replace(raw, r"[#;].*$", ""))
+    bare = F.btrim(F.regexp_replace(raw, r"(?s)[#;].*$", ""), F.lit(" \t"))
     kept = (raw != "") & ~raw.rlike(r"^[#;\[]")
     return lines.where(kept).select(
         doc_id,
@@ -60,16 +105,24 @@ def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> Da
         F.when(valueless, bare).otherwise(key).alias("key"),
         F.when(valueless, F.lit("true")).otherwise(value).alias("value"),
         valueless.alias("valueless"),
+        "comment",
+        "section_comment",
     )
 
 
+def _or_null(rows: DataFrame, column: str) -> Column:
+    known = column in rows.columns
+    return (F.col(column) if known else F.lit(None).cast("string")).alias(column)
+
+
 def overlay_config(
     layers: Sequence[tuple[str, DataFrame]], *, doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, section, key, value, source, valueless, layer, ord): the last layer wins per key.
+    """(doc_id, section, key, value, source, valueless, comment, section_comment, layer, ord).
 
-    ``layers`` are (name, rows) from the base up. A key keeps the place where it first
-    appeared: (layer, ord). Rows without ``ord`` or ``valueless`` may leave them out.
+    ``layers`` are (name, rows) from the base up; the last layer wins per key. A key keeps the
+    place where it first appeared, (layer, ord), and the comments it has there. Rows without
+    ``ord``, ``valueless`` or comments may leave them out.
     Within one layer the later row wins. One shuffle, combined map-side.
     """
     every: DataFrame | None = None
@@ -85,11 +138,12 @@ def overlay_config(
             valueless.alias("valueless"),
             F.lit(number).alias("layer"),
             ordinal.alias("ord"),
+            *[_or_null(rows, column) for column in ("comment", "section_comment")],
         )
         every = layer if every is None else every.unionByName(layer)
     if every is None:
         raise ValueError("at least one layer is needed")
-    place = F.struct("layer", "ord")
+    place = F.struct("layer", "ord", "value", "comment", "section_comment")
     return (
         every.groupBy(doc_id, "section", "key")
         .agg(
@@ -98,86 +152,105 @@ def overlay_config(
             ).alias("_last"),
             F.min(place).alias("_place"),
         )
-        .select(doc_id, "section", "key", "_last.*", "_place.*")
+        .select(
+            doc_id, "section", "key", "_last.*",
+            *[f"_place.{c}" for c in ("comment", "section_comment", "layer", "ord")],
+        )
     )
 
 
-def _quoted(value: Column) -> Column:
+def quoted(value: Column) -> Column:
+    """A value as INI text that ``ini_rows`` reads back, whatever it holds.
+
+    Only a value with both triple quotes and a line break or backtick has no such text.
+    """
+    marked = F.contains(value, F.lit('"""')) | value.rlike(r"[#;]|\\$") | value.rlike(
+        r"(?s)^(['\"]).*\1$"
+    )
     return (
         F.when(value.rlike(r"[\n`]"), F.concat(F.lit('"""'), value, F.lit('"""')))
-        .when(value.rlike(r"[#;]"), F.concat(F.lit("`"), value, F.lit("`")))
-        .when(F.trim(value) != value, F.concat(F.lit('"'), value, F.lit('"')))
+        .when(marked, F.concat(F.lit("`"), value, F.lit("`")))
+        .when(F.btrim(value, F.lit(" \t")) != value, F.concat(F.lit('"'), value, F.lit('"')))
         .otherwise(value)
     )
 
 
 def ini_documents(
-    rows: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    limit: int | None = GROUP_ROWS,
-    counted: DataFrame | None = None,
+    rows: DataFrame, *, doc_id: str = "doc_id", part_keys: int = GROUP_ROWS
 ) -> DataFrame:
     """(doc_id, part, text): sections and keys written back as INI text.
 
-    Rows are (doc_id, section, key, value) with optional ``layer``, ``ord`` and
-    ``valueless``, as from ``ini_rows`` or ``overlay_config``. Sections and keys come
-    in the order of first appearance, the keys without section first.
+    Rows are (doc_id, section, key, value) with optional ``layer``, ``ord``, ``valueless``,
+    ``comment`` and ``section_comment``, as from ``ini_rows`` or ``overlay_config``. Sections and
+    keys come in the order of first appearance, the keys without section first. A key that
+    occurs twice in a section keeps its first place and its last value.
 
-    A document of up to ``limit`` keys is one text, part 0. A larger one is dealt out
-    by key over rows / limit parts; each part repeats the section headers it needs,
-    so the parts one after the other are the whole document. The keys are counted in
-    ``counted``, when ``rows`` are costly to derive and it has no fewer per document;
-    not at all with a ``limit`` of None, for documents known to be small.
+    A text has up to ``part_keys`` keys; a document with more comes in parts 0, 1, 2, ... in
+    order. A part begins with the header of the section it goes on with, so each is a text
+    of its own and their keys one after the other are the whole document.
     """
     zero = F.lit(0).cast("bigint")
-    placed = rows.withColumn("part", zero)
-    if limit is not None:
-        parts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
-        heavy = heavy_groups(rows if counted is None else counted, [doc_id], limit)
-        part = F.pmod(F.xxhash64("section", "key"), F.col("_parts"))
-        placed = rows.join(
-            F.broadcast(heavy.withColumn("_parts", parts)),
-            F.col(doc_id) == F.col(f"_heavy_{doc_id}"),
-            "left",
-        ).withColumn("part", F.coalesce(part, zero))
     valueless = F.col("valueless") if "valueless" in rows.columns else F.lit(False)
     layer = F.col("layer") if "layer" in rows.columns else F.lit(0)
     order = F.col("ord").cast("bigint") if "ord" in rows.columns else zero
     line = F.when(valueless, F.col("key")).otherwise(
-        F.concat(F.col("key"), F.lit(" = "), _quoted(F.coalesce("value", F.lit(""))))
+        F.concat(F.col("key"), F.lit(" = "), quoted(F.coalesce("value", F.lit(""))))
     )
-    lines = (
-        placed.select(
-            doc_id,
-            "part",
-            "section",
-            F.struct(layer.alias("layer"), order.alias("ord"), F.col("key")).alias("place"),
-            line.alias("line"),
-        )
-        # Both aggregations below are clustered by this one shuffle.
-        .repartition(doc_id, "part")
+    place = F.struct(layer.alias("layer"), order.alias("ord"), F.col("key").alias("key"))
+    lines = rows.select(
+        doc_id,
+        "section",
+        "key",
+        place.alias("place"),
+        line.alias("line"),
+        *[_or_null(rows, column) for column in ("comment", "section_comment")],
     )
-    in_order = F.sort_array(F.collect_list(F.struct("place", "line")))
-    body = F.array_join(F.transform(in_order, lambda x: x["line"]), "\n")
-    sections = (
-        lines.groupBy(doc_id, "part", "section")
-        .agg(F.min("place").alias("first"), body.alias("body"))
-        .select(
-            doc_id,
-            "part",
-            F.struct(
-                F.col("section").isNotNull().alias("named"),
-                "first",
-                F.concat(
-                    F.coalesce(F.concat(F.lit("["), "section", F.lit("]\n")), F.lit("")), "body"
-                ).alias("text"),
-            ).alias("entry"),
-        )
+    first = F.struct("place", "comment", "section_comment")
+    once = (
+        lines.groupBy(doc_id, "section", "key")
+        .agg(F.min(first).alias("first"), F.max_by("line", "place").alias("line"))
+        .select(doc_id, "section", "first.*", "line")
+    )
+    head = F.min(F.struct("place", "section_comment")).alias("head")
+    sections = once.groupBy(doc_id, F.col("section").alias("_section")).agg(head)
+    entry = F.concat(F.coalesce(F.concat("comment", F.lit("\n")), F.lit("")), "line")
+    placed = once.drop("section_comment").join(
+        sections.withColumnRenamed(doc_id, "_doc"),
+        F.col(doc_id).eqNullSafe(F.col("_doc")) & F.col("section").eqNullSafe(F.col("_section")),
+    ).select(
+        doc_id,
+        F.struct(F.col("section").isNotNull().alias("named"), F.col("head.place").alias("at"))
+        .alias("_head"),
+        "place",
+        "section",
+        F.col("head.section_comment").alias("section_comment"),
+        entry.alias("line"),
+    )
+    heavy = heavy_groups(placed.select(doc_id), [doc_id], part_keys)
+    if heavy.isEmpty():
+        parts = placed.withColumn("part", zero)
+    else:
+        positions = numbered(placed, [doc_id], ["_head", "place"], part_keys)
+        parts = positions.withColumn("part", F.expr(f"(pos - 1) div {part_keys}"))
+    bodies = (
+        # Both aggregations below are clustered by this one shuffle.
+        parts.repartition(doc_id, "part")
+        .groupBy(doc_id, "part", "_head", "section", "section_comment")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
     )
-    entries = F.sort_array(F.collect_list("entry"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    note = F.coalesce(F.concat("section_comment", F.lit("\n")), F.lit(""))
+    title = F.when(
+        F.col("section").isNotNull(),
+        # The comment stands where the section begins, not where a part goes on with it.
+        F.concat(
+            F.when(F.col("lines")[0]["place"] == F.col("_head.at"), note).otherwise(""),
+            F.lit("["), "section", F.lit("]\n"),
+        ),
+    ).otherwise("")
+    entries = F.sort_array(F.collect_list(F.struct("_head", F.concat(title, body).alias("text"))))
     text = F.array_join(F.transform(entries, lambda x: x["text"]), "\n\n")
-    return sections.groupBy(doc_id, "part").agg(F.concat(text, F.lit("\n")).alias("text"))
+    return bodies.groupBy(doc_id, "part").agg(F.concat(text, F.lit("\n")).alias("text"))
 
 
 def _compacted(col: Column, data_type: T.DataType) -> Column:

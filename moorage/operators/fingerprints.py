@@ -20,10 +20,12 @@ def fingerprint_rows(
     into: str | None = None,
     separator: str = "\x1f",
 ) -> DataFrame:
-    """Add an integer fingerprint of the text of ``columns``, joined by ``separator``.
+    """Add an integer fingerprint of ``columns``.
 
-    One column is hashed as it is, so equals the scalar function; a NULL in one
-    column gives NULL, among several it counts as empty text.
+    The FNV hashes take the text of the columns, joined by ``separator``. One column is
+    hashed as it is, so equals the scalar function; a NULL in one column gives NULL, among
+    several it counts as empty text. ``murmur`` chains the typed columns, each with the hash so
+    far as seed, and skips a NULL; it has no separator.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}; known are {', '.join(ALGORITHMS)}")

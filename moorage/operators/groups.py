@@ -2,23 +2,23 @@
 
 All of them rest on one bound: of N rows, at most N / limit groups can have more
 than ``limit`` rows. Those heavy groups are found with a map-side combined count
-over the key columns only, and that short list is what gets broadcast: a million
-rows per 10**12 input rows at the default limit. Groups within the limit take the
-plain Spark route.
+over the key columns only, once per call. If there are none, the plain Spark route is
+taken; else the heavy groups are worked on apart. The result is the same either way.
+Joins with the list of heavy groups carry no hint: Spark goes by its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_ROWS = 1_000_000
+from ..sources.scratch import written
 
-# Slices per block in the running count over the slices of one heavy group.
-_BLOCK_SLICES = 100_000
+GROUP_ROWS = 1_000_000
 
 
 def _require_whole_numbers(df: DataFrame, order: str) -> None:
@@ -26,101 +26,97 @@ def _require_whole_numbers(df: DataFrame, order: str) -> None:
         raise ValueError(f"{order} must be a whole number column giving the listing position")
 
 
-def heavy_groups(df: DataFrame, keys: Sequence[str], limit: int, *extra: Column) -> DataFrame:
+def heavy_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Key values with more than ``limit`` rows, as ``_heavy_<key>`` columns and ``_heavy_rows``."""
     return (
         df.groupBy(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_heavy_rows"), *extra)
+        .agg(F.count(F.lit(1)).alias("_heavy_rows"))
         .where(F.col("_heavy_rows") > limit)
     )
 
 
-def _is_heavy(keys: Sequence[str], null_safe: bool) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        left, right = F.col(k), F.col(f"_heavy_{k}")
-        condition = condition & (left.eqNullSafe(right) if null_safe else left == right)
-    return condition
+def _is_heavy(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
 
 
 def sliced(
-    df: DataFrame, keys: Sequence[str], order: str, limit: int = GROUP_ROWS
+    heavy_rows: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int
 ) -> DataFrame:
-    """Add ``slice``: 0 for a group within the limit, else consecutive ranges of ``order``.
+    """Add ``slice``: ranges of (keys, order) over all rows, cut by Spark's own sampling.
 
-    ``order`` is a listing position, unique within its group, so a slice holds at
-    most ``limit`` rows and slices follow each other in listing order. Also adds
-    ``_heavy_rows``, the size of a heavy group. Rows with a NULL key keep slice 0.
+    A slice has about rows / slices rows, however sparse or wide the positions are; only
+    rows that agree in every column of ``order`` cannot be told apart. The rows are
+    written once, so that every later read sees the same slices.
     """
-    _require_whole_numbers(df, order)
-    first = F.min(order).cast("bigint").alias("_heavy_first")
-    heavy = F.broadcast(heavy_groups(df, keys, limit, first))
-    return (
-        df.join(heavy, _is_heavy(keys, null_safe=False), "left")
-        .withColumn("slice", F.expr(f"coalesce((`{order}` - _heavy_first) div {limit}, 0L)"))
-        .drop(*[f"_heavy_{k}" for k in keys], "_heavy_first")
-    )
-
+    dealt = heavy_rows.repartitionByRange(slices, *keys, *order)
+    return written(dealt.withColumn("slice", F.spark_partition_id().cast("bigint")), "slices")
 
-def _slice_offsets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the same heavy group that lie in earlier slices, per slice.
 
-    The running count goes over blocks of slices first and then over the slices of
-    one block, so that no window sees more than a block.
-    """
-    counts = (
-        rows.where(F.col("_heavy_rows").isNotNull())
-        .groupBy(*keys, "slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_block", F.expr(f"slice div {_BLOCK_SLICES}"))
-    )
-    earlier = Window.unboundedPreceding, -1
-    per_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*earlier)
-    per_slice = Window.partitionBy(*keys, "_block").orderBy("slice").rowsBetween(*earlier)
-    blocks = (
-        counts.groupBy(*keys, "_block")
-        .agg(F.sum("_rows").alias("_block_rows"))
-        .withColumn("_before_block", F.coalesce(F.sum("_block_rows").over(per_block), F.lit(0)))
-        .drop("_block_rows")
-    )
-    return (
-        counts.withColumn("_before_slice", F.coalesce(F.sum("_rows").over(per_slice), F.lit(0)))
-        # Outer, so that no filter is inferred and both sides share one count.
-        .join(blocks, [*keys, "_block"], "left")
-        .select(*keys, "slice", (F.col("_before_block") + F.col("_before_slice")).alias("_offset"))
+def _plainly(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    return df.withColumns(
+        {
+            "pos": F.row_number().over(group.orderBy(*order)).cast("bigint"),
+            "n": F.count(F.lit(1)).over(group),
+        }
     )
 
 
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     limit: int = GROUP_ROWS,
     per_group: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``pos`` (1-based position in the group by ``order``), ``n`` (group size), ``slice``.
+    """Add ``pos`` (1-based position in the group by ``order``) and ``n`` (group size).
 
-    Rows shuffle once, on (keys, slice); a heavy group is numbered slice by slice
-    and shifted by the number of rows in its earlier slices.
+    Without heavy groups rows shuffle once, on the keys. The rows of heavy groups are cut
+    into slices of their order, numbered slice by slice and shifted by the rows in earlier
+    slices of the same group. ``order`` may name more columns to break ties. NULL is a key
+    like any other.
 
-    The columns of ``per_group``, which has one row per group, come along in the
-    same join (NULL for a group it does not have): it is repeated for the later
-    slices of heavy groups.
+    The columns of ``per_group``, which has one row per group, come along (NULL for a group
+    it does not have).
     """
-    rows = sliced(df, keys, order, limit)
-    slices = _slice_offsets(sliced(df.select(*keys, order), keys, order, limit), keys)
-    if per_group is not None:
-        later = slices.where(F.col("slice") > 0).join(per_group, [*keys])
-        nothing = F.lit(0).cast("bigint")
-        slices = per_group.withColumns({"slice": nothing, "_offset": nothing}).unionByName(later)
-    within = Window.partitionBy(*keys, "slice")
-    return (
-        rows.withColumn("_local", F.row_number().over(within.orderBy(order)).cast("bigint"))
-        .withColumn("n", F.coalesce(F.col("_heavy_rows"), F.count(F.lit(1)).over(within)))
-        .join(slices, [*keys, "slice"], "left")
-        .withColumn("pos", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0).cast("bigint")))
-        .drop("_heavy_rows", "_local", "_offset")
+    if isinstance(order, str):
+        _require_whole_numbers(df, order)
+        order = [order]
+    heavy = heavy_groups(df.select(*keys), keys, limit)
+    total = heavy.agg(F.sum("_heavy_rows")).first()[0]
+
+    def along(rows: DataFrame) -> DataFrame:
+        return rows if per_group is None else rows.join(per_group, [*keys], "left")
+
+    if not total:
+        return along(_plainly(df, keys, order))
+    heavy = written(heavy, "heavy")
+    light = _plainly(df.join(heavy, _is_heavy(keys), "left_anti"), keys, order)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sliced(
+        df.join(heavy, _is_heavy(keys), "left_semi"), keys, order, max(least, -(-total // limit))
+    )
+    # A group has at most as many slices as there are: these windows see counts only.
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        rows.groupBy(*keys, "slice")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(
+            *[F.col(k).alias(f"_heavy_{k}") for k in keys],
+            F.col("slice").alias("_slice"),
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(group).alias("n"),
+        )
     )
+    within = Window.partitionBy(*keys, "slice").orderBy(*order)
+    shifted = (
+        rows.withColumn("_local", F.row_number().over(within).cast("bigint"))
+        .join(shifts, _is_heavy(keys) & (F.col("slice") == F.col("_slice")))
+        .withColumn("pos", F.col("_local") + F.col("_before"))
+        .select(*df.columns, "pos", "n")
+    )
+    return along(light).unionByName(along(shifted))
 
 
 def lookup(
@@ -139,23 +135,22 @@ def lookup(
     A NULL key matches nothing but is spread all the same. ``counted`` is the table
     to find the heavy keys in, when ``left`` was derived from it at some cost.
     """
-    salts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
-    heavy = F.broadcast(
-        heavy_groups(left if counted is None else counted, keys, limit)
-        .withColumn("_salts", salts)
-        .drop("_heavy_rows")
+    heavy = heavy_groups(
+        (left if counted is None else counted).select(*keys), keys, limit
     )
+    if heavy.isEmpty():
+        return left.join(right, [*keys], "left")
+    salts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
+    heavy = written(heavy.withColumn("_salts", salts).drop("_heavy_rows"), "heavy")
     heavy_columns = [f"_heavy_{k}" for k in keys] + ["_salts"]
     one = F.lit(1).cast("bigint")
     salt = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_salts"), one))
     salted_left = (
-        left.join(heavy, _is_heavy(keys, null_safe=True), "left")
-        .withColumn("_salt", salt)
-        .drop(*heavy_columns)
+        left.join(heavy, _is_heavy(keys), "left").withColumn("_salt", salt).drop(*heavy_columns)
     )
     every_salt = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), one) - one)
     salted_right = (
-        right.join(heavy, _is_heavy(keys, null_safe=True), "left")
+        right.join(heavy, _is_heavy(keys), "left")
         .withColumn("_salt", F.explode(every_salt))
         .drop(*heavy_columns)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import compact_json_column
-from .groups import GROUP_ROWS, gathered, numbered, sliced
+from .groups import GROUP_ROWS, numbered
 
 # Ports, addresses and the settings of each kind of cluster.
 GROUP_PORT = 33061
@@ -34,9 +34,10 @@ GROUP_SETTINGS = {
 }
 XTRADB_SETTINGS = {"pxc-encrypt-cluster-traffic": "OFF"}
 
-# Up to this many members a cluster's peer list is copied into the settings of each
-# member; beyond it, copying would grow with the square of the cluster.
-INLINE_PEERS = 128
+# Members that one part of a cluster's lists holds.
+LIST_PART = 1000
+# Lists of all members: once per cluster in parts, or whole for every member.
+SHARED, INLINE = "shared", "inline"
 
 
 def _manager_url(address: Column) -> Column:
@@ -62,7 +63,35 @@ def assign_roles(
                 "manager_url": _manager_url(F.col(public_ip)),
             }
         )
-        .drop("pos", "n", "slice")
+        .drop("pos", "n")
+    )
+
+
+def _in_parts(
+    members: DataFrame,
+    cluster: str,
+    order: str,
+    private_ip: str,
+    part_size: int,
+    limit: int,
+    per_group: DataFrame | None = None,
+) -> DataFrame:
+    """(cluster, part, n, nodes): members by position, ``part_size`` to a part, parts 0, 1, 2, ...
+
+    ``nodes`` are (pos, address) in listing order, ``n`` the size of the cluster; the columns
+    of ``per_group`` come along.
+    """
+    placed = numbered(members.select(cluster, order, private_ip), [cluster], order, limit, per_group)
+    further = [c for c in per_group.columns if c != cluster] if per_group is not None else []
+    node = F.struct("pos", F.col(private_ip).alias("address"))
+    return (
+        placed.withColumn("part", F.expr(f"(pos - 1) div {part_size}"))
+        .groupBy(cluster, "part")
+        .agg(
+            F.any_value("n").alias("n"),
+            F.sort_array(F.collect_list(node)).alias("nodes"),
+            *[F.any_value(c).alias(c) for c in further],
+        )
     )
 
 
@@ -73,20 +102,20 @@ def peer_lists(
     order: str = "launch_ord",
     private_ip: str = "private_ip",
     galera_port: int = GALERA_PORT,
+    part_size: int = LIST_PART,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """(cluster, part, n, nodes, allow_list, seeds, cluster_address, manager_urls).
 
-    Every form of a cluster's address list, in listing order. A cluster of up to
-    ``limit`` members is one part; a larger one comes in consecutive parts, whose
-    texts joined by the list's separator are the whole list.
+    Every form of a cluster's address list, in listing order, in parts 0, 1, 2, ... of
+    ``part_size`` members; the parts' texts joined by the list's separator are the whole list.
     """
-    rows = sliced(members.select(cluster, order, private_ip), [cluster], order, limit)
-    nodes, part = F.col(private_ip), F.col("slice")
-    return gathered(rows, [cluster, "slice"], order, private_ip).select(
+    rows = _in_parts(members, cluster, order, private_ip, part_size, limit)
+    nodes, part = F.transform("nodes", lambda node: node["address"]), F.col("part")
+    return rows.select(
         cluster,
-        part.alias("part"),
-        F.size(nodes).alias("n"),
+        part,
+        F.size("nodes").alias("n"),
         nodes.alias("nodes"),
         _allow_list(nodes).alias("allow_list"),
         _seeds(nodes).alias("seeds"),
@@ -150,29 +179,122 @@ def _settings(pairs: dict[str, str | Column]) -> Column:
     )
 
 
-def _placed_members(
+def _own_settings(
+    kind: Column, size: Column, name: Column, pos: Column, address: Column,
+    server_port: int, galera_port: int,
+) -> Column:
+    """What a member has for itself, as (key, value) pairs; NULL without any."""
+    every = {"server_id": pos.cast("string"), **SOURCE_SETTINGS}
+    own_async = {
+        **every,
+        "bind-address": F.when(pos == 1, F.concat(address, F.lit(",localhost"))),
+    }
+    own_group = {
+        **every,
+        **GROUP_SETTINGS,
+        "group_replication_group_name": name,
+        "group_replication_local_address": F.concat(address, F.lit(f":{GROUP_PORT}")),
+    }
+    own_xtradb = {
+        "port": str(server_port),
+        "wsrep_node_name": address,
+        "wsrep_node_address": F.concat(address, F.lit(f":{galera_port}")),
+        "wsrep_provider_options": f"base_port={galera_port}",
+        **XTRADB_SETTINGS,
+    }
+    pairs = (
+        F.when((kind == ASYNC) & (size > 1), _settings(own_async))
+        .when(kind == GROUP, _settings(own_group))
+        .when(kind == XTRADB, _settings(own_xtradb))
+    )
+    return F.filter(pairs, lambda pair: pair["value"].isNotNull())
+
+
+def _list_settings(kind: Column, nodes: Column, part: Column, galera_port: int) -> Column:
+    """The settings that list members, as (key, value) pairs; NULL without any."""
+    group = {
+        "group_replication_group_seeds": _seeds(nodes),
+        "group_replication_ip_allowlist": _allow_list(nodes),
+    }
+    xtradb = {"wsrep_cluster_address": _cluster_address(nodes, galera_port, part)}
+    return F.when(kind == GROUP, _settings(group)).when(kind == XTRADB, _settings(xtradb))
+
+
+def member_settings(
     members: DataFrame,
-    clusters: DataFrame | None,
-    cluster: str,
-    order: str,
-    private_ip: str,
-    inline_peers: int,
-    limit: int,
+    clusters: DataFrame,
+    *,
+    cluster: str = "cluster_id",
+    order: str = "launch_ord",
+    private_ip: str = "private_ip",
+    kind: str = "kind",
+    group_name: str | None = None,
+    server_port: int = SERVER_PORT,
+    galera_port: int = GALERA_PORT,
+    lists: str = INLINE,
+    part_size: int = LIST_PART,
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Members with their cluster's columns, ``pos``, ``n`` and, in a small cluster, ``peers``."""
-    rows = members.select(cluster, order, private_ip)
-    placed = numbered(rows, [cluster], order, limit, clusters)
-    together = Window.partitionBy(cluster, "slice")
-    # A cluster that is numbered in slices has no list of its own.
-    few = F.col("n") <= min(inline_peers, limit)
-    # Same partitioning as the numbering, so the list costs no further shuffle.
-    listed = F.collect_list(F.when(few, F.struct("pos", F.col(private_ip)))).over(together)
-    return placed.withColumn(
-        "peers",
-        F.when(few, F.transform(F.sort_array(listed), lambda x: x[private_ip])),
+    """(cluster, instance, server_id, part, settings): settings as an array of (key, value).
+
+    See :func:`instance_config`, which has a row for each setting.
+    """
+    if lists not in (SHARED, INLINE):
+        raise ValueError(f"lists must be {SHARED} or {INLINE}")
+    given_name = [F.col(group_name).cast("string").alias("_group_name")] if group_name else []
+    described = clusters.select(cluster, F.col(kind).alias("_kind"), *given_name)
+    described = described.where(F.col("_kind").isin(*KINDS))
+    name = F.col("_group_name") if group_name else _derived_uuid(F.col(cluster))
+    parts = _in_parts(members, cluster, order, private_ip, part_size, limit, described)
+    parts = parts.where(F.col("_kind").isNotNull())
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+
+    def own(node: Column) -> Column:
+        return F.struct(
+            node["address"].alias("instance"),
+            node["pos"].alias("server_id"),
+            zero.alias("part"),
+            _own_settings(
+                F.col("_kind"), F.col("n"), name, node["pos"], node["address"],
+                server_port, galera_port,
+            ).alias("settings"),
+        )
+
+    addresses = F.transform("nodes", lambda node: node["address"])
+    if lists == SHARED:
+        shared = F.struct(
+            none.alias("instance"),
+            F.lit(None).cast("bigint").alias("server_id"),
+            F.col("part").alias("part"),
+            _list_settings(F.col("_kind"), addresses, F.col("part"), galera_port).alias("settings"),
+        )
+        found = parts.select(
+            cluster, F.inline(F.concat(F.transform("nodes", own), F.array(shared)))
+        )
+        return found.where(F.col("settings").isNotNull())
+    whole = _whole_lists(parts, cluster)
+    listing = _list_settings(F.col("_kind"), F.col("_all"), zero, galera_port)
+    return (
+        parts.select(cluster, "_kind", F.inline(F.transform("nodes", own)))
+        .join(whole, cluster)
+        .withColumn(
+            "settings",
+            F.when(F.col("_kind") == ASYNC, F.col("settings")).otherwise(
+                F.concat("settings", listing)
+            ),
+        )
+        .where(F.col("settings").isNotNull())
+        .drop("_kind", "_all")
     )
 
 
+def _whole_lists(parts: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, _all): all addresses of a cluster in order. As large as the cluster."""
+    in_order = F.sort_array(F.collect_list(F.struct("part", "nodes")))
+    nodes = F.flatten(F.transform(in_order, lambda part: part["nodes"]))
+    return parts.groupBy(cluster).agg(F.transform(nodes, lambda node: node["address"]).alias("_all"))
+
+
 def instance_config(
     members: DataFrame,
     clusters: DataFrame,
@@ -184,7 +306,8 @@ def instance_config(
     group_name: str | None = None,
     server_port: int = SERVER_PORT,
     galera_port: int = GALERA_PORT,
-    inline_peers: int = INLINE_PEERS,
+    lists: str = INLINE,
+    part_size: int = LIST_PART,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """(cluster, instance, server_id, part, key, value): the settings of every member.
@@ -193,84 +316,17 @@ def instance_config(
     unknown kinds and members of unlisted clusters get none (see ``config_status``).
     The group name is ``group_name`` or, if not given, derived from the cluster id.
 
-    Settings that list all members are written per member up to ``inline_peers``
-    members. For a larger cluster they are written once, with ``instance`` NULL and
-    in parts as in :func:`peer_lists`, so that nothing grows with its square.
+    The caller chooses how settings that list all members are written, and a cluster's
+    size never changes it. ``lists="inline"``: for every member, as each member's server
+    needs them; that grows with the square of a cluster. ``lists="shared"``: once per cluster, with
+    ``instance`` NULL, in parts of ``part_size`` members as in :func:`peer_lists`.
     """
-    given_name = [F.col(group_name).cast("string").alias("_group_name")] if group_name else []
-    described = clusters.select(cluster, F.col(kind).alias("_kind"), *given_name).where(
-        F.col("_kind").isin(*KINDS)
-    )
-    name = F.col("_group_name") if group_name else _derived_uuid(F.col(cluster))
-    placed = _placed_members(members, described, cluster, order, private_ip, inline_peers, limit)
-
-    address, server_id = F.col(private_ip), F.col("pos").cast("string")
-    own_async = {
-        "server_id": server_id,
-        **SOURCE_SETTINGS,
-        "bind-address": F.when(F.col("pos") == 1, F.concat(address, F.lit(",localhost"))),
-    }
-    own_group = {
-        "server_id": server_id,
-        **SOURCE_SETTINGS,
-        **GROUP_SETTINGS,
-        "group_replication_group_name": name,
-        "group_replication_local_address": F.concat(address, F.lit(f":{GROUP_PORT}")),
-    }
-    own_xtradb = {
-        "port": str(server_port),
-        "wsrep_node_name": address,
-        "wsrep_node_address": F.concat(address, F.lit(f":{galera_port}")),
-        "wsrep_provider_options": f"base_port={galera_port}",
-        **XTRADB_SETTINGS,
-    }
-
-    def peer_settings(nodes: Column, part: Column) -> tuple[Column, Column]:
-        group = {
-            "group_replication_group_seeds": _seeds(nodes),
-            "group_replication_ip_allowlist": _allow_list(nodes),
-        }
-        xtradb = {"wsrep_cluster_address": _cluster_address(nodes, galera_port, part)}
-        return _settings(group), _settings(xtradb)
-
-    zero = F.lit(0).cast("bigint")
-    few = F.col("peers").isNotNull()
-    inline_group, inline_xtradb = peer_settings(F.col("peers"), zero)
-    is_group, is_xtradb = F.col("_kind") == GROUP, F.col("_kind") == XTRADB
-    own = (
-        F.when((F.col("_kind") == ASYNC) & (F.col("n") > 1), _settings(own_async))
-        .when(is_group & few, F.concat(_settings(own_group), inline_group))
-        .when(is_group, _settings(own_group))
-        .when(is_xtradb & few, F.concat(_settings(own_xtradb), inline_xtradb))
-        .when(is_xtradb, _settings(own_xtradb))
-    )
-    per_member = placed.select(
-        cluster,
-        address.alias("instance"),
-        F.col("pos").alias("server_id"),
-        zero.alias("part"),
-        F.inline(own),
-    ).where(F.col("value").isNotNull())
-
-    # Large clusters: already split by slice, so the lists gather without another shuffle.
-    in_order = F.sort_array(F.collect_list(F.struct("pos", address)))
-    large = (
-        placed.where(~few & (is_group | is_xtradb))
-        .groupBy(cluster, "slice")
-        .agg(
-            F.any_value("_kind").alias("_kind"),
-            F.transform(in_order, lambda x: x[private_ip]).alias("_nodes"),
-        )
+    found = member_settings(
+        members, clusters, cluster=cluster, order=order, private_ip=private_ip, kind=kind,
+        group_name=group_name, server_port=server_port, galera_port=galera_port,
+        lists=lists, part_size=part_size, limit=limit,
     )
-    large_group, large_xtradb = peer_settings(F.col("_nodes"), F.col("slice"))
-    per_cluster = large.select(
-        cluster,
-        F.lit(None).cast("string").alias("instance"),
-        F.lit(None).cast("bigint").alias("server_id"),
-        F.col("slice").alias("part"),
-        F.inline(F.when(is_group, large_group).otherwise(large_xtradb)),
-    )
-    return per_member.unionByName(per_cluster)
+    return found.select(cluster, "instance", "server_id", "part", F.inline("settings"))
 
 
 def _derived_uuid(cluster: Column) -> Column:
@@ -308,16 +364,17 @@ def manager_config(
     cluster: str = "cluster_id",
     order: str = "launch_ord",
     private_ip: str = "private_ip",
-    inline_peers: int = INLINE_PEERS,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(cluster, instance, peers_inline, json): the topology manager's config per instance.
+    """(cluster, instance, json): the topology manager's config per instance.
 
-    Up to ``inline_peers`` managers the document lists them all as ``RaftNodes``. In
-    a larger cluster it leaves the list out (``peers_inline`` false) and the nodes
-    are those of :func:`peer_lists`.
+    Every document lists all of its cluster's managers as ``RaftNodes``, so the result
+    grows with the square of a cluster, at any size.
     """
-    placed = _placed_members(members, None, cluster, order, private_ip, inline_peers, limit)
+    parts = _in_parts(members, cluster, order, private_ip, LIST_PART, limit)
+    placed = parts.select(
+        cluster, F.explode(F.transform("nodes", lambda node: node["address"])).alias("instance")
+    ).join(_whole_lists(parts, cluster), cluster)
     values: dict[str, object] = {
         "Debug": True,
         "ListenAddress": f":{MANAGER_PORT}",
@@ -325,10 +382,10 @@ def manager_config(
         "BackendDB": "sqlite",
         "SQLite3DataFile": "/var/lib/orchestrator/orchestrator.db",
         "RaftEnabled": True,
-        "RaftBind": F.col(private_ip),
+        "RaftBind": F.col("instance"),
         "RaftDataDir": "/var/lib/orchestrator",
         "DefaultRaftPort": MANAGER_RAFT_PORT,
-        "RaftNodes": F.col("peers"),
+        "RaftNodes": F.col("_all"),
         "DiscoverByShowSlaveHosts": False,
         "InstancePollSeconds": 5,
         "InstanceFlushIntervalMilliseconds": 100,
@@ -340,12 +397,5 @@ def manager_config(
         (value if isinstance(value, Column) else F.lit(value)).alias(key)
         for key, value in values.items()
     ]
-    wide = placed.select(
-        cluster,
-        F.col(private_ip).alias("instance"),
-        F.col("peers").isNotNull().alias("peers_inline"),
-        *columns,
-    )
-    return wide.select(
-        cluster, "instance", "peers_inline", compact_json_column(wide, list(values)).alias("json")
-    )
+    wide = placed.select(cluster, "instance", *columns)
+    return wide.select(cluster, "instance", compact_json_column(wide, list(values)).alias("json"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.documents import ini_documents, overlay_config
-from ..operators.groups import GROUP_ROWS
-from ..operators.topology import INLINE_PEERS, instance_config
+from ..operators.documents import quoted
+from ..operators.groups import GROUP_ROWS, numbered
+from ..operators.topology import INLINE, LIST_PART, SHARED, member_settings
 
 # The section edited, and the settings that monitoring needs.
 SERVER_SECTION = "mysqld"
@@ -29,20 +29,24 @@ MONITORING_SETTINGS = {
 }
 
 
-def settings_layer(
-    documents: DataFrame, settings: Mapping[str, str], section: str, doc_id: str = "doc_id"
-) -> DataFrame:
-    """The same settings as a layer for each of ``documents``."""
-    pairs = [
-        F.struct(
-            F.lit(section).alias("section"),
-            F.lit(key).alias("key"),
-            F.lit(value).alias("value"),
-            F.lit(number).alias("ord"),
-        )
-        for number, (key, value) in enumerate(settings.items())
-    ]
-    return documents.select(doc_id, F.inline(F.array(*pairs)))
+def _pairs(settings: Mapping[str, str]) -> Column:
+    return F.array(
+        *[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in settings.items()]
+    )
+
+
+def overlaid(pairs: Column) -> Column:
+    """The pairs of a row, later ones last: a key keeps its first place and its last value."""
+    keys = F.array_distinct(F.transform(pairs, lambda pair: pair["key"]))
+    return F.transform(
+        keys,
+        lambda key: F.struct(
+            key.alias("key"),
+            F.element_at(F.filter(pairs, lambda pair: pair["key"] == key), -1)["value"].alias(
+                "value"
+            ),
+        ),
+    )
 
 
 def cluster_files(
@@ -52,36 +56,51 @@ def cluster_files(
     base: Mapping[str, str] | None = None,
     monitored: bool = True,
     cluster: str = "cluster_id",
+    order: str = "launch_ord",
     private_ip: str = "private_ip",
-    inline_peers: int = INLINE_PEERS,
+    lists: str = INLINE,
+    part_size: int = LIST_PART,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(doc_id, part, text): one file per member, named cluster/address (unique per cluster).
+    """(doc_id, address, part, text): one file per member, named cluster/listing position.
 
-    Settings that a large cluster shares (see ``instance_config``) form a file of
-    their own, named by the cluster alone.
+    The text lists the ``base`` settings, those for monitoring and the member's own, these
+    by key; a later setting takes the place of an earlier one. Members without settings of
+    their own get the others. Two members with one address have a file each.
+
+    With ``lists="shared"`` (see ``instance_config``) the settings that list all members are a
+    file of their own, named by the cluster alone, in parts: each has its stretch of the list
+    under the same key, and the values joined by commas are the whole.
     """
-    name = F.concat_ws("/", F.col(cluster).cast("string"), F.col(private_ip))
-    documents = members.select(name.alias("doc_id"))
-    settings = instance_config(
-        members, clusters, cluster=cluster, private_ip=private_ip,
-        inline_peers=inline_peers, limit=limit,
+    settings = member_settings(
+        members, clusters, cluster=cluster, order=order, private_ip=private_ip, lists=lists,
+        part_size=part_size, limit=limit,
+    ).withColumn("settings", F.array_sort("settings"))
+    own = settings.where(F.col("server_id").isNotNull())
+    given = [_pairs(base)] if base else []
+    given += [_pairs(MONITORING_SETTINGS)] if monitored else []
+    nothing = F.array().cast("array<struct<key: string, value: string>>")
+    placed = numbered(members.select(cluster, order, private_ip), [cluster], order, limit)
+    every = placed.join(
+        own.select(cluster, F.col("server_id").alias("pos"), "settings"), [cluster, "pos"], "left"
+    ).select(
+        F.concat_ws("/", F.col(cluster).cast("string"), F.col(order).cast("string")).alias("doc_id"),
+        F.col(private_ip).alias("address"),
+        F.lit(0).cast("bigint").alias("part"),
+        overlaid(F.concat(*given, F.coalesce("settings", nothing))).alias("pairs"),
     )
-    role_rows = settings.select(
-        F.concat_ws("/", F.col(cluster).cast("string"), "instance").alias("doc_id"),
-        F.lit(SERVER_SECTION).alias("section"),
-        # Parts of one list stay apart as numbered keys.
-        F.when(F.col("part") > 0, F.concat_ws(".", "key", F.col("part").cast("string")))
-        .otherwise(F.col("key"))
-        .alias("key"),
-        "value",
+    if lists == SHARED:
+        every = every.unionByName(
+            settings.where(F.col("server_id").isNull()).select(
+                F.col(cluster).cast("string").alias("doc_id"),
+                F.lit(None).cast("string").alias("address"),
+                "part",
+                F.col("settings").alias("pairs"),
+            )
+        )
+    lines = F.transform(
+        "pairs", lambda pair: F.concat(pair["key"], F.lit(" = "), quoted(pair["value"]))
     )
-    layers = []
-    if base:
-        layers.append(("base", settings_layer(documents, base, SERVER_SECTION)))
-    if monitored:
-        monitoring = settings_layer(documents, MONITORING_SETTINGS, SERVER_SECTION)
-        layers.append(("monitoring", monitoring))
-    layers.append(("role", role_rows))
-    # A member's file has the given settings and the few of its role.
-    return ini_documents(overlay_config(layers), limit=None)
+    body = F.array_join(lines, "\n")
+    text = F.concat(F.lit(f"[{SERVER_SECTION}]\n"), body, F.lit("\n"))
+    return every.where(F.size("pairs") > 0).select("doc_id", "address", "part", text.alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -22,3 +22,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="moorage-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written once to the shared folder: later reads do not compute them anew."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import configparser
+import random
 import json
 
 import pytest
@@ -94,21 +95,56 @@ def test_written_documents_parse_back(spark):
     )
 
 
-def test_a_large_document_comes_in_whole_parts(spark):
+def test_a_large_document_comes_in_parts_in_order(spark):
     rows = [(1, i, f"s{i % 3}", f"key{i}", str(i)) for i in range(200)]
     rows += [(2, i, "s", f"key{i}", str(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id int, ord int, section string, key string, value string")
-    docs = m.ini_documents(df, limit=20).collect()
+    docs = m.ini_documents(df, part_keys=20).collect()
     assert [r.part for r in docs if r.doc_id == 2] == [0]
     parts = sorted((r.part, r.text) for r in docs if r.doc_id == 1)
-    assert len(parts) > 5
-    assert max(text.count(" = ") for _, text in parts) < 60
+    assert [p for p, _ in parts] == list(range(10))
+    assert {text.count(" = ") for _, text in parts} == {20}
     seen = []
     for _, text in parts:
         part = configparser.ConfigParser()
         part.read_string(text)
         seen += [(s, k, part[s][k]) for s in part.sections() for k in part[s]]
-    assert sorted(seen) == sorted((s, k, v) for d, _, s, k, v in rows if d == 1)
+    in_order = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[2], r[1]))
+    assert seen == [(s, k, v) for _, _, s, k, v in in_order]
+
+
+def test_a_doubled_key_keeps_its_place_and_last_value(spark):
+    df = spark.createDataFrame([(1, "[s]\nk = 1\nj = 0\nk = 2\n")], "doc_id int, doc string")
+    assert m.ini_documents(m.ini_rows(df)).first().text == "[s]\nk = 2\nj = 0\n"
+
+
+def test_comments_survive_an_edit(spark):
+    text = "# first\n; second\nearly = 1\n\n# of the section\n[s]\nk = 1\n# above j\nj = 2\n"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, doc string")
+    edit = spark.createDataFrame([(1, "s", "j", "3")], "doc_id int, section string, key string, value string")
+    edited = m.ini_documents(m.overlay_config([("base", m.ini_rows(docs)), ("edit", edit)]))
+    assert edited.first().text == text.replace("j = 2", "j = 3")
+
+
+def test_what_is_written_is_read_back(spark):
+    """Random sections, keys and values through the writer and the reader."""
+    rng = random.Random(11)
+    pieces = ["a", "Z9", " ", "\t", "#", ";", "=", ":", "'", '"', "`", "\n", "\\", "[", "]", "ü", "\n\n"]
+    rows = []
+    for doc in range(60):
+        for key in range(6):
+            value = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))
+            if '"""' in value and ("\n" in value or "`" in value):
+                continue
+            section = rng.choice([None, "s one", "t"])
+            rows.append((doc, key, section, f"k{key}.{rng.choice('xyz')}", value))
+    rows += [(99, 0, "s", "k", "x\ny"), (99, 1, "s", "q", '"q"'), (99, 2, "s", "b", "p`q")]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, section string, key string, value string")
+    again = m.ini_rows(m.ini_documents(df).withColumnRenamed("text", "doc"))
+    got = {(r.doc_id, r.section, r.key): r.value for r in again.collect()}
+    want = {(d, s, k): v for d, _, s, k, v in rows}
+    assert {k: v for k, v in got.items() if want.get(k) != v} == {}
+    assert len(got) == len(want)
 
 
 def layer(spark, *rows):

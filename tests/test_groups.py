@@ -40,24 +40,42 @@ def test_numbered_equals_brute_force(spark, skewed, limit):
     assert sorted(tuple(r) for r in result.collect()) == brute_positions(skewed)
 
 
-def test_slices_are_bounded_and_in_order(spark, skewed):
-    df = spark.createDataFrame(skewed, "key string, ord bigint")
-    slices = sliced(df, ["key"], "ord", 37).groupBy("key", "slice").agg(
-        F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")
+@pytest.mark.parametrize("positions", ["sparse", "full range", "equal"])
+def test_numbered_over_odd_positions(spark, positions):
+    """A heavy group is cut by its rows, not by the span of its positions."""
+    rng = random.Random(3)
+    if positions == "sparse":
+        orders = sorted({rng.randint(-(1 << 62), 1 << 62) for _ in range(500)})
+    elif positions == "full range":
+        orders = [-(1 << 63), (1 << 63) - 1] + rng.sample(range(1 << 60), 300)
+    else:
+        orders = [5] * 300
+    rows = [("hot", o, i) for i, o in enumerate(orders)] + [("cold", 1, 0)]
+    df = spark.createDataFrame(rows, "key string, ord bigint, tie int").repartition(4)
+    found = numbered(df, ["key"], ["ord", "tie"], 20).where("key = 'hot'").collect()
+    assert [(r.ord, r.tie) for r in sorted(found, key=lambda r: r.pos)] == sorted(
+        (o, t) for k, o, t in rows if k == "hot"
     )
-    found = sorted(tuple(r) for r in slices.collect())
-    assert max(n for _, _, n, _, _ in found) <= 37
-    hot = [row for row in found if row[0] == "hot"]
-    assert len(hot) > 10 and hot[0][1] == 0
-    assert all(a[4] < b[3] for a, b in zip(hot, hot[1:]))
-    assert {s for key, s, *_ in found if key != "hot"} == {0}
+    assert sorted(r.pos for r in found) == list(range(1, len(orders) + 1))
+    assert {r.n for r in found} == {len(orders)}
+
 
+def test_slices_share_the_rows_evenly(spark):
+    rng = random.Random(3)
+    rows = [("hot", o) for o in rng.sample(range(1 << 60), 4000)]
+    df = spark.createDataFrame(rows, "key string, ord bigint")
+    sizes = [r["count"] for r in sliced(df, ["key"], ["ord"], 16).groupBy("slice").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 4 * 4000 / 16
 
-def test_numbered_over_many_blocks(spark, skewed, monkeypatch):
-    monkeypatch.setattr("moorage.operators.groups._BLOCK_SLICES", 4)
+
+def test_group_columns_come_along(spark, skewed):
     df = spark.createDataFrame(skewed, "key string, ord bigint")
-    result = numbered(df, ["key"], "ord", 5).select("key", "ord", "pos", "n")
-    assert sorted(tuple(r) for r in result.collect()) == brute_positions(skewed)
+    groups = spark.createDataFrame([("hot", 1), ("k3", 2)], "key string, mark int")
+    for limit in (30, 1_000_000):
+        found = numbered(df, ["key"], "ord", limit, groups)
+        marks = {(r.key, r.mark) for r in found.select("key", "mark").distinct().collect()}
+        assert {("hot", 1), ("k3", 2), ("k4", None)} <= marks
+        assert found.count() == len(skewed)
 
 
 def test_numbered_keeps_rows_without_key(spark):
@@ -70,7 +88,7 @@ def test_numbered_keeps_rows_without_key(spark):
 def test_order_must_be_a_position(spark):
     df = spark.createDataFrame([("a", "x")], "key string, ord string")
     with pytest.raises(ValueError, match="listing position"):
-        sliced(df, ["key"], "ord")
+        numbered(df, ["key"], "ord")
 
 
 @pytest.mark.parametrize("limit", [3, 1_000_000])
@@ -104,7 +122,7 @@ def test_lookup_spreads_a_heavy_key(spark):
     assert len(sizes) == 8 and max(sizes) < 10_000 / 3
 
 
-def test_only_heavy_keys_are_broadcast(spark, skewed):
+def test_heavy_keys_are_found(spark, skewed):
     df = spark.createDataFrame(skewed, "key string, ord bigint")
     assert [tuple(r) for r in heavy_groups(df, ["key"], 100).collect()] == [("hot", 400)]
 

@@ -102,16 +102,31 @@ def test_whole_file_sources(spark, tmp_path):
     folder.mkdir()
     (folder / "server.txt").write_text("Version: 2\nVersion: 1\n")
     listing = m.package_index(read_package_listings(spark, str(folder)))
-    assert rows_of(listing) == [("server", 0, "2"), ("server", 1, "1")]
-    folder = tmp_path / "ini"
-    folder.mkdir()
-    (folder / "node1.cnf").write_text("[mysqld]\nport = 1\n")
+    assert rows_of(listing) == [("server.txt", 0, "2"), ("server.txt", 1, "1")]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    folder = tmp_path / "ini files"
+    for host, port in (("h1", 1), ("h2", 2)):
+        (folder / host).mkdir(parents=True)
+        (folder / host / "my.cnf").write_text(f"[mysqld]\nport = {port}\n")
     rows = m.ini_rows(read_ini_documents(spark, str(folder)))
-    assert rows_of(rows.select("doc_id", "section", "key", "value")) == [
-        ("node1", "mysqld", "port", "1")
+    documents = m.ini_documents(m.overlay_config([("base", rows)]))
+    assert rows_of(documents) == [
+        ("h1/my.cnf", 0, "[mysqld]\nport = 1\n"), ("h2/my.cnf", 0, "[mysqld]\nport = 2\n"),
     ]
 
 
+def test_documents_need_a_key(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="key"):
+        write_documents(df, str(tmp_path / "out"), [])
+    write_documents(df, str(tmp_path / "out"), ["doc_id"])
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_documents(df, str(tmp_path / "out"), ["doc_id"])
+    write_documents(df, str(tmp_path / "out"), ["doc_id"], mode="overwrite")
+
+
 def test_cluster_files(spark, tmp_path):
     members = spark.createDataFrame(
         [(1, i, f"10.0.0.{i}") for i in range(1, 4)] + [(2, 1, "10.1.0.1")],
@@ -120,15 +135,26 @@ def test_cluster_files(spark, tmp_path):
     clusters = spark.createDataFrame([(1, "xtradb"), (2, "async")], "cluster_id int, kind string")
     files = cluster_files(members, clusters, base={"port": "1", "keep": "yes"}, monitored=False)
     texts = {r.doc_id: r.text for r in files.collect()}
-    assert set(texts) == {"1/10.0.0.1", "1/10.0.0.2", "1/10.0.0.3", "2/10.1.0.1"}
-    assert texts["2/10.1.0.1"] == "[mysqld]\nport = 1\nkeep = yes\n"
-    assert texts["1/10.0.0.2"].startswith("[mysqld]\nport = 3306\nkeep = yes\n")
-    assert "wsrep_cluster_address = gcomm://10.0.0.1:4567,10.0.0.2:4567" in texts["1/10.0.0.2"]
-    shared = cluster_files(members, clusters, base={"keep": "yes"}, inline_peers=2, limit=2)
+    assert set(texts) == {"1/1", "1/2", "1/3", "2/1"}
+    assert texts["2/1"] == "[mysqld]\nport = 1\nkeep = yes\n"
+    assert texts["1/2"].startswith("[mysqld]\nport = 3306\nkeep = yes\n")
+    assert "wsrep_cluster_address = gcomm://10.0.0.1:4567,10.0.0.2:4567" in texts["1/2"]
+    shared = cluster_files(members, clusters, base={"keep": "yes"}, lists="shared", part_size=2)
     texts = {(r.doc_id, r.part): r.text for r in shared.collect()}
-    assert {d for d, _ in texts} == {"1", "1/10.0.0.1", "1/10.0.0.2", "1/10.0.0.3", "2/10.1.0.1"}
-    write_documents(files, str(tmp_path / "files"), partition_by=["doc_id"])
-    assert os.path.isdir(tmp_path / "files" / "doc_id=1%2F10.0.0.1")
+    assert set(texts) == {("1", 0), ("1", 1), ("1/1", 0), ("1/2", 0), ("1/3", 0), ("2/1", 0)}
+    assert texts["1", 1] == "[mysqld]\nwsrep_cluster_address = 10.0.0.3:4567\n"
+    write_documents(files, str(tmp_path / "files"), ["doc_id"])
+    assert os.path.isdir(tmp_path / "files" / "doc_id=1%2F1")
+
+
+def test_members_with_one_address_have_a_file_each(spark):
+    members = spark.createDataFrame(
+        [(1, 1, "10.0.0.1"), (1, 2, "10.0.0.1")], "cluster_id int, launch_ord int, private_ip string"
+    )
+    clusters = spark.createDataFrame([(1, "async")], "cluster_id int, kind string")
+    files = cluster_files(members, clusters).collect()
+    assert {(r.doc_id, r.address) for r in files} == {("1/1", "10.0.0.1"), ("1/2", "10.0.0.1")}
+    assert sorted("server_id = 2" in r.text for r in files) == [False, True]
 
 
 def test_registration_job(spark):

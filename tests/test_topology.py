@@ -60,15 +60,16 @@ def test_peer_lists(members):
     assert g.manager_urls == " ".join(f"http://{ip}:3000/orchestrator" for ip in FLEET["g"])
 
 
-def test_parts_of_a_large_peer_list_make_the_whole(members):
-    # Positions are ten apart, so 21 positions hold up to three members.
-    rows = sorted(m.peer_lists(members, limit=4).collect(), key=lambda r: (r.cluster_id, r.part))
+@pytest.mark.parametrize("limit", [2, 1_000_000])
+def test_parts_of_a_large_peer_list_make_the_whole(members, limit):
+    found = m.peer_lists(members, part_size=2, limit=limit).collect()
     whole = {}
-    for r in rows:
-        assert r.n <= 4
+    for r in sorted(found, key=lambda r: (r.cluster_id, r.part)):
+        assert r.n <= 2
+        whole.setdefault((r.cluster_id, "part"), []).append(r.part)
         for column in ("allow_list", "seeds", "cluster_address"):
             whole.setdefault((r.cluster_id, column), []).append(r[column])
-    assert len(whole["g", "seeds"]) > 1 and len(whole["s", "seeds"]) == 1
+    assert whole["g", "part"] == [0, 1, 2] and whole["s", "part"] == [0]
     for cluster, ips in FLEET.items():
         assert ",".join(whole[cluster, "allow_list"]) == ",".join(ips)
         assert ",".join(whole[cluster, "cluster_address"]) == "gcomm://" + ",".join(
@@ -104,11 +105,6 @@ def test_settings_per_member(members, clusters, limit):
         "enforce-gtid-consistency": "ON", "bind-address": "10.0.0.1,localhost",
     }
     assert second["server_id"] == "2" and "bind-address" not in second
-    if limit == 2:
-        # Numbered in slices, so their lists are shared ones.
-        shared = {cluster for cluster, instance in got if instance is None}
-        assert shared == {"g", "x"} and len(got["g", "10.1.0.3"]) == 11
-        return
     group = got["g", "10.1.0.3"]
     assert len(group) == 13
     assert group["group_replication_local_address"] == "10.1.0.3:33061"
@@ -124,10 +120,13 @@ def test_settings_per_member(members, clusters, limit):
 
 
 @pytest.mark.parametrize("limit", [3, 1_000_000])
-def test_settings_shared_by_a_large_cluster(members, clusters, limit):
-    rows = m.instance_config(members, clusters, inline_peers=3, limit=limit).collect()
+@pytest.mark.parametrize("part_size", [2, 1000])
+def test_settings_shared_by_a_cluster(members, clusters, part_size, limit):
+    rows = m.instance_config(
+        members, clusters, lists="shared", part_size=part_size, limit=limit
+    ).collect()
     shared = [r for r in rows if r.instance is None]
-    assert {r.cluster_id for r in shared} == {"g", "x"}
+    assert {r.cluster_id for r in shared} == {"g", "x", "o"}
     for cluster, key, port, scheme in (
         ("g", "group_replication_group_seeds", ":33061", ""),
         ("g", "group_replication_ip_allowlist", "", ""),
@@ -135,18 +134,41 @@ def test_settings_shared_by_a_large_cluster(members, clusters, limit):
     ):
         parts = sorted((r.part, r.value) for r in shared if (r.cluster_id, r.key) == (cluster, key))
         assert ",".join(v for _, v in parts) == scheme + ",".join(ip + port for ip in FLEET[cluster])
-        assert len(parts) == 1 if limit > 3 else len(parts) > 1
-    own = {(r.cluster_id, r.instance, r.key) for r in rows if r.instance is not None}
-    assert ("o", "10.4.0.1", "group_replication_group_seeds") in own
-    assert ("g", "10.1.0.1", "group_replication_group_seeds") not in own
-    assert ("g", "10.1.0.5", "server_id") in own
+        assert [p for p, _ in parts] == list(range(-(-len(FLEET[cluster]) // part_size)))
     # Everything but the lists is the same as without sharing.
     lists = {"group_replication_group_seeds", "group_replication_ip_allowlist", "wsrep_cluster_address"}
+    assert {r.key for r in shared} == lists
     plain = {(r.cluster_id, r.instance, r.key, r.value)
              for r in m.instance_config(members, clusters).collect() if r.key not in lists}
     assert {(r.cluster_id, r.instance, r.key, r.value) for r in rows if r.key not in lists} == plain
 
 
+@pytest.mark.parametrize("lists", ["inline", "shared"])
+def test_size_changes_neither_columns_nor_keys(spark, lists):
+    """Ten and a thousand members get the same settings."""
+    for kind in ("group-replication", "xtradb"):
+        clusters = spark.createDataFrame([(1, kind)], "cluster_id int, kind string")
+        found = []
+        for size in (10, 1000):
+            members = spark.range(size).selectExpr(
+                "1 as cluster_id", "id as launch_ord", "concat('h', id) as private_ip"
+            )
+            df = m.instance_config(members, clusters, lists=lists)
+            keys = {(r.instance is None, r.key) for r in df.select("instance", "key").distinct().collect()}
+            found.append((df.schema, keys))
+            per_member = df.where("instance is not null").groupBy("instance").count()
+            assert per_member.count() == size
+            assert per_member.select("count").distinct().count() == 1
+            documents = m.manager_config(members)
+            assert documents.where("json like '%RaftNodes%h9%'").count() == size
+        assert found[0] == found[1]
+
+
+def test_lists_are_shared_or_inline(members, clusters):
+    with pytest.raises(ValueError, match="shared or inline"):
+        m.instance_config(members, clusters, lists="both")
+
+
 def test_given_group_name(members, clusters):
     from pyspark.sql import functions as F
 
@@ -165,12 +187,9 @@ def test_status(members, clusters):
 
 
 def test_manager_config(members):
-    rows = {(r.cluster_id, r.instance): r for r in m.manager_config(members, inline_peers=4).collect()}
-    small = rows["a", "10.0.0.2"]
-    document = json.loads(small.json)
-    assert small.peers_inline and document["RaftNodes"] == FLEET["a"]
+    rows = {(r.cluster_id, r.instance): r for r in m.manager_config(members).collect()}
+    document = json.loads(rows["a", "10.0.0.2"].json)
+    assert document["RaftNodes"] == FLEET["a"]
     assert document["RaftBind"] == "10.0.0.2" and document["InstancePollSeconds"] == 5
     assert "DiscoverByShowSlaveHosts" not in document and len(document) == 15
-    large = rows["g", "10.1.0.1"]
-    assert not large.peers_inline and "RaftNodes" not in json.loads(large.json)
-    assert rows_of(m.manager_config(members).select("peers_inline"))[0] == (True,)
+    assert json.loads(rows["g", "10.1.0.1"].json)["RaftNodes"] == FLEET["g"]

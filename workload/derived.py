@@ -73,6 +73,21 @@ DERIVED: dict[str, str] = {
             s_acctbal > 500 as reachable
         from supplier
     """,
+    "small_members": """
+        select
+            cast(floor(s_suppkey / 5) as bigint) as cluster_id,
+            s_suppkey as launch_ord,
+            concat('10.', s_nationkey, '.0.', s_suppkey % 250) as private_ip
+        from supplier
+    """,
+    "small_clusters": """
+        select
+            cast(floor(s_suppkey / 5) as bigint) as cluster_id,
+            case floor(s_suppkey / 5) % 3 when 0 then 'async' when 1 then
+                'group-replication' else 'xtradb' end as kind
+        from supplier
+        where s_suppkey % 5 = 0
+    """,
     "clusters": """
         select
             n_nationkey as cluster_id,
@@ -135,6 +150,17 @@ DERIVED: dict[str, str] = {
             case when o_orderstatus = 'F' then 'READY' else 'PENDING' end as status
         from orders
     """,
+    "dated_images": """
+        select
+            o_custkey as family,
+            o_orderkey as ord,
+            case when o_orderkey % 11 = 0 then 'soon' else
+                concat(cast(cast(o_orderdate as date) as string), 'T0', o_orderkey % 3,
+                ':30:00.000Z') end as created,
+            concat('img-v', o_orderkey % 1000) as name,
+            concat('link/', o_orderkey) as link
+        from orders
+    """,
     "desired": """
         select
             c_custkey as desired_id,
@@ -159,7 +185,9 @@ DERIVED: dict[str, str] = {
             p_partkey as doc_id,
             concat('[mysqld]', chr(10), 'port=', 3306 + p_size, chr(10),
                 'skip-name-resolve', chr(10), '; ', p_name, chr(10), '[client]', chr(10),
-                'user = ', p_type) as doc
+                'user = ', p_type, case when p_partkey % 2 = 0 then concat(chr(10),
+                '# again', chr(10), 'host = h', p_size, chr(10), 'user = b', p_size) else ''
+                end) as doc
         from part
     """,
     "ini_layer": """

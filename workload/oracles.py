@@ -279,44 +279,67 @@ _add(
 
 _INI_PARSED = """
     select doc_id, i, line, line like '[%' as is_header,
+        case when above like ';%' or above like '#%' then above end as comment,
         cast(sum(case when line like '[%' and i > 1 then 1 else 0 end)
             over (partition by doc_id order by i) as bigint) as block
     from (
-        select doc_id, unnest(string_split(doc, chr(10))) as line,
-            generate_subscripts(string_split(doc, chr(10)), 1) as i
-        from ini_docs
+        select *, lag(line) over (partition by doc_id order by i) as above
+        from (
+            select doc_id, unnest(string_split(doc, chr(10))) as line,
+                generate_subscripts(string_split(doc, chr(10)), 1) as i
+            from ini_docs
+        )
     )
 """
 _INI_ROWS = """
     select doc_id,
-        block * 4294967296 + (i - first_i) as ord,
+        block * 4294967296 + (i - first_i) - comments as ord,
         section,
         case when contains(line, '=') then trim(split_part(line, '=', 1)) else trim(line) end
             as key,
         case when contains(line, '=') then trim(substr(line, instr(line, '=') + 1))
             else 'true' end as value,
-        not contains(line, '=') as valueless
+        not contains(line, '=') as valueless, comment, section_comment
     from (
         select *, min(i) over (partition by doc_id, block) as first_i,
+            cast(sum(case when line like ';%' or line like '#%' then 1 else 0 end)
+                over (partition by doc_id, block order by i) as bigint) as comments,
+            max(case when is_header then comment end) over (partition by doc_id, block)
+                as section_comment,
             max(case when is_header then trim(line, '[]') end)
                 over (partition by doc_id, block) as section
         from parsed
     )
-    where not is_header and line <> '' and line not like ';%'
+    where not is_header and line <> '' and line not like ';%' and line not like '#%'
 """
 _add("ini_rows", "select * from rows_", "ini_docs", parsed=_INI_PARSED, rows_=_INI_ROWS)
 
+# A key keeps its first place and the comments there, and takes the last value.
+_PLACE = "layer * 1000000000000 + ord"
+
+
+def _once(rows: str) -> str:
+    return f"""
+    select doc_id, section, key, arg_max(value, {_PLACE}) as value,
+        arg_max(source, {_PLACE}) as source, arg_max(valueless, {_PLACE}) as valueless,
+        nullif(arg_min(coalesce(comment, ''), {_PLACE}), '') as comment,
+        nullif(arg_min(coalesce(section_comment, ''), {_PLACE}), '') as section_comment,
+        arg_min(layer, {_PLACE}) as layer, arg_min(ord, {_PLACE}) as ord
+    from {rows} group by doc_id, section, key
+    """
+
 
 def _rendered(rows: str) -> str:
-    """Rows (doc_id, section, layer, ord, key, value, valueless) as INI text per document."""
+    """Rows (doc_id, section, layer, ord, key, value, ...) as INI text per document."""
     return f"""
     select doc_id, cast(0 as bigint) as part,
-        string_agg(body, chr(10) order by first_layer, first_ord) as text
+        string_agg(body, chr(10) order by first_place) as text
     from (
-        select doc_id, section, arg_min(layer, layer * 1000000000000 + ord) as first_layer,
-            arg_min(ord, layer * 1000000000000 + ord) as first_ord,
-            '[' || section || ']' || chr(10) || string_agg(
-                case when valueless then key else key || ' = ' || value end,
+        select doc_id, section, min({_PLACE}) as first_place,
+            coalesce(nullif(arg_min(coalesce(section_comment, ''), {_PLACE}), '') || chr(10), '')
+            || '[' || section || ']' || chr(10) || string_agg(
+                coalesce(comment || chr(10), '')
+                || case when valueless then key else key || ' = ' || value end,
                 chr(10) order by layer, ord, key) || chr(10) as body
         from {rows} group by doc_id, section
     ) group by doc_id
@@ -325,20 +348,18 @@ def _rendered(rows: str) -> str:
 
 _add(
     "ini_documents",
-    _rendered("(select *, 0 as layer from rows_)"),
+    _rendered("once"),
     "ini_docs",
     parsed=_INI_PARSED,
     rows_=_INI_ROWS,
+    once=_once("(select *, 0 as layer, '' as source from rows_)"),
 )
-_OVERLAID = """
-    select doc_id, section, key, arg_max(value, layer) as value, arg_max(source, layer) as source,
-        arg_max(valueless, layer) as valueless, min(layer) as layer, arg_min(ord, layer) as ord
-    from (
-        select doc_id, section, key, value, valueless, 'base' as source, 0 as layer, ord from rows_
+_OVERLAID = _once("""(
+        select doc_id, section, key, value, valueless, 'base' as source, 0 as layer, ord, comment,
+            section_comment from rows_
         union all
-        select doc_id, section, key, value, false, 'layer', 1, 0 from ini_layer
-    ) group by doc_id, section, key
-"""
+        select doc_id, section, key, value, false, 'layer', 1, 0, null, null from ini_layer
+    )""")
 _add(
     "overlay_config",
     "select doc_id, section, key, value, source from overlaid",
@@ -575,6 +596,14 @@ _add(
     """,
     "images",
 )
+_add(
+    "latest_image_of_texts",
+    """
+    select family, ord, name, created, link from dated_images where created <> 'soon'
+    qualify row_number() over (partition by family order by created desc, ord) = 1
+    """,
+    "dated_images",
+)
 _add(
     "latest_ready_image",
     """
@@ -602,15 +631,19 @@ for _name in ("assign_roles", "assign_roles_split"):
 _add(
     "peer_lists",
     """
-    select cluster_id, cast(0 as bigint) as part, cast(count(*) as integer) as n,
+    select cluster_id, part, cast(count(*) as integer) as n,
         string_agg(private_ip, ',' order by launch_ord) as nodes,
         string_agg(private_ip, ',' order by launch_ord) as allow_list,
         string_agg(private_ip || ':33061', ',' order by launch_ord) as seeds,
-        'gcomm://' || string_agg(private_ip || ':4567', ',' order by launch_ord)
-            as cluster_address,
+        case when part = 0 then 'gcomm://' else '' end
+            || string_agg(private_ip || ':4567', ',' order by launch_ord) as cluster_address,
         string_agg('http://' || private_ip || ':3000/orchestrator', ' ' order by launch_ord)
             as manager_urls
-    from members group by cluster_id
+    from (
+        select *, (row_number() over (partition by cluster_id order by launch_ord) - 1) // 1000
+            as part
+        from members
+    ) group by cluster_id, part
     """,
     "members",
 )
@@ -634,6 +667,19 @@ _PLACED = """
     from members m join clusters c on c.cluster_id = m.cluster_id
     where c.kind in ('async', 'group-replication', 'xtradb')
 """
+# Members in one part of a list, as in the operator.
+_PART = 1000
+_PEER_PARTS = f"""
+    select cluster_id, part, string_agg(private_ip, ',' order by launch_ord) as bare,
+        string_agg(private_ip || ':33061', ',' order by launch_ord) as seeds,
+        case when part = 0 then 'gcomm://' else '' end
+            || string_agg(private_ip || ':4567', ',' order by launch_ord) as gcomm
+    from (
+        select *, (row_number() over (partition by cluster_id order by launch_ord) - 1) // {_PART}
+            as part
+        from members
+    ) group by cluster_id, part
+"""
 _PEERS = """
     select cluster_id, string_agg(private_ip, ',' order by launch_ord) as bare,
         string_agg(private_ip || ':33061', ',' order by launch_ord) as seeds,
@@ -680,7 +726,7 @@ _PEER_KEYS = {
 }
 
 
-def _settings_sql(inline_peers: int) -> str:
+def _settings_sql(shared: bool) -> str:
     rows = [
         "select cluster_id, ip as instance, server_id, cast(0 as bigint) as part, "
         "'bind-address' as key, ip || ',localhost' as value from placed "
@@ -694,23 +740,20 @@ def _settings_sql(inline_peers: int) -> str:
             )
     for kind, keys in _PEER_KEYS.items():
         for key, value in keys:
+            whose = "null, null, part" if shared else "ip, server_id, 0"
+            first = f"and server_id = part * {_PART} + 1" if shared else ""
             rows.append(
-                f"select p.cluster_id, ip, server_id, 0, '{key}', {value} from placed p "
-                f"join peers l on l.cluster_id = p.cluster_id "
-                f"where kind = '{kind}' and n <= {inline_peers}"
-            )
-            rows.append(
-                f"select p.cluster_id, null, null, 0, '{key}', {value} from placed p "
-                f"join peers l on l.cluster_id = p.cluster_id "
-                f"where kind = '{kind}' and n > {inline_peers} and server_id = 1"
+                f"select p.cluster_id, {whose}, '{key}', {value} from placed p "
+                f"join peers l on l.cluster_id = p.cluster_id where kind = '{kind}' {first}"
             )
     return " union all ".join(rows)
 
 
-for _name, _inline in (("instance_config", 128), ("instance_config_shared", 3)):
-    _add(
-        _name, _settings_sql(_inline), "members", "clusters", placed=_PLACED, peers=_PEERS
-    )
+_add("instance_config", _settings_sql(False), small_members=DERIVED["small_members"],
+     members="select * from small_members", clusters=DERIVED["small_clusters"],
+     placed=_PLACED, peers=_PEERS)
+_add("instance_config_shared", _settings_sql(True), "members", "clusters",
+     placed=_PLACED, peers=_PEER_PARTS)
 _add(
     "config_status",
     """
@@ -728,46 +771,43 @@ _add(
 _add(
     "manager_config",
     """
-    select m.cluster_id, private_ip as instance, n <= 128 as peers_inline,
+    select m.cluster_id, private_ip as instance,
         '{"Debug":true,"ListenAddress":":3000",'
         || '"MySQLTopologyCredentialsConfigFile":"/etc/mysql/orchestrator-topology.cnf",'
         || '"BackendDB":"sqlite","SQLite3DataFile":"/var/lib/orchestrator/orchestrator.db",'
         || '"RaftEnabled":true,"RaftBind":"' || private_ip
         || '","RaftDataDir":"/var/lib/orchestrator","DefaultRaftPort":10008,'
-        || case when n <= 128 then '"RaftNodes":[' || nodes || '],' else '' end
+        || '"RaftNodes":[' || nodes || '],'
         || '"InstancePollSeconds":5,"InstanceFlushIntervalMilliseconds":100,'
         || '"HostnameResolveMethod":"none","MySQLHostnameResolveMethod":"@@hostname",'
         || '"URLPrefix":"/orchestrator"}' as json
-    from members m join listed l on l.cluster_id = m.cluster_id
+    from small_members m join listed l on l.cluster_id = m.cluster_id
     """,
-    "members",
+    "small_members",
     listed="""
-        select cluster_id, count(*) as n,
+        select cluster_id,
             string_agg('"' || private_ip || '"', ',' order by launch_ord) as nodes
-        from members group by cluster_id
+        from small_members group by cluster_id
     """,
 )
 _add(
     "cluster_config_files",
     """
-    select doc_id, cast(0 as bigint) as part,
+    select doc_id, any_value(address) as address, cast(0 as bigint) as part,
         '[mysqld]' || chr(10) || string_agg(key || ' = ' || value, chr(10) order by layer, ord, key)
         || chr(10) as text
     from (
-        select doc_id, key, arg_max(value, layer) as value, min(layer) as layer,
+        select doc_id, any_value(address) as address, key, arg_max(value, layer) as value, min(layer) as layer,
             arg_min(ord, layer) as ord
         from layered group by doc_id, key
     ) group by doc_id
     """,
-    "clusters",
-    members=f"""
-        select * replace (
-            concat('10.', cluster_id, '.', launch_ord // 250, '.', launch_ord % 250) as private_ip)
-        from ({DERIVED["members"]})
-    """,
+    small_members=DERIVED["small_members"],
+    members="select * from small_members",
+    clusters=DERIVED["small_clusters"],
     placed=_PLACED,
     peers=_PEERS,
-    settings=_settings_sql(128),
+    settings=_settings_sql(False),
     given="""
         select * from (values (0, 0, 'user', 'mysql'), (0, 1, 'port', '3306'),
             (0, 2, 'userstat', 'OFF'),
@@ -781,10 +821,14 @@ _add(
             as t(layer, ord, key, value)
     """,
     layered="""
-        select cluster_id || '/' || private_ip as doc_id, layer, ord, key, value
+        select cluster_id || '/' || launch_ord as doc_id, private_ip as address, layer, ord, key, value
         from members cross join given
         union all
-        select cluster_id || coalesce('/' || instance, ''), 2, 0, key, value from settings
+        select m.cluster_id || '/' || launch_ord, private_ip, 2, 0, key, value
+        from settings s join (
+            select *, row_number() over (partition by cluster_id order by launch_ord) as server_id
+            from members
+        ) m on m.cluster_id = s.cluster_id and m.server_id = s.server_id
     """,
 )
 
@@ -868,3 +912,62 @@ _add(
     )
     """,
 )
+
+
+# Murmur3, 32 bits, as Spark chains it: the number, then the text with its hash as seed.
+
+
+def _u32(number: str) -> str:
+    return f"(({number}) % 4294967296)"
+
+
+def _rotated(number: str, bits: int) -> str:
+    return f"(({_u32(f'({number}) * {1 << bits}')}) + (({number}) // {1 << (32 - bits)}))"
+
+
+def _mixed(state: str, block: str) -> str:
+    """One four-byte block into the state."""
+    key = _u32(f"{_rotated(_u32(f'({block}) * 3432918353'), 15)} * 461845907")
+    return _u32(f"{_rotated(f'xor({state}, {key})', 13)} * 5 + 3864292196")
+
+
+def _finished(state: str, size: str) -> str:
+    return (
+        f"list_reduce([xor({state}, {size})::hugeint, 16, 2246822507, 13, 3266489909, 16, 1], "
+        # By turns a shift to fold in and a factor; the last factor is one.
+        f"lambda h, x: case when x < 32 and x > 1 then xor(h, h // (1::hugeint << x::integer)) "
+        f"else (h * x) % 4294967296 end)"
+    )
+
+
+_SIGNED = "cast(case when h >= 2147483648 then h - 4294967296 else h end as integer)"
+_add(
+    "murmur_rows",
+    f"""
+    select o_orderkey, {_SIGNED} as murmur
+    from (
+        select o_orderkey, {_finished("mixed", "size")} as h
+        from (
+            select o_orderkey, size,
+                list_reduce(list_prepend(seed, blocks), lambda s, b: {_mixed("s", "b")}) as mixed
+            from (
+                select o_orderkey, len(o_orderpriority)::hugeint as size,
+                    {_finished("number", "8::hugeint")} as seed,
+                    list_concat(
+                        list_transform(range(len(o_orderpriority) // 4), lambda i:
+                            (ascii(o_orderpriority[4 * i + 1]) + 256 * ascii(o_orderpriority[4 * i + 2])
+                            + 65536 * ascii(o_orderpriority[4 * i + 3])
+                            + 16777216 * ascii(o_orderpriority[4 * i + 4])::hugeint)::hugeint),
+                        list_transform(range(len(o_orderpriority) // 4 * 4, len(o_orderpriority)),
+                            lambda i: ascii(o_orderpriority[i + 1])::hugeint)) as blocks
+                from (
+                    select o_orderkey, o_orderpriority,
+                        {_mixed(_mixed("42::hugeint", "(o_orderkey % 4294967296)::hugeint"),
+                                "(o_orderkey // 4294967296)::hugeint")} as number
+                    from orders
+                )
+            )
+        )
+    )
+    """,
+)

@@ -17,8 +17,6 @@ from .derived import DERIVED, derived, query, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# A cluster above this many members takes the shared-list route in these queries.
-SHARED_PEERS = 3
 # A group above this many rows takes the heavy-group route in these queries.
 SMALL_LIMIT = 7
 
@@ -185,9 +183,8 @@ def overlay_config(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def overlaid_documents(spark: SparkSession, folder: str) -> DataFrame:
-    layers = _layers(spark, folder)
-    lines = layers[0][1].select("doc_id").unionByName(layers[1][1].select("doc_id"))
-    return m.ini_documents(m.overlay_config(layers), counted=lines)
+    """Edited documents, with the comments they had."""
+    return m.ini_documents(m.overlay_config(_layers(spark, folder)))
 
 
 # Inventory.
@@ -393,6 +390,12 @@ def latest_image(spark: SparkSession, folder: str) -> DataFrame:
     return m.latest_image(derived(spark, folder, "images"))
 
 
+@registered
+def latest_image_of_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Creation times as text, with ties and some that do not parse; the link comes along."""
+    return m.latest_image(derived(spark, folder, "dated_images"), keep=["link"])
+
+
 @registered
 def latest_ready_image(spark: SparkSession, folder: str) -> DataFrame:
     return m.latest_ready_image(derived(spark, folder, "images"))
@@ -426,18 +429,17 @@ def cluster_readiness(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def instance_config(spark: SparkSession, folder: str) -> DataFrame:
+    """Every member with the lists of its cluster, over clusters of a few members."""
     return m.instance_config(
-        derived(spark, folder, "members"), derived(spark, folder, "clusters")
+        derived(spark, folder, "small_members"), derived(spark, folder, "small_clusters")
     )
 
 
 @registered
 def instance_config_shared(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the peer lists of clusters above three members written once."""
+    """The lists once per cluster, over clusters that grow with the table."""
     return m.instance_config(
-        derived(spark, folder, "members"),
-        derived(spark, folder, "clusters"),
-        inline_peers=SHARED_PEERS,
+        derived(spark, folder, "members"), derived(spark, folder, "clusters"), lists="shared"
     )
 
 
@@ -448,16 +450,14 @@ def config_status(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def manager_config(spark: SparkSession, folder: str) -> DataFrame:
-    return m.manager_config(derived(spark, folder, "members"))
+    return m.manager_config(derived(spark, folder, "small_members"))
 
 
 @registered
 def cluster_config_files(spark: SparkSession, folder: str) -> DataFrame:
-    # A file is named by its member's address, so each member gets one of its own.
-    address = F.expr("concat('10.', cluster_id, '.', launch_ord div 250, '.', launch_ord % 250)")
     return cluster_files(
-        derived(spark, folder, "members").withColumn("private_ip", address),
-        derived(spark, folder, "clusters"),
+        derived(spark, folder, "small_members"),
+        derived(spark, folder, "small_clusters"),
         base={"user": "mysql", "port": "3306", "userstat": "OFF"},
     )
 
