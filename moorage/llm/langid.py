@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows, texts_of
+from .components import cut
 
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
@@ -54,7 +55,7 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     key: str = "doc_id",
-    max_documents: int = 20_000,
+    max_documents: int = 8_000,
     max_terms: int = 60_000,
 ) -> LanguageModel:
     """Fit on labelled rows; the bounds are ``max_documents`` rows, picked by a hash of the
@@ -68,20 +69,18 @@ def learn(
     sample = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batch):
-        held: dict[str, list[Counter]] = {}
+        words: dict[str, Counter] = {}
         for value, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tables = held.setdefault(language, [Counter() for _ in range(LONGEST_GRAM + 1)])
-            for word, n in Counter(words_of(value)).items():
-                tables[0][word] += n
-                for size in range(1, LONGEST_GRAM + 1):
+            words.setdefault(language, Counter()).update(words_of(value))
+        rows = []
+        for language, table in words.items():
+            rows += [(language, 0, word, n) for word, n in table.items()]
+            for size in range(1, LONGEST_GRAM + 1):
+                grams: dict[str, int] = {}
+                for word, n in table.items():
                     for gram in grams_of(word, size):
-                        tables[size][gram] += n
-        rows = [
-            (language, size, term, n)
-            for language, tables in held.items()
-            for size, table in enumerate(tables)
-            for term, n in table.items()
-        ]
+                        grams[gram] = grams.get(gram, 0) + n
+                rows += [(language, size, gram, n) for gram, n in grams.items()]
         columns = list(zip(*rows)) if rows else [[], [], [], []]
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
         return {
@@ -90,7 +89,8 @@ def learn(
         }
 
     counted = map_rows(sample.select("_text", "_lang"), count, "_lang string, size int, term string, n bigint", "_text")
-    terms = counted.groupBy("size", "term", "_lang").agg(F.sum("n").alias("n"))
+    # Written once: each table below reads it again.
+    terms = cut(counted.groupBy("size", "term", "_lang").agg(F.sum("n").alias("n")))
     totals = {(r["_lang"], r["size"]): r["n"] for r in terms.groupBy("_lang", "size").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(counts)
     per_term = terms.groupBy("size", "term").agg(
