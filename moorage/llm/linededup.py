@@ -141,24 +141,27 @@ def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str =
     Kept lines stay as they are and in order. Documents that are copies of others nearly as a
     whole (see COPY_SHARE) stay whole. NULL texts stay NULL and have no line, an empty text
     has one empty line. Rows that agree in key and text count as one document and are all
-    treated alike. Every column but ``text`` is untouched; the names n_lines, n_dropped and
-    those that begin with ``_`` are taken.
+    treated alike. Every column but ``text`` is untouched, but columns that are already
+    called n_lines or n_dropped are replaced.
     """
-    lost = recurring_lines(documents, key, text, **options)
-    marked = documents.withColumns(
-        {
-            "_row": F.xxhash64(F.col(key), F.col(text)),
-            "_twin": F.xxhash64(F.lit(1), F.col(key), F.col(text)),
-        }
+    lost = recurring_lines(documents, key, text, **options).select(
+        F.col("_row").alias("__row"), F.col("_twin").alias("__twin"), F.col("dropped").alias("__dropped")
+    )
+    columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    marked = documents.select(
+        *[F.col(c) for c in columns],
+        F.xxhash64(F.col(key), F.col(text)).alias("__row"),
+        F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__twin"),
     )
     lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     cleaned = F.array_join(F.transform(kept, lambda place: F.get(lines, place)), "\n")
-    return marked.join(lost, ["_row", "_twin"], "left").select(
+    changed = F.col("__dropped").isNotNull()
+    return marked.join(lost, ["__row", "__twin"], "left").select(
         *[
-            F.when(F.col("dropped").isNotNull(), cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(c)
-            for c in documents.columns
+            F.when(changed, cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(c)
+            for c in columns
         ],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).alias("n_dropped"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(changed, F.size("__dropped")).otherwise(0).alias("n_dropped"),
     )
