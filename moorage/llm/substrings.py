@@ -56,17 +56,18 @@ def pieces_of(data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
     n = len(data)
     if n < length:
         return none, none, none, none, none.astype(bool)
-    powers = _powers(_BASE, n)
+    gram = min(GRAM, length)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers, out=sums[1:])
-    grams = (sums[GRAM:] - sums[:-GRAM]) * _powers(_INVERSE, n - GRAM + 1)
+    np.cumsum(_TABLE[data] * _powers(_BASE, n), out=sums[1:])
+    grams = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1)
     grams ^= grams >> np.uint64(32)
     grams *= _MIX
     grams ^= grams >> np.uint64(29)
     # The hash above, the place below: the least is the leftmost of the smallest hash.
-    low = np.uint64((1 << 24) - 1)
+    # No row is longer than the place can hold.
+    low = np.uint64((1 << 31) - 1)
     marked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    least = _sliding_least(marked, length - GRAM + 1)
+    least = _sliding_least(marked, length - gram + 1)
     rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     whole = rows[: n - length + 1] == rows[length - 1 :]
     window = np.flatnonzero(whole)

@@ -100,9 +100,9 @@ def test_contamination(spark):
 
 def test_recurring_lines(spark):
     notice = "Page {} of the printed edition is here"
-    rows = [(i, f"{'unlike ' * 3}{chr(97 + i % 26)}{i} words of document number {'xyzw'[i % 4]}{i // 4}q\n"
-                + f"a long line that only document {i}z{i} has and no other one at all has it\n" * 1
-                + notice.format(i)) for i in range(20, 26)]
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    rows = [(i, f"{prose(12)}\n{prose(20)}\n{notice.format(i)}") for i in range(20, 26)]
     rows += [(40, "a copy of a line\nand one more line"), (41, "a copy of a line\nand one more line"),
              (42, "a copy of a line\nand one more line")]
     rows[0] = (20, rows[0][1] + "\n\nlast one stays as it stands, with  two spaces")
@@ -117,12 +117,16 @@ def test_recurring_lines(spark):
 
 
 def test_templates_of_variable_words(spark):
-    rows = [(i, f"user {name} has logged in from the office today\nown text number {'abcdef'[i]} "
-                f"{'pqrstu'[i]} stands alone here and goes on for {'uvwxyz'[i]} a while {name} {name}")
+    rng = random.Random(22)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(30))
+    # Two words of eleven vary, behind the leading ones that the tree goes down by.
+    rows = [(i, f"the last user {name} has logged in from the office {name}\n{prose()}")
             for i, name in enumerate(["ann", "bob", "cid", "dan", "eve"])]
+    rows += [(9, f"the last user of all things is quite another line here\n{prose()}")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = linededup.drop_recurring_lines(df).collect()
-    assert [r.n_dropped for r in found].count(0) <= 0 or all("logged" not in r.text for r in found if r.n_dropped)
+    found = {r.doc_id: r for r in linededup.drop_recurring_lines(df).collect()}
+    # Half of the leaf's weight agrees on nine of eleven words; the odd line stays.
+    assert [found[i].n_dropped for i in (0, 1, 2, 3, 4, 9)] == [1, 1, 1, 1, 1, 0]
 
 
 def test_native_operators_run_no_python(spark, small):
