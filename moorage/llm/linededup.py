@@ -26,48 +26,87 @@ _SPACE = r" \t\x0B\f\r"
 FIELD = "<*>"
 
 
-def _parsed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, lines as they are, folded lines, and two hashes that stand for the row."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    fields = F.regexp_replace(value, rf"(^|[{_SPACE}\n])[^{_SPACE}\n0-9]*+[0-9][^{_SPACE}\n]*", f"$1{FIELD}")
-    folded = F.regexp_replace(fields, f"[{_SPACE}]+", " ")
-    return documents.select(
+# Mixed leaves that are copied to every executor at most: 16 bytes each.
+_COPIED_LEAVES = 1_000_000
+
+
+def _row_hashes(key: str, text: str) -> list[Column]:
+    """Two hashes that stand for a row: rows that agree in key and text are one document."""
+    return [
         F.xxhash64(F.col(key), F.col(text)).alias("_row"),
         F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("_twin"),
-        F.transform(F.split(folded, "\n"), lambda line: F.trim(line)).alias("_folded"),
-        F.transform(F.split(value, "\n"), lambda line: F.length(line)).alias("_sizes"),
-    )
+    ]
+
+
+def _folded(text: Column) -> Column:
+    """Lines with single spaces between words and FIELD for words with a digit."""
+    fields = F.regexp_replace(text, rf"(^|[{_SPACE}\n])[^{_SPACE}\n0-9]*+[0-9][^{_SPACE}\n]*", f"$1{FIELD}")
+    lines = F.split(F.regexp_replace(fields, f"[{_SPACE}]+", " "), "\n")
+    return F.transform(lines, lambda line: F.trim(line))
 
 
 def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
-def _line_columns(line: Column) -> list[Column]:
-    return [
-        F.xxhash64(_words(line), F.substring_index(line, " ", DEPTH)).alias("leaf"),
-        F.xxhash64(line).alias("line"),
-        F.xxhash64(F.lit(1), line).alias("line_twin"),
-    ]
+def _long_enough(line: Column, min_words: int) -> Column:
+    return (line != "") & (_words(line) >= min_words)
+
+
+def _leaf(line: Column) -> Column:
+    return F.xxhash64(_words(line), F.substring_index(line, " ", DEPTH))
 
 
-_LINE = ["leaf", "line", "line_twin"]
+_LINE = ["line", "line_twin"]
 
 
-def _templates(parsed: DataFrame, min_words: int, min_documents: int, similarity: float) -> DataFrame:
-    """(leaf, line, line_twin, template): lines that belong to a template that may recur."""
-    long_enough = F.filter(F.array_distinct("_folded"), lambda line: (line != "") & (_words(line) >= min_words))
+def _line_hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("line"), F.xxhash64(F.lit(1), line).alias("line_twin")]
+
+
+def _lines(documents: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """A row of hashes and numbers for every line that counts; no text is shuffled."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    sizes = F.transform(F.split(value, "\n"), lambda line: F.length(line))
+    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    parsed = documents.select(*_row_hashes(key, text), total.alias("total"), sizes.alias("_sizes"), _folded(value).alias("_folded"))
+    line = F.col("both._folded")
+    return (
+        parsed.select("_row", "_twin", "total", F.posexplode(F.arrays_zip("_folded", "_sizes")).alias("place", "both"))
+        .where(_long_enough(line, min_words))
+        .select(
+            "_row", "_twin", "total", "place", F.col("both._sizes").alias("size"),
+            _leaf(line).alias("leaf"), *_line_hashes(line),
+        )
+    )
+
+
+def _mixed_texts(documents: DataFrame, text: str, leaves: DataFrame, min_words: int) -> DataFrame:
+    """(leaf, total, line, line_twin, folded): texts of lines in leaves of several kinds of line."""
+    folded = F.explode(F.array_distinct(_folded(F.coalesce(F.col(text), F.lit("")))))
+    rows = documents.select(folded.alias("folded")).where(_long_enough(F.col("folded"), min_words))
+    rows = rows.select(_leaf(F.col("folded")).alias("leaf"), *_line_hashes(F.col("folded")), "folded")
+    if leaves.count() <= _COPIED_LEAVES:
+        leaves = F.broadcast(leaves)
+    return rows.join(leaves, "leaf").groupBy("leaf", "total", *_LINE).agg(F.min("folded").alias("folded"))
+
+
+def _templates(
+    documents: DataFrame, lines: DataFrame, text: str, min_words: int, min_documents: int, similarity: float
+) -> DataFrame:
+    """(line, line_twin, template): lines that belong to a template that may recur."""
     counted = cut(
-        parsed.select(F.explode(long_enough).alias("folded"))
-        .select(*_line_columns(F.col("folded")), "folded")
-        .groupBy(*_LINE)
-        .agg(F.count(F.lit(1)).alias("weight"), F.min("folded").alias("folded"))
+        lines.select("_row", "_twin", "leaf", *_LINE)
+        .distinct()
+        .groupBy("leaf", *_LINE)
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
     leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    leaves = cut(leaves.where(F.col("total") >= min_documents))
-    own = F.xxhash64("line", "line_twin")
-    alone = counted.where(F.col("weight") >= min_documents).select(*_LINE, own.alias("template"))
-    mixed = cut(counted.join(leaves.where("kinds > 1"), "leaf").select(*_LINE, "weight", "total", "folded"))
+    leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
+    alone = counted.where(F.col("weight") >= min_documents).select(*_LINE, F.xxhash64(*_LINE).alias("template"))
+    mixed = cut(
+        _mixed_texts(documents, text, leaves, min_words).join(counted.drop("leaf"), _LINE)
+    )
     votes = (
         mixed.select("leaf", "total", "weight", F.posexplode(F.split("folded", " ")).alias("place", "word"))
         .groupBy("leaf", "total", "place", "word")
@@ -109,29 +148,23 @@ def recurring_lines(
     A template recurs if lines of at least ``min_documents`` different documents belong to
     it. Lines with fewer than ``min_words`` words never count.
     """
-    parsed = _parsed(documents, key, text)
-    templates = cut(_templates(parsed, min_words, min_documents, similarity))
-    lines = (
-        parsed.select("_row", "_twin", F.posexplode(F.arrays_zip("_folded", "_sizes")).alias("place", "both"))
-        .select("_row", "_twin", "place", F.col("both._folded").alias("folded"), F.col("both._sizes").alias("size"))
-        .where((F.col("folded") != "") & (_words(F.col("folded")) >= min_words))
-        .select("_row", "_twin", "place", "size", *_line_columns(F.col("folded")))
+    lines = cut(_lines(documents, key, text, min_words))
+    templates = cut(_templates(documents, lines, text, min_words, min_documents, similarity))
+    found = cut(
+        lines.select("_row", "_twin", "total", "place", "size", *_LINE)
+        .join(templates, _LINE)
+        .select("_row", "_twin", "total", "place", "size", "template")
     )
-    found = cut(lines.join(templates, _LINE).select("_row", "_twin", "place", "size", "template"))
     spread = found.select("_row", "_twin", "template").distinct().groupBy("template").count()
     recurring = cut(spread.where(F.col("count") >= min_documents).select("template"))
-    lost = (
+    return (
         found.join(recurring, "template")
-        .groupBy("_row", "_twin", "place")
+        .groupBy("_row", "_twin", "total", "place")
         .agg(F.first("size").alias("size"))
-        .groupBy("_row", "_twin")
+        .groupBy("_row", "_twin", "total")
         .agg(F.collect_list("place").alias("dropped"), F.sum("size").alias("lost"))
-    )
-    whole = parsed.select(
-        "_row", "_twin", F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("all")
-    ).distinct()
-    return lost.join(whole, ["_row", "_twin"]).where(F.col("lost") < copy_share * F.col("all")).select(
-        "_row", "_twin", "dropped"
+        .where(F.col("lost") < copy_share * F.col("total"))
+        .select("_row", "_twin", "dropped")
     )
 
 
@@ -150,8 +183,7 @@ def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str =
     columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     marked = documents.select(
         *[F.col(c) for c in columns],
-        F.xxhash64(F.col(key), F.col(text)).alias("__row"),
-        F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__twin"),
+        *[c.alias(f"_{name}") for c, name in zip(_row_hashes(key, text), ("_row", "_twin"))],
     )
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
