@@ -94,6 +94,23 @@ def test_expected_names(spark):
     assert "Join" not in plan_of(m.expected_resources(df))
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/New_York"])
+def test_image_times_do_not_depend_on_the_session(spark, zone):
+    """Over the hours that a clock change skips or repeats."""
+    rows = [("spring", 1, "2024-03-31T02:45:00.000Z", "a", "l1"), ("spring", 2, "2024-03-31T03:15:00.000Z", "b", "l2"),
+            ("autumn", 1, "2024-11-03T05:30:00.000Z", "a", "l1"), ("autumn", 2, "2024-11-03T06:15:00.000Z", "b", "l2"),
+            ("bad", 1, "2024-03-31T02:45:00.000", "a", "l1"), ("bad", 2, "soon", "b", "l2")]
+    df = spark.createDataFrame(rows, "family string, ord int, created string, name string, link string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = {r.family: (r.name, r.link) for r in m.latest_image(df, keep=["link"]).collect()}
+        undated = m.undated_images(df).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == {"spring": ("b", "l2"), "autumn": ("b", "l2")} and undated == 2
+
+
 def test_latest_image(spark):
     rows = [
         ("f", 2, "2024-01-01T00:00:00.000Z", "b"), ("f", 1, "2024-01-01T00:00:00.000Z", "a"),

@@ -412,6 +412,45 @@ _add(
     """,
     "services",
 )
+_add(
+    "service_inventory_of_documents",
+    """
+    select cast(split_part(service_id, '-', 2) as bigint) // 12 as doc, service_type, service_id,
+        concat('name-', service_id) as service_name,
+        case when service_type in ('haproxy', 'external') then null else 3306 end as port,
+        case when service_type = 'postgresql' then 'db' end as database_name,
+        case when service_type = 'external' then 'grp' end as "group",
+        owner
+    from services
+    """,
+    "services",
+)
+_LONG_LISTINGS = """
+    select package || '/' || (p // 20) as package, line,
+        cast(row_number() over (partition by package, p // 20 order by p) - 1 as integer) as ord
+    from (select *, ord as p from pkg_text)
+"""
+_LONG_INDEX = """
+    select package, ord, replace(line, 'Version: ', '') as version from listed
+    where contains(line, 'Version')
+"""
+_add(
+    "package_index_of_listings", "select * from indexed", "pkg_text",
+    listed=_LONG_LISTINGS, indexed=_LONG_INDEX,
+)
+_add(
+    "versions_of_listings",
+    """
+    select l.package, l.package as request_id, version,
+        case when version is null then 'not_found' else 'default' end as status
+    from (select distinct package from listed) l
+    left join (select package, arg_min(version, ord) as version from indexed group by package) i
+        on i.package = l.package
+    """,
+    "pkg_text",
+    listed=_LONG_LISTINGS,
+    indexed=_LONG_INDEX,
+)
 _add(
     "select_by_labels",
     "select * from services where role = 'machinery' and owner = 'own3'",

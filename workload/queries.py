@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +143,28 @@ def package_index_epoch(spark: SparkSession, folder: str) -> DataFrame:
     return m.package_index(_listings(spark, folder), prefix=CLUSTER_PREFIX)
 
 
+def _long_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """About twenty lines to a listing, in order."""
+    lines = derived(spark, folder, "pkg_text").withColumn("part", F.expr("ord div 20"))
+    text = F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    return lines.groupBy("package", "part").agg(F.array_join(text, "\n").alias("text")).select(
+        F.concat_ws("/", "package", F.col("part").cast("string")).alias("package"), "text"
+    )
+
+
+@registered
+def package_index_of_listings(spark: SparkSession, folder: str) -> DataFrame:
+    return m.package_index(_long_listings(spark, folder), prefix=SERVER_PREFIX)
+
+
+@registered
+def versions_of_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing texts to the version chosen where none is asked for, listing by listing."""
+    listings = _long_listings(spark, folder)
+    requests = listings.select("package", F.col("package").alias("request_id"), F.lit("").alias("wanted"))
+    return m.resolve_versions(requests, m.package_index(listings), by=["package"])
+
+
 @registered
 def version_keys(spark: SparkSession, folder: str) -> DataFrame:
     return m.version_keys(derived(spark, folder, "pkg_index"))
@@ -225,8 +247,11 @@ def _labels() -> Column:
     return F.map_filter(both, lambda _, value: value.isNotNull())
 
 
-def _service_documents(spark: SparkSession, folder: str) -> DataFrame:
-    services = derived(spark, folder, "services")
+def _service_documents(
+    spark: SparkSession, folder: str, further: Sequence[str] = ()
+) -> DataFrame:
+    number = F.regexp_extract("service_id", "([0-9]+)$", 1).cast("bigint")
+    services = derived(spark, folder, "services").withColumn("doc", F.floor(number / 12))
     service = F.struct(
         "service_id",
         F.concat(F.lit("name-"), F.col("service_id")).alias("service_name"),
@@ -239,7 +264,7 @@ def _service_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("service_type") == kind, F.array(service)).alias(kind)
         for kind in ("mysql", "mongodb", "postgresql", "proxysql", "haproxy", "external")
     ]
-    return services.select(F.to_json(F.struct(*lists)).alias("json"))
+    return services.select(*further, F.to_json(F.struct(*lists)).alias("json"))
 
 
 @registered
@@ -259,6 +284,30 @@ def service_inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def service_inventory_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of about twelve services in all six lists."""
+    one = _service_documents(spark, folder, further=["doc"])
+    kinds = ("mysql", "mongodb", "postgresql", "proxysql", "haproxy", "external")
+    every = F.from_json(
+        "json",
+        "struct<" + ", ".join(
+            f"{kind}: array<struct<service_id: string, service_name: string, database_name: string, "
+            "port: int, group: string, custom_labels: map<string, string>>>" for kind in kinds
+        ) + ">",
+    )
+    lists = [F.flatten(F.collect_list(f"every.{kind}")).alias(kind) for kind in kinds]
+    documents = one.withColumn("every", every).groupBy("doc").agg(*lists)
+    rows = m.service_inventory(
+        documents.select("doc", F.to_json(F.struct(*kinds)).alias("json")), keep=["doc"]
+    )
+    owner = F.try_element_at("custom_labels", F.lit("resource_id"))
+    return rows.select(
+        "doc", "service_type", "service_id", "service_name", "port", "database_name", "group",
+        owner.alias("owner"),
+    )
+
+
 @registered
 def select_by_labels(spark: SparkSession, folder: str) -> DataFrame:
     services = derived(spark, folder, "services").withColumn("labels", _labels())
