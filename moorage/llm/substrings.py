@@ -16,7 +16,7 @@ from .suffixes import repeated_windows
 
 LENGTH = 400
 # Bytes of the short strings whose smallest hash in a window names the window's anchor.
-GRAM = 16
+GRAM = 48
 # Bytes of text that one suffix array is built over, about; the same bounds what a worker
 # holds. Anchors with more bytes of different pieces than HEAVY take one row per window.
 SHARD_BYTES = 3 << 20
