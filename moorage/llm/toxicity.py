@@ -157,8 +157,9 @@ def learn(
     """Fit on labelled documents: ``max_documents`` of them, picked by a hash of the key,
     and the ``max_terms`` terms that differ most between the labels.
 
-    Half of the sample gives the term counts. The other half, whose words the counts have
-    not seen, gives the extreme-value constants (clean documents) and the final curve.
+    The term counts of each half of the sample score the other half, whose words they have
+    not seen: these scores give the extreme-value constants (clean documents) and the final
+    curve. The model itself takes the counts of both halves.
     """
     marked = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).dropna()
     marked = marked.where(F.col("_label").isin(0, 1)).groupBy("_key").agg(F.max("_label").alias("_label"))
@@ -174,52 +175,55 @@ def learn(
 
     def count(batch):
         seen: dict[str, list[int]] = {}
-        for value, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+        halves, toxic = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+        for value, half, bad in zip(texts_of(batch.column(0)), halves, toxic):
             for term in set(chain.from_iterable(map(terms_of, set(tokens_of(value))))):
-                seen.setdefault(term, [0, 0])[toxic] += 1
-        return {
-            "term": pa.array(list(seen), pa.string()),
-            "clean": pa.array([v[0] for v in seen.values()], pa.int64()),
-            "bad": pa.array([v[1] for v in seen.values()], pa.int64()),
+                seen.setdefault(term, [0, 0, 0, 0])[2 * half + bad] += 1
+        columns = list(zip(*seen.values())) if seen else [[]] * 4
+        names = ("clean0", "bad0", "clean1", "bad1")
+        return {"term": pa.array(list(seen), pa.string())} | {
+            name: pa.array(list(column), pa.int64()) for name, column in zip(names, columns)
         }
 
-    first = sample.where("_half = 0")
-    sizes = {r["_label"]: r["count"] for r in first.groupBy("_label").count().collect()}
-    base = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
-    counted = map_rows(first.select("_text", "_label"), count, "term string, clean bigint, bad bigint", "_text")
-    terms = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    expected = (F.col("clean") + F.col("bad")) * base
+    sizes = {(r["_half"], r["_label"]): r["count"] for r in sample.groupBy("_half", "_label").count().collect()}
+    every = sum(sizes.values())
+    base = (sizes.get((0, 1), 0) + sizes.get((1, 1), 0) + 0.5) / (every + 1)
+    schema = "term string, clean0 bigint, bad0 bigint, clean1 bigint, bad1 bigint"
+    counted = map_rows(sample.select("_text", "_label", F.col("_half").cast("int")), count, schema, "_text")
+    terms = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean0", "bad0", "clean1", "bad1")])
+    bad, number = F.col("bad0") + F.col("bad1"), F.col("clean0") + F.col("bad0") + F.col("clean1") + F.col("bad1")
     kept = (
-        terms.where("clean + bad >= 3")
-        .withColumn("apart", F.abs(F.col("bad") - expected) / F.sqrt(expected))
+        terms.where(number >= 3)
+        .withColumn("apart", F.abs(bad - number * base) / F.sqrt(number * base))
         .orderBy(F.desc("apart"), "term")
         .limit(max_terms)
         .collect()
     )
-    counts = {r["term"]: (r["clean"], r["bad"]) for r in kept}
-    shares: dict[str, float] = {}
-    # Short stems first: each term's Dirichlet prior is the share of the next shorter stem.
-    for term in sorted(counts, key=lambda t: (not t.endswith("*"), len(t), t)):
-        prior = base
-        word = term.removesuffix("*")
-        for n in STEMS:
-            if len(word) > n or (len(word) == n and not term.endswith("*")):
-                prior = shares.get(f"{word[:n]}*", prior)
-        clean, bad = counts[term]
-        shares[term] = (bad + PRIOR_WEIGHT * prior) / (clean + bad + PRIOR_WEIGHT)
-    model = ToxicityModel(base, shares)
+    halves = [
+        ToxicityModel(base, _shares({r["term"]: (r[f"clean{h}"], r[f"bad{h}"]) for r in kept}, base)) for h in (0, 1)
+    ]
+    both = {r["term"]: (r["clean0"] + r["clean1"], r["bad0"] + r["bad1"]) for r in kept}
+    model = ToxicityModel(base, _shares(both, base))
+    # Bounded by max_terms, as the model itself.
+    shared = documents.sparkSession.sparkContext.broadcast([vars(half) for half in halves])
 
     def scan(batch):
-        held: dict[str, float] = {}
-        found = [_scan(value, model, held) for value in texts_of(batch.column(0))]
+        models = [ToxicityModel.__new__(ToxicityModel) for _ in range(2)]
+        for one, state in zip(models, shared.value):
+            vars(one).update(state)
+        held: list[dict[str, float]] = [{}, {}]
+        found = [
+            _scan(value, models[1 - half], held[1 - half])
+            for value, half in zip(texts_of(batch.column(0)), batch.column(2).to_pylist())
+        ]
         return {
             "label": batch.column(1),
             "tokens": pa.array([n for _, n in found], pa.int64()),
             "scores": pa.array([[s for _, _, s in parts] for parts, _ in found], pa.list_(pa.float64())),
         }
 
-    second = sample.where("_half = 1").select("_text", "_label")
-    rows = map_rows(second, scan, "label int, tokens bigint, scores array<double>", "_text").collect()
+    columns = sample.select("_text", "_label", F.col("_half").cast("int"))
+    rows = map_rows(columns, scan, "label int, tokens bigint, scores array<double>", "_text").collect()
     clean = [r for r in rows if r["label"] == 0 and r["tokens"]]
     model.calibrate(
         np.array([max(r["scores"], default=0.0) for r in clean]), np.array([float(r["tokens"]) for r in clean])
@@ -230,6 +234,19 @@ def learn(
     return model
 
 
+def _shares(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
+    """Toxic share of each term. The Dirichlet prior of a term is the share of its stem."""
+    shares: dict[str, float] = {}
+    for term in sorted(counts, key=lambda t: (not t.endswith("*"), len(t), t)):
+        prior, word = base, term.removesuffix("*")
+        for n in STEMS:
+            if len(word) > n or (len(word) == n and not term.endswith("*")):
+                prior = shares.get(f"{word[:n]}*", prior)
+        clean, bad = counts[term]
+        shares[term] = (bad + PRIOR_WEIGHT * prior) / (clean + bad + PRIOR_WEIGHT)
+    return shares
+
+
 def score(
     documents: DataFrame,
     model: ToxicityModel,
