@@ -39,10 +39,18 @@ def _row_hashes(key: str, text: str) -> list[Column]:
 
 
 def _folded(text: Column) -> Column:
-    """Lines with single spaces between words and FIELD for words with a digit."""
-    fields = F.regexp_replace(text, rf"(^|[{_SPACE}\n])[^{_SPACE}\n0-9]*+[0-9][^{_SPACE}\n]*", f"$1{FIELD}")
-    lines = F.split(F.regexp_replace(fields, f"[{_SPACE}]+", " "), "\n")
-    return F.transform(lines, lambda line: F.trim(line))
+    """Lines with single spaces between words and FIELD for words with a digit.
+
+    A short search goes first: few texts have other white space, few lines a digit.
+    """
+    spaced = F.regexp_replace(text, f"[{_SPACE}]+", " ")
+    lines = F.split(F.when(text.rlike(r"[\t\x0B\f\r]|  "), spaced).otherwise(text), "\n")
+
+    def fold(line: Column) -> Column:
+        fields = F.regexp_replace(line, "(^| )[^ 0-9]*+[0-9][^ ]*", f"$1{FIELD}")
+        return F.trim(F.when(line.rlike("[0-9]"), fields).otherwise(line))
+
+    return F.transform(lines, fold)
 
 
 def _words(line: Column) -> Column:
