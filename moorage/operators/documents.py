@@ -212,31 +212,34 @@ def ini_documents(
         .select(doc_id, "section", "first.*", "line")
     )
     head = F.min(F.struct("place", "section_comment")).alias("head")
-    sections = once.groupBy(doc_id, F.col("section").alias("_section")).agg(head)
+    named = F.struct(F.col("section").isNotNull().alias("named"), F.col("head.place").alias("at"))
     entry = F.concat(F.coalesce(F.concat("comment", F.lit("\n")), F.lit("")), "line")
-    placed = once.drop("section_comment").join(
-        sections.withColumnRenamed(doc_id, "_doc"),
-        F.col(doc_id).eqNullSafe(F.col("_doc")) & F.col("section").eqNullSafe(F.col("_section")),
-    ).select(
-        doc_id,
-        F.struct(F.col("section").isNotNull().alias("named"), F.col("head.place").alias("at"))
-        .alias("_head"),
-        "place",
-        "section",
-        F.col("head.section_comment").alias("section_comment"),
-        entry.alias("line"),
-    )
-    heavy = heavy_groups(placed.select(doc_id), [doc_id], part_keys)
-    if heavy.isEmpty():
-        parts = placed.withColumn("part", zero)
+    entries = F.sort_array(F.collect_list(F.struct("place", entry.alias("line")))).alias("lines")
+    # No document has more keys than rows.
+    if heavy_groups(rows.select(doc_id), [doc_id], part_keys).isEmpty():
+        bodies = (
+            # Both aggregations below are clustered by this one shuffle.
+            once.withColumn("part", zero)
+            .repartition(doc_id, "part")
+            .groupBy(doc_id, "part", "section")
+            .agg(entries, head)
+        )
     else:
-        positions = numbered(placed, [doc_id], ["_head", "place"], part_keys)
-        parts = positions.withColumn("part", F.expr(f"(pos - 1) div {part_keys}"))
-    bodies = (
-        # Both aggregations below are clustered by this one shuffle.
-        parts.repartition(doc_id, "part")
-        .groupBy(doc_id, "part", "_head", "section", "section_comment")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
+        sections = once.groupBy(
+            F.col(doc_id).alias("_doc"), F.col("section").alias("_section")
+        ).agg(head)
+        same = F.col(doc_id).eqNullSafe(F.col("_doc")) & F.col("section").eqNullSafe(F.col("_section"))
+        placed = once.join(sections, same).withColumn("_head", named).drop("_doc", "_section")
+        parts = numbered(placed, [doc_id], ["_head", "place"], part_keys).withColumn(
+            "part", F.expr(f"(pos - 1) div {part_keys}")
+        )
+        bodies = (
+            parts.repartition(doc_id, "part")
+            .groupBy(doc_id, "part", "section")
+            .agg(entries, F.any_value("head").alias("head"))
+        )
+    bodies = bodies.withColumns(
+        {"_head": named, "section_comment": F.col("head.section_comment")}
     )
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     note = F.coalesce(F.concat("section_comment", F.lit("\n")), F.lit(""))
