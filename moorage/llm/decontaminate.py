@@ -44,14 +44,14 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, fold: bytes = _FOLD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and the row of each word.
 
-    A running sum of bytes times powers gives the polynomial hash of any range.
+    ``fold`` gives each byte as it counts; words stand between spaces. A running sum of bytes times powers gives the polynomial hash of any range.
     """
     data, starts = joined_bytes(column)
     # A separator after every text keeps words apart at the seams.
-    folded = np.frombuffer(_FOLD, np.uint8)[data]
+    folded = np.frombuffer(fold, np.uint8)[data]
     places = starts[1:-1]
     folded = np.insert(folded, places, np.uint8(32)) if len(places) else folded
     begins_of = starts[:-1] + np.arange(len(starts) - 1)
