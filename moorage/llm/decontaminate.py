@@ -167,10 +167,9 @@ def contamination(
     ``contaminated`` says that there is one. Without a shared seed: 0, NULL, 0.0, false.
 
     Documents first pass a bit filter of the benchmark's seeds, whose size is bounded; only
-    those with a hit are joined by seed with items. An item can only be covered by c of n
-    words if c * n / SEED_WORDS different seeds are shared: other pairs are left out before
-    tiling, which loses none. NULL texts and items shorter than SEED_WORDS words match
-    nothing; repeated rows stay; further columns are left out.
+    those with a hit are joined by seed with items. Every pair with a shared seed is tiled.
+    NULL texts and items shorter than SEED_WORDS words match nothing; repeated rows stay;
+    further columns are left out.
     """
     items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("item_text"))
     items = items.where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct()
@@ -178,15 +177,13 @@ def contamination(
     def item_seeds(batch):
         seeds, rows = _seeds(batch.column(1))
         pairs = np.unique(np.stack([seeds.view(np.int64), rows]), axis=1)
-        lengths = np.array([len(words_of(t)) for t in batch.column(1).to_pylist()], np.int64)
         return {
             "seed": pa.array(pairs[0], pa.int64()),
             "item_id": batch.column(0).take(pa.array(pairs[1])),
-            "n_words": pa.array(lengths[pairs[1]], pa.int64()),
         }
 
     item_kind = items.schema["item_id"].dataType.simpleString()
-    listed = cut(map_rows(items, item_seeds, f"seed bigint, item_id {item_kind}, n_words bigint", "item_text"))
+    listed = cut(map_rows(items, item_seeds, f"seed bigint, item_id {item_kind}", "item_text"))
     bits = 1 << 16
     while bits < min(listed.count() * _BITS_PER_SEED, _MOST_BITS):
         bits *= 2
@@ -232,10 +229,8 @@ def contamination(
     candidates = (
         passed.select("_place", F.explode("seeds").alias("seed"))
         .join(listed, "seed")
-        .groupBy("_place", "item_id")
-        .agg(F.count(F.lit(1)).alias("n_seeds"), F.first("n_words").alias("n_words"))
-        .where(F.col("n_seeds") * SEED_WORDS >= F.col("n_words") * coverage)
         .select("_place", "item_id")
+        .distinct()
     )
     pairs = candidates.join(items, "item_id").join(passed.select("_place", "doc_text"), "_place")
 
