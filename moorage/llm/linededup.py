@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import connected_components, cut
 
 DEPTH = 3
 MIN_WORDS = 3
@@ -22,6 +22,10 @@ SIMILARITY = 0.7
 # others, not a text with boilerplate: it is left to the deduplication of documents.
 COPY_SHARE = 0.8
 
+# Options under which nothing that recurs is kept: equal texts are one document, lines and
+# templates count over texts that are no copies of each other, no document is left whole.
+WHOLE = {"several": True}
+
 _SPACE = r" \t\x0B\f\r"
 FIELD = "<*>"
 
@@ -30,12 +34,10 @@ FIELD = "<*>"
 _COPIED_LEAVES = 1_000_000
 
 
-def _row_hashes(key: str, text: str) -> list[Column]:
+def _row_hashes(key: str | None, text: str) -> list[Column]:
     """Two hashes that stand for a row: rows that agree in key and text are one document."""
-    return [
-        F.xxhash64(F.col(key), F.col(text)).alias("_row"),
-        F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("_twin"),
-    ]
+    columns = [F.col(c) for c in (key, text) if c]
+    return [F.xxhash64(*columns).alias("_row"), F.xxhash64(F.lit(1), *columns).alias("_twin")]
 
 
 def _folded(text: Column) -> Column:
@@ -72,7 +74,7 @@ def _line_hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("line"), F.xxhash64(F.lit(1), line).alias("line_twin")]
 
 
-def _lines(documents: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+def _lines(documents: DataFrame, key: str | None, text: str, min_words: int) -> DataFrame:
     """A row of hashes and numbers for every line that counts; no text is shuffled."""
     value = F.coalesce(F.col(text), F.lit(""))
     sizes = F.transform(F.split(value, "\n"), lambda line: F.length(line))
@@ -142,45 +144,146 @@ def _templates(
     return fitting.unionByName(rest)
 
 
+def _origins(lines: DataFrame) -> DataFrame:
+    """The lines with _origin: one number for documents that share 80 % of their lines' characters.
+
+    Each document is compared with the least document of every line it has, by the sizes of
+    the lines that both have, as a share of what either has.
+    """
+    held = cut(lines.groupBy("_row", *_LINE).agg(F.min("size").alias("size"), F.min("total").alias("total")))
+    least = cut(held.groupBy(*_LINE).agg(F.min(F.struct("_row", "total")).alias("least")))
+    shared = (
+        held.join(least, _LINE)
+        .where(F.col("_row") != F.col("least._row"))
+        .groupBy("_row", "total", "least")
+        .agg(F.sum("size").alias("both"))
+    )
+    either = F.col("total") + F.col("least.total") - F.col("both")
+    links = shared.where(F.col("both") >= COPY_SHARE * either)
+    roots = cut(connected_components(links.select(F.col("_row").alias("a"), F.col("least._row").alias("b"))))
+    joined = lines.join(roots.withColumnRenamed("node", "_row"), "_row", "left")
+    return joined.withColumn("_origin", F.coalesce("root", "_row")).drop("root")
+
+
+def _several_templates(
+    documents: DataFrame, lines: DataFrame, text: str, min_words: int, min_documents: int, least_exact: int,
+    similarity: float,
+) -> DataFrame:
+    """(line, line_twin, template, least): lines of all templates of a leaf, and recurring lines.
+
+    Lines that fit the majority of their group are taken out and the rest votes again. A group
+    without such lines is split: every line goes by the heaviest of its words that not all have.
+    """
+    counted = cut(
+        lines.select("_origin", "leaf", *_LINE).distinct().groupBy("leaf", *_LINE).agg(F.count(F.lit(1)).alias("weight"))
+    )
+    alone = counted.where(F.col("weight") >= least_exact).select(
+        *_LINE, F.xxhash64(*_LINE).alias("template"), F.lit(least_exact).alias("least")
+    )
+    leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
+    texts = _mixed_texts(documents, text, leaves, min_words).drop("total").join(counted.drop("leaf"), _LINE)
+    rest = cut(texts.withColumn("words", F.split("folded", " ")).select("leaf", *_LINE, "weight", "words"))
+    done, rounds = alone, 0
+    while True:
+        totals = rest.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        totals = totals.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total")
+        rest = cut(rest.join(cut(totals), "leaf"))
+        if rest.isEmpty():
+            return done
+        rounds += 1
+        votes = cut(
+            rest.select("leaf", "total", "weight", F.posexplode("words").alias("place", "word"))
+            .groupBy("leaf", "total", "place", "word")
+            .agg(F.sum("weight").alias("votes"))
+        )
+        shapes = (
+            votes.where(F.col("votes") * 2 >= F.col("total"))
+            .groupBy("leaf", "place")
+            .agg(F.min_by("word", F.struct(-F.col("votes"), "word")).alias("word"))
+            .groupBy("leaf")
+            .agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("shape"))
+        )
+        equal = F.transform("words", lambda word, at: F.when(word == F.col("shape")[at], 1).otherwise(0))
+        same = F.aggregate(equal, F.lit(0), lambda x, y: x + y)
+        fits = F.coalesce(same >= similarity * F.size("words"), F.lit(False))
+        judged = cut(rest.join(cut(shapes), "leaf", "left").withColumn("fits", fits).drop("shape"))
+        peeled = judged.where("fits").groupBy("leaf").agg(F.sum("weight").alias("fitting"))
+        peeled = cut(peeled.where(F.col("fitting") >= min_documents).select("leaf", F.lit(True).alias("peeled")))
+        judged = cut(judged.join(peeled, "leaf", "left"))
+        done = done.unionByName(
+            judged.where("fits AND peeled").select(
+                *_LINE, F.xxhash64("leaf", F.lit(rounds)).alias("template"), F.lit(min_documents).alias("least")
+            )
+        )
+        again = judged.where("peeled AND NOT fits").select("leaf", *_LINE, "weight", "words")
+        split = judged.where("peeled IS NULL").select("leaf", *_LINE, "weight", "words", F.posexplode("words").alias("place", "word"))
+        useful = votes.where((F.col("votes") >= min_documents) & (F.col("votes") < F.col("total")))
+        by = (
+            split.select("leaf", *_LINE, "place", "word")
+            .join(useful.drop("total"), ["leaf", "place", "word"])
+            .groupBy("leaf", *_LINE)
+            .agg(F.max(F.struct("votes", "place", "word")).alias("by"))
+        )
+        moved = judged.where("peeled IS NULL").join(by, ["leaf", *_LINE]).select(
+            F.xxhash64("leaf", "by.place", "by.word").alias("leaf"), *_LINE, "weight", "words"
+        )
+        rest = cut(again.unionByName(moved))
+
+
 def recurring_lines(
     documents: DataFrame,
-    key: str = "doc_id",
+    key: str | None = "doc_id",
     text: str = "text",
     min_words: int = MIN_WORDS,
     min_documents: int = MIN_DOCUMENTS,
     similarity: float = SIMILARITY,
-    copy_share: float = COPY_SHARE,
+    copy_share: float | None = COPY_SHARE,
+    copies: str = "each",
+    least_exact: int | None = None,
+    several: bool = False,
 ) -> DataFrame:
     """(_row, _twin, dropped): the numbers, from 0, of the lines that each document loses.
 
     A template recurs if lines of at least ``min_documents`` different documents belong to
-    it. Lines with fewer than ``min_words`` words never count.
+    it, an equal line by ``least_exact`` documents if ``several`` templates to a leaf are
+    looked for. Lines with fewer than ``min_words`` words never count. Without a ``key``
+    equal texts are one document; ``copies="one"`` also counts documents as one that share
+    80 % of their lines. ``copy_share=None`` leaves no document whole.
     """
     lines = cut(_lines(documents, key, text, min_words))
-    templates = cut(_templates(documents, lines, text, min_words, min_documents, similarity))
+    lines = cut(_origins(lines)) if copies == "one" else lines.withColumn("_origin", F.xxhash64("_row", "_twin"))
+    if several:
+        templates = _several_templates(
+            documents, lines, text, min_words, min_documents, least_exact or min_documents, similarity
+        )
+    else:
+        templates = _templates(documents, lines, text, min_words, min_documents, similarity)
+        templates = templates.withColumn("least", F.lit(min_documents))
     found = cut(
-        lines.select("_row", "_twin", "total", "place", "size", *_LINE)
-        .join(templates, _LINE)
-        .select("_row", "_twin", "total", "place", "size", "template")
+        lines.select("_row", "_twin", "_origin", "total", "place", "size", *_LINE)
+        .join(cut(templates), _LINE)
+        .select("_row", "_twin", "_origin", "total", "place", "size", "template", "least")
     )
-    spread = found.select("_row", "_twin", "template").distinct().groupBy("template").count()
-    recurring = cut(spread.where(F.col("count") >= min_documents).select("template"))
-    return (
+    spread = found.select("_origin", "template", "least").distinct().groupBy("template", "least").count()
+    recurring = cut(spread.where(F.col("count") >= F.col("least")).select("template"))
+    lost = (
         found.join(recurring, "template")
         .groupBy("_row", "_twin", "total", "place")
         .agg(F.first("size").alias("size"))
         .groupBy("_row", "_twin", "total")
         .agg(F.collect_list("place").alias("dropped"), F.sum("size").alias("lost"))
-        .where(F.col("lost") < copy_share * F.col("total"))
-        .select("_row", "_twin", "dropped")
     )
+    if copy_share is not None:
+        lost = lost.where(F.col("lost") < copy_share * F.col("total"))
+    return lost.select("_row", "_twin", "dropped")
 
 
-def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_recurring_lines(documents: DataFrame, key: str | None = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, with ``text`` less its recurring lines, and n_lines, n_dropped.
 
     Kept lines stay as they are and in order. Documents that are copies of others nearly as a
-    whole (see COPY_SHARE) stay whole. NULL texts stay NULL and have no line, an empty text
+    whole (see COPY_SHARE) stay whole, but not with the options WHOLE. NULL texts stay NULL and have no line, an empty text
     has one empty line. Rows that agree in key and text count as one document and are all
     treated alike. Every column but ``text`` is untouched, but columns that are already
     called n_lines or n_dropped are replaced.
