@@ -31,3 +31,16 @@ def test_several_templates_of_a_leaf(spark):
         rows.append((i, f"{line}\n{own}"))
         kept[i] = own if i < 20 else f"{line}\n{own}"
     assert found(spark, rows) == kept
+
+
+def test_no_document_is_left_whole_and_copies_count_once(spark):
+    # A passage in three unrelated texts, one of them nothing else but a short end.
+    passage, a, b = prose(60), prose(), prose()
+    rows = [(100, f"{passage}\n{a}"), (101, f"{passage}\nthe end"), (102, f"{b}\n{passage}")]
+    kept = {100: a, 101: "the end", 102: b}
+    # Copies, equal or near, do not make their lines recur; a line that stands elsewhere does.
+    body, notice, more, c, d = "\n".join(prose() for _ in range(12)), prose(8), prose(5), prose(), prose()
+    rows += [(i, f"{body}\n{notice}") for i in (200, 201, 202)]
+    rows += [(203, f"{body}\n{notice}\n{more}"), (204, f"{notice}\n{c}"), (205, f"{notice}\n{d}")]
+    kept |= {200: body, 201: body, 202: body, 203: f"{body}\n{more}", 204: c, 205: d}
+    assert found(spark, rows) == kept
