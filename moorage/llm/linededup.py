@@ -24,7 +24,7 @@ COPY_SHARE = 0.8
 
 # Options under which nothing that recurs is kept: equal texts are one document, lines and
 # templates count over texts that are no copies of each other, no document is left whole.
-WHOLE = {"key": None, "copies": "one", "several": True, "copy_share": None}
+WHOLE = {"key": None, "copies": "one", "least_exact": 2, "several": True, "copy_share": None}
 
 _SPACE = r" \t\x0B\f\r"
 FIELD = "<*>"

@@ -44,3 +44,9 @@ def test_no_document_is_left_whole_and_copies_count_once(spark):
     rows += [(203, f"{body}\n{notice}\n{more}"), (204, f"{notice}\n{c}"), (205, f"{notice}\n{d}")]
     kept |= {200: body, 201: body, 202: body, 203: f"{body}\n{more}", 204: c, 205: d}
     assert found(spark, rows) == kept
+
+
+def test_a_passage_in_two_texts_recurs(spark):
+    passage, a, b, c = prose(60), prose(), prose(), prose()
+    rows = [(1, f"{passage}\n{a}"), (2, f"{b}\n{passage}"), (3, c), (4, c)]
+    assert found(spark, rows) == {1: a, 2: b, 3: c, 4: c}
