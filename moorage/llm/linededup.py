@@ -188,7 +188,7 @@ def _several_templates(
     while True:
         totals = rest.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
         totals = totals.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total")
-        rest = cut(rest.join(cut(totals), "leaf"))
+        rest = cut(rest.join(totals, "leaf"))
         if rest.isEmpty():
             return done
         rounds += 1
@@ -207,9 +207,9 @@ def _several_templates(
         equal = F.transform("words", lambda word, at: F.when(word == F.col("shape")[at], 1).otherwise(0))
         same = F.aggregate(equal, F.lit(0), lambda x, y: x + y)
         fits = F.coalesce(same >= similarity * F.size("words"), F.lit(False))
-        judged = cut(rest.join(cut(shapes), "leaf", "left").withColumn("fits", fits).drop("shape"))
+        judged = cut(rest.join(shapes, "leaf", "left").withColumn("fits", fits).drop("shape"))
         peeled = judged.where("fits").groupBy("leaf").agg(F.sum("weight").alias("fitting"))
-        peeled = cut(peeled.where(F.col("fitting") >= min_documents).select("leaf", F.lit(True).alias("peeled")))
+        peeled = peeled.where(F.col("fitting") >= min_documents).select("leaf", F.lit(True).alias("peeled"))
         judged = cut(judged.join(peeled, "leaf", "left"))
         done = done.unionByName(
             judged.where("fits AND peeled").select(
