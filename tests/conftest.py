@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SMALL_FOLDER = "/root/testdata/sf0.001"
+from helpers import SMALL_FOLDER  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,11 +22,10 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
@@ -34,13 +33,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder():
     return SMALL_FOLDER
-
-
-def rows_of(df):
-    """All rows as plain tuples, sorted with NULLs last."""
-    key = lambda row: tuple((v is None, str(v)) for v in row)
-    return sorted((tuple(r) for r in df.collect()), key=key)
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

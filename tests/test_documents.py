@@ -5,7 +5,7 @@ import random
 import json
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 import moorage as m

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import plan_of
+from helpers import plan_of
 from pyspark.sql import functions as F
 
 import moorage as m

@@ -6,7 +6,7 @@ import importlib
 
 import pytest
 from compare import connect, differences
-from conftest import SMALL_FOLDER
+from helpers import SMALL_FOLDER
 
 from workload.oracles import oracle_sql
 from workload.queries import queries

@@ -4,7 +4,7 @@ import datetime
 import json
 
 import pytest
-from conftest import plan_of, rows_of
+from helpers import plan_of, rows_of
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 import moorage as m
 
