@@ -37,6 +37,16 @@ def texts_of(column: pa.Array) -> list[str]:
     return [value or "" for value in column.to_pylist()]
 
 
+# Columns that stand for the text of a row.
+DIGEST = ["_text", "_twin"]
+
+
+def with_digest(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Two hashes that stand for the text of a row, NULL as the empty text."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return documents.withColumns({"_text": F.xxhash64(value), "_twin": F.xxhash64(F.lit(1), value)})
+
+
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts one after the other as bytes, and where each begins (one entry more)."""
     blobs = [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

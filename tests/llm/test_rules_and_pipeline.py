@@ -17,7 +17,7 @@ def small():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, small, name):
     engine = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         engine.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     wanted = engine.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in wanted.description]
