@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import decontaminate, linededup, nearcopies, queries, sentencepieces, toxicity
+from moorage.llm import decontaminate, linededup, queries, sentencepieces, simhash, toxicity
+from moorage.llm.batches import DIGEST, with_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,24 +32,27 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: of the smallest doc_id, NULL last, a single one."""
-    digested = nearcopies.with_digest(docs)
-    rows = digested.select("doc_id", *nearcopies.DIGEST).join(nearcopies.near_copies(docs), nearcopies.DIGEST)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *nearcopies.DIGEST)
-    first = rows.groupBy("copy_of").agg(F.min(order).alias("first")).select("first.*").drop("none")
-    first = first.withColumnRenamed("doc_id", "_first")
-    kept = digested.join(first, [*nearcopies.DIGEST], "inner").where(F.expr("doc_id <=> _first"))
-    return kept.dropDuplicates(nearcopies.DIGEST).select(COLUMNS)
+    """One row of each SimHash group: that of the smallest doc_id, NULL last, a single one.
+
+    The operator has its own shingle length and bit distance. Rows are told apart by doc_id
+    and text, so that repeated and NULL ids neither join what differs nor keep a copy.
+    """
+    identity = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *DIGEST)
+    digested = with_digest(docs).withColumn("_row", identity)
+    found = simhash.near_duplicates(digested, key="_row")
+    first = found.where("_row = component_id").select("_row").distinct()
+    kept = digested.join(first, "_row")
+    return kept.dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not cover a benchmark item: the text decides, whatever its doc_id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    digested = nearcopies.with_digest(docs)
-    texts = digested.select(F.struct(*nearcopies.DIGEST).alias("digest"), "text")
+    digested = with_digest(docs)
+    texts = digested.select(F.struct(*DIGEST).alias("digest"), "text")
     found = decontaminate.contamination(texts, benchmark, key="digest")
     tainted = found.where("contaminated").select("digest.*").distinct()
-    return digested.join(tainted, nearcopies.DIGEST, "left_anti").select(COLUMNS)
+    return digested.join(tainted, DIGEST, "left_anti").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-# Models and tilings are not expressible in SQL: tests compare with a brute-force version.
+# Models and tilings are not expressible in SQL: tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
