@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, hardnegatives, htmltext, langid, linededup, sentencepieces, simhash, substrings, toxicity, urls
+from . import decontaminate, embeddings, hardnegatives, htmltext, langid, linededup, sentencepieces, simhash, substrings, toxicity, urls, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,6 +122,19 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hardnegatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of a ZIP package, read back."""
+    packages = warczip.write_packages(_table(spark, folder, "pages"))
+    page = lambda name: F.nullif(F.col(name), F.lit("")).cast("bigint")
+    return warczip.read_records(packages, payloads=False).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -135,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_warc": op12_warc,
     }
 
 
@@ -249,4 +263,13 @@ ORACLE_SQL: dict[str, str] = {
         WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
         QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
     """,
+    "op12_warc": """
+        WITH heads AS (
+            SELECT html, max(page_id) AS response FROM pages WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT page_id, strlen(coalesce(pages.html, ''))::BIGINT AS payload_bytes,
+               sha1(coalesce(pages.html, '')) AS payload_digest,
+               CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < response THEN response END AS refers_to
+        FROM pages LEFT JOIN heads USING (html)
+    """,
 }
