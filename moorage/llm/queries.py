@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, hardnegatives, htmltext, langid, linededup, sentencepieces, simhash, substrings, toxicity, urls, warczip
+from . import crosstokens, decontaminate, embeddings, hardnegatives, htmltext, langid, linededup
+from . import sentencepieces, simhash, substrings, toxicity, urls, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="moorage-")
 
 
+def byte_model() -> str:
+    """Path of the public byte-level vocabulary; executors read the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def piece_model() -> str:
     """Path of the public merge vocabulary; executors read the same path."""
     import public_tokenizers
@@ -135,6 +143,11 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return crosstokens.token_links(_table(spark, folder, "documents"), byte_model(), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -149,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_warc": op12_warc,
+        "op13_token_links": op13_token_links,
     }
 
 
