@@ -7,6 +7,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from .batches import map_rows, slices, texts_of
 
 SPACE = "▁"
 # Distinct stretches of text a worker remembers before it starts anew: bounds its memory.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+# Stretches that are encoded as one text.
+_JOINED = 200
 # Entries that a product expands at once.
 _AT_ONCE = 1 << 22
 # Pairs of ids whose counts are copied to executors, at most; the others are joined.
@@ -144,12 +147,14 @@ def _plain(character: str) -> bool:
 
 
 class _Tidy(dict):
-    """Whether a part between two spaces begins and ends with a plain character."""
+    """Whether a stretch or a part of one begins and ends with a plain character."""
 
     def __missing__(self, part: str) -> bool:
         if len(self) > 2 * REMEMBERED:
             self.clear()
-        self[part] = found = bool(part) and _plain(part[0]) and _plain(part[-1])
+        # Of what is printable, every character but the space is plain.
+        ends = part[:1], part[-1:]
+        self[part] = found = "" not in ends and " " not in ends and (part.isprintable() or all(map(_plain, ends)))
         return found
 
 
@@ -222,18 +227,21 @@ class Aligner:
             new = list(stretches)
         if not new:
             return
+        # Stretches that have nothing but a space between them can be encoded in one text.
+        new.sort(key=self.tidy.__getitem__, reverse=True)
         own = [f" {s}" for s in new]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(own, add_special_tokens=False)]
+        blobs = [text.encode() for text in own]
+        spans = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        tidy = sum(map(self.tidy.__getitem__, new))
+        a, n_a = self._encoded_a(own, spans, tidy)
         ids_b = self.b.encode(new, num_threads=1)
-        whole = []
-        for text, one, two in zip(own, ids_a, ids_b):
-            blob = text.encode()
-            whole.append(
-                b"".join([self.bytes_a[i] for i in one]) == blob and b"".join([self.bytes_b[i] for i in two]) == blob
-            )
-        fits = [i for i, w in enumerate(whole) if w]
-        a, b = (np.array([i for row in fits for i in ids[row]], np.int64) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(ids[row]) for row in fits], np.int64) for ids in (ids_a, ids_b))
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(new))
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        whole = self._whole(a, n_a, 0, blobs, spans) & self._whole(b, n_b, 1, blobs, spans)
+        if not whole.all():
+            a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+        fits = np.flatnonzero(whole)
+        n_a, n_b = n_a[fits], n_b[fits]
         unit_a = np.repeat(np.arange(len(fits)), n_a)
         group_a, group_b = groups_of(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
@@ -251,7 +259,7 @@ class Aligner:
         counts = np.zeros(len(new), np.int64)
         counts[fits] = np.bincount(unit, minlength=len(fits))
         rendered = [""] * len(new)
-        for row, text in zip(fits, self._rendered(a, b, group_a, group_b, n_a, n_b)):
+        for row, text in zip(fits.tolist(), self._rendered(a, b, group_a, group_b, n_a, n_b)):
             rendered[row] = text
         for place, stretch in enumerate(new, len(self.known)):
             self.known[stretch] = place
@@ -260,6 +268,30 @@ class Aligner:
         self.pairs, self.links = np.concatenate([self.pairs, pair]), np.concatenate([self.links, links])
         self.rendered += rendered
 
+    def _encoded_a(self, own: list[str], spans: np.ndarray, tidy: int) -> tuple[np.ndarray, np.ndarray]:
+        """The A ids of all texts one after the other, and how many each has; the first ``tidy`` are joined."""
+        joined = ["".join(own[i : min(i + _JOINED, tidy)]) for i in range(0, tidy, _JOINED)]
+        found = self.a.encode_batch_fast([*joined, *own[tidy:]], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        a = np.fromiter(chain.from_iterable(ids), np.int64)
+        # A token belongs to the text that its last byte is in.
+        text = np.searchsorted(np.cumsum(spans), np.cumsum(self.sizes[0][a]))
+        if len(a) and text[-1] >= len(own):
+            raise ValueError("the byte-level vocabulary gave other bytes than it was given")
+        return a, np.bincount(text, minlength=len(own))
+
+    def _whole(self, ids: np.ndarray, counts: np.ndarray, side: int, blobs: list[bytes], spans: np.ndarray) -> np.ndarray:
+        """Whether the token bytes of each text are its own."""
+        table = (self.bytes_a, self.bytes_b)[side]
+        ends = np.cumsum(counts)
+        reach = np.append(0, np.cumsum(self.sizes[side][ids]))
+        sizes = reach[ends] - reach[ends - counts]
+        got = b"".join([table[i] for i in ids.tolist()])
+        if (sizes == spans).all() and got == b"".join(blobs):
+            return np.ones(len(blobs), bool)
+        places = zip(reach[ends - counts].tolist(), reach[ends].tolist())
+        return np.array([got[start:stop] == blob for (start, stop), blob in zip(places, blobs)], bool)
+
     def _rendered(self, a, b, group_a, group_b, n_a, n_b) -> list[str]:
         """The groups of each stretch as text, every group with its end mark."""
         if not len(a):

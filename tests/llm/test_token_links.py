@@ -98,6 +98,17 @@ def test_products_equal_dense_ones(monkeypatch):
             assert (sparse[0].turned().times(sparse[0]).rows() >= 0).all()
 
 
+def test_stretches_that_are_encoded_together(paths, tools):
+    """Whatever stands beside it, a stretch has the tokens it has alone."""
+    aligner = c.Aligner(*paths)
+    texts = [" lead", "lead", "trail ", " ", "a  b", "\nx", "x\n", "plain", "'s", "  ", "é", "9"]
+    aligner.learn(set(texts))
+    for text in texts:
+        want = groups(text, tools)
+        found = aligner.rendered[aligner.known[text]]
+        assert found == "".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";" for a, b in want)
+
+
 def test_groups_equal_common_ends():
     rng = random.Random(2)
     for _ in range(200):
