@@ -19,7 +19,7 @@ from .batches import map_rows, slices, texts_of
 
 SPACE = "▁"
 # Distinct stretches of text a worker remembers before it starts anew: bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # Stretches that are encoded as one text.
 _JOINED = 200
 # Entries that a product expands at once.
