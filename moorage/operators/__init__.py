@@ -1,5 +1,7 @@
 """Plain DataFrame -> DataFrame operators."""
 
+from .arrivals import assign_new_roles, high_marks
+from .chain import reconcile_chain
 from .config import (
     apply_defaults,
     cloud_defaults,
@@ -30,6 +32,7 @@ from .reconcile import (
     parse_resource_names,
     reconcile_resources,
 )
+from .selectors import match_selectors
 from .telemetry import reportable, telemetry_documents, telemetry_metrics
 from .topology import (
     assign_roles,
@@ -43,6 +46,7 @@ from .versions import package_index, resolve_versions, version_keys
 
 __all__ = [
     "apply_defaults",
+    "assign_new_roles",
     "assign_roles",
     "cloud_defaults",
     "cluster_readiness",
@@ -54,6 +58,7 @@ __all__ = [
     "expected_resources",
     "fingerprint_rows",
     "group_resource_ids",
+    "high_marks",
     "ini_documents",
     "ini_rows",
     "instance_config",
@@ -63,6 +68,7 @@ __all__ = [
     "lookup_instance",
     "malformed_documents",
     "manager_config",
+    "match_selectors",
     "normalize_endpoints",
     "orphaned_resources",
     "overlay_config",
@@ -71,6 +77,7 @@ __all__ = [
     "peer_lists",
     "project_addresses",
     "purge_by_owner",
+    "reconcile_chain",
     "reconcile_resources",
     "redact_endpoints",
     "registration_json",

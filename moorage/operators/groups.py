@@ -126,12 +126,13 @@ def lookup(
     spread: Sequence[str],
     limit: int = GROUP_ROWS,
     counted: DataFrame | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join to ``right``, which has one row per key, even where one key fills ``left``.
+    """Join to ``right``, which has few rows per key, even where one key fills ``left``.
 
     The left rows of a heavy key are dealt out by the hash of the ``spread`` columns
     (something that differs from row to row) over rows / limit salts, and that key's
-    single right row is repeated once per salt: at most N / limit extra rows in all.
+    right rows are repeated once per salt: at most N / limit extra rows for one row a key.
     A NULL key matches nothing but is spread all the same. ``counted`` is the table
     to find the heavy keys in, when ``left`` was derived from it at some cost.
     """
@@ -139,7 +140,7 @@ def lookup(
         (left if counted is None else counted).select(*keys), keys, limit
     )
     if heavy.isEmpty():
-        return left.join(right, [*keys], "left")
+        return left.join(right, [*keys], how)
     salts = F.ceil(F.col("_heavy_rows") / F.lit(limit)).cast("bigint")
     heavy = written(heavy.withColumn("_salts", salts).drop("_heavy_rows"), "heavy")
     heavy_columns = [f"_heavy_{k}" for k in keys] + ["_salts"]
@@ -154,7 +155,7 @@ def lookup(
         .withColumn("_salt", F.explode(every_salt))
         .drop(*heavy_columns)
     )
-    return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str, *columns: str) -> DataFrame:

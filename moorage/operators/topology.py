@@ -44,6 +44,17 @@ def _manager_url(address: Column) -> Column:
     return F.concat(F.lit("http://"), address, F.lit(f":{MANAGER_PORT}/{MANAGER_PREFIX}"))
 
 
+def with_roles(numbered_members: DataFrame, *, public_ip: str = "public_ip") -> DataFrame:
+    """Add ``is_replica``, ``bootstrap`` and ``manager_url`` to members that have a ``server_id``."""
+    return numbered_members.withColumns(
+        {
+            "is_replica": F.col("server_id") > 1,
+            "bootstrap": F.col("server_id") == 1,
+            "manager_url": _manager_url(F.col(public_ip)),
+        }
+    )
+
+
 def assign_roles(
     members: DataFrame,
     *,
@@ -53,18 +64,8 @@ def assign_roles(
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``server_id`` (1-based), ``is_replica``, ``bootstrap`` and ``manager_url``."""
-    return (
-        numbered(members, [cluster], order, limit)
-        .withColumns(
-            {
-                "server_id": F.col("pos"),
-                "is_replica": F.col("pos") > 1,
-                "bootstrap": F.col("pos") == 1,
-                "manager_url": _manager_url(F.col(public_ip)),
-            }
-        )
-        .drop("pos", "n")
-    )
+    placed = numbered(members, [cluster], order, limit).withColumn("server_id", F.col("pos"))
+    return with_roles(placed, public_ip=public_ip).drop("pos", "n")
 
 
 def _in_parts(

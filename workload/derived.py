@@ -180,6 +180,60 @@ DERIVED: dict[str, str] = {
         from customer
         where c_custkey % 4 <> 0
     """,
+    "chain_requests": """
+        select
+            c_custkey as request_id,
+            c_custkey * 7 % 100003 * 1000000 + c_custkey as request_ord,
+            case when c_custkey % 3 = 0 then concat('vpc-', c_custkey % 900) else '' end as
+                want_id,
+            case when c_custkey % 10 = 0 then '' else concat('net', c_custkey % 700) end as
+                want_name
+        from customer
+    """,
+    "chain_networks": """
+        select
+            c_custkey as ord,
+            concat('vpc-', c_custkey) as act_id,
+            case when c_custkey % 11 = 0 then '' else concat('net', c_custkey % 400) end as
+                act_name
+        from customer
+        where c_custkey % 4 <> 0
+    """,
+    "chain_resources": """
+        select
+            o_orderkey as ord,
+            case o_orderkey % 4 when 0 then 'internet-gateway' when 1 then 'security-group'
+                when 2 then 'subnet' else 'route-table' end as kind,
+            concat('res-', o_orderkey) as act_id,
+            case when o_orderkey % 5 = 0 then '' else concat('net', o_custkey % 400,
+                case o_orderkey % 4 when 0 then '-igw' when 1 then '-sg' when 2 then
+                '-subnet' else '-rtb' end) end as act_name,
+            concat('vpc-', o_custkey) as network_id,
+            o_orderkey % 3 <> 0 as default_route
+        from orders
+    """,
+    "machines": """
+        select
+            c_custkey as machine_id,
+            case when c_custkey % 4 = 0 then null else concat('own', c_nationkey) end as
+                owner,
+            lower(c_mktsegment) as role,
+            case c_custkey % 3 when 0 then 'prod' when 1 then 'test' else null end as tier,
+            concat('zone-', c_custkey % 40) as zone
+        from customer
+    """,
+    "selectors": """
+        select
+            s_suppkey as selector_id,
+            case when s_suppkey % 3 = 0 then null else concat('own', s_nationkey) end as
+                owner,
+            case s_suppkey % 8 when 0 then 'machinery' when 1 then 'building' when 2 then
+                'nothing' else null end as role,
+            case when s_suppkey % 2 = 0 then 'prod' else null end as tier,
+            case when s_suppkey % 5 < 3 then concat('zone-', s_suppkey % 41) else null end
+                as zone
+        from supplier
+    """,
     "ini_docs": """
         select
             p_partkey as doc_id,

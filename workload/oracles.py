@@ -456,6 +456,17 @@ _add(
     "select * from services where role = 'machinery' and owner = 'own3'",
     "services",
 )
+_add(
+    "match_selectors",
+    """
+    select selector_id, machine_id from selectors s join machines m
+      on (s.owner is null or m.owner = s.owner) and (s.role is null or m.role = s.role)
+      and (s.tier is null or m.tier = s.tier) and (s.zone is null or m.zone = s.zone)
+    where coalesce(s.owner, s.role, s.tier, s.zone) is not null
+    """,
+    "selectors",
+    "machines",
+)
 _add(
     "labels_to_tags",
     """
@@ -598,6 +609,73 @@ _add(
     **_FIRST_ACTUAL,
     reconciled=_RECONCILED,
 )
+_add(
+    "reconcile_chain",
+    """
+    select request_id, 'vpc' as kind, network_name as name,
+        case when existing is not null then 'reuse' when creator = request_id then 'create'
+            else 'reuse_created' end as action,
+        existing as act_id, creator as created_by
+    from placed
+    union all
+    select request_id, c.kind, c.name,
+        case when act_id is not null then 'reuse' when c.created_by = request_id then 'create'
+            else 'reuse_created' end, act_id, c.created_by
+    from placed p join children c on p.existing is not distinct from c.existing
+      and p.creator is not distinct from c.creator
+    """,
+    "chain_requests",
+    "chain_networks",
+    "chain_resources",
+    by_id="""
+        select act_id, arg_min(act_name, ord) as act_name from chain_networks group by act_id
+    """,
+    by_name="""
+        select act_name, arg_min(act_id, ord) as act_id from chain_networks
+        where act_name <> '' group by act_name
+    """,
+    matched="""
+        select r.*, coalesce(i.act_id, n.act_id) as existing,
+            case when i.act_id is not null then i.act_name when n.act_id is not null then n.act_name
+                else want_name end as found_name
+        from chain_requests r left join by_id i on r.want_id = i.act_id
+        left join by_name n on r.want_name = n.act_name
+    """,
+    placed="""
+        select request_id, request_ord, existing, nullif(found_name, '') as network_name,
+            case when existing is null and want_name <> '' then arg_min(request_id, request_ord)
+                over (partition by existing is null, want_name)
+            when existing is null then request_id end as creator
+        from matched
+    """,
+    in_use="""
+        select existing, creator, any_value(network_name) as network_name, min(request_ord) as first_ord,
+            arg_min(request_id, request_ord) as first_id
+        from placed group by existing, creator
+    """,
+    asked="""
+        select u.*, kind, case when kind = 'security-group' then coalesce(network_name, existing)
+            else network_name end || suffix as name
+        from in_use u, (values ('internet-gateway', '-igw'), ('security-group', '-sg'),
+            ('subnet', '-subnet'), ('route-table', '-rtb')) as k(kind, suffix)
+    """,
+    found="""
+        select a.existing, a.creator, a.kind, any_value(name) as name, any_value(first_ord) as first_ord,
+            any_value(first_id) as first_id, arg_min(r.act_id, r.ord) as act_id
+        from asked a left join chain_resources r on a.kind = r.kind and case
+            when a.kind = 'security-group' then r.act_name = a.name and r.act_name <> ''
+            else r.network_id = a.existing and (a.name is null or r.act_name = a.name)
+                and (a.kind <> 'route-table' or r.default_route) end
+        group by a.existing, a.creator, a.kind
+    """,
+    children="""
+        select existing, creator, kind, name, act_id,
+            case when act_id is null and kind = 'security-group' and name is not null
+                then arg_min(first_id, first_ord) over (partition by kind, name, act_id is null)
+            when act_id is null then first_id end as created_by
+        from found
+    """,
+)
 _add(
     "expected_resources",
     """
@@ -667,6 +745,26 @@ for _name in ("assign_roles", "assign_roles_split"):
         """,
         "members",
     )
+_add(
+    "assign_new_roles",
+    """
+    select cluster_id, launch_ord, private_ip, public_ip, reachable, server_id, server_id > 1 as is_replica,
+        server_id = 1 as bootstrap, 'http://' || public_ip || ':3000/orchestrator' as manager_url
+    from (
+        select m.*, coalesce(f.server_id, coalesce(f.high, h.high, 0) + row_number() over (
+            partition by m.cluster_id, f.server_id is null order by m.launch_ord)) as server_id
+        from members m left join first_load f using (cluster_id, launch_ord)
+        left join (select distinct cluster_id, high from first_load) h using (cluster_id)
+        where f.server_id is null or f.server_id < f.high)
+    """,
+    "members",
+    first_load="""
+        select cluster_id, launch_ord,
+            row_number() over (partition by cluster_id order by launch_ord) as server_id,
+            count(*) over (partition by cluster_id) as high
+        from members where launch_ord % 3 <> 0
+    """,
+)
 _add(
     "peer_lists",
     """

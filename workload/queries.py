@@ -315,6 +315,21 @@ def select_by_labels(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.drop("labels")
 
 
+def _map_of(columns: Sequence[str]) -> Column:
+    entries = [part for c in columns for part in (F.lit(c), F.col(c))]
+    return F.map_filter(F.create_map(*entries), lambda _, value: value.isNotNull())
+
+
+@registered
+def match_selectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every selector against every machine: by role, tier and zone, and by owner if it has one."""
+    machines = derived(spark, folder, "machines").withColumnRenamed("owner", "resource_id")
+    labelled = machines.select("machine_id", _map_of(["resource_id", "role", "tier", "zone"]).alias("labels"))
+    selectors = derived(spark, folder, "selectors")
+    wanted = selectors.select("selector_id", "owner", _map_of(["role", "tier", "zone"]).alias("wanted"))
+    return m.match_selectors(labelled, wanted, owner="owner")
+
+
 @registered
 def labels_to_tags(spark: SparkSession, folder: str) -> DataFrame:
     services = derived(spark, folder, "services").withColumn("labels", _labels())
@@ -434,6 +449,16 @@ def expected_resources(spark: SparkSession, folder: str) -> DataFrame:
     return m.expected_resources(networks, keep=("desired_id",))
 
 
+@registered
+def reconcile_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Network, gateway, subnet, route table and group of every request, got or created."""
+    return m.reconcile_chain(
+        derived(spark, folder, "chain_requests"),
+        derived(spark, folder, "chain_networks"),
+        derived(spark, folder, "chain_resources"),
+    )
+
+
 @registered
 def latest_image(spark: SparkSession, folder: str) -> DataFrame:
     return m.latest_image(derived(spark, folder, "images"))
@@ -464,6 +489,21 @@ def assign_roles_split(spark: SparkSession, folder: str) -> DataFrame:
     return m.assign_roles(derived(spark, folder, "members"), limit=2)
 
 
+@registered
+def assign_new_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Two loads: the second brings the first one's members again, and further ones among them.
+
+    Between the loads the last member of each cluster leaves; its number is not given again.
+    """
+    members = derived(spark, folder, "members")
+    first = m.assign_roles(members.where("launch_ord % 3 <> 0"))
+    marks = m.high_marks(first)
+    last = marks.withColumnRenamed("high", "server_id")
+    left = first.join(last, ["cluster_id", "server_id"], "left_anti")
+    gone = first.join(last, ["cluster_id", "server_id"], "left_semi").select("launch_ord")
+    return m.assign_new_roles(members.join(gone, "launch_ord", "left_anti"), left, marks=marks)
+
+
 @registered
 def peer_lists(spark: SparkSession, folder: str) -> DataFrame:
     return m.peer_lists(derived(spark, folder, "members")).withColumn("nodes", _joined("nodes"))
