@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import moorage as m
 
-SCHEMA = "cluster_id bigint, launch_ord bigint, public_ip string, high int, _local string"
+SCHEMA = "cluster_id bigint, launch_ord bigint, public_ip string, high int, note string"
 ROLES = ["cluster_id", "launch_ord", "server_id"]
 
 
