@@ -25,6 +25,7 @@ from .inventory import (
     select_by_labels,
     service_inventory,
 )
+from .readiness import ready_since
 from .reconcile import (
     expected_resources,
     group_resource_ids,
@@ -77,6 +78,7 @@ __all__ = [
     "peer_lists",
     "project_addresses",
     "purge_by_owner",
+    "ready_since",
     "reconcile_chain",
     "reconcile_resources",
     "redact_endpoints",

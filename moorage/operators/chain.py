@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .groups import GROUP_ROWS, first_by, lookup
 from .reconcile import expected_resources, reconcile_resources
 
@@ -51,7 +52,8 @@ def reconcile_chain(
     name that is NULL or empty is not asked for.
 
     What belongs to a network is worked out once per network in use and then looked up by the
-    requests, also where one network serves a great part of them.
+    requests, also where one network serves a great part of them. The requests with their
+    networks are written once to the scratch folder.
     """
     asked = requests.select(
         F.col(request_id).alias("_request"),
@@ -71,9 +73,11 @@ def reconcile_chain(
     )
     creators = first_by(placed.where("_new_name is not null"), ["_new_name"], "_order", "_request")
     creators = creators.withColumnRenamed("_request", "_first_asked")
-    placed = lookup(placed, creators, ["_new_name"], ["_request"], limit)
+    # No name can be new more often than it is wanted.
+    wanted_names = asked.select(F.nullif("_want_name", F.lit("")).alias("_new_name"))
+    placed = lookup(placed, creators, ["_new_name"], ["_request"], limit, wanted_names)
     creator = F.when(F.col("_existing").isNull(), F.coalesce("_first_asked", "_request"))
-    placed = placed.withColumn("_network", F.struct("_existing", creator.alias("_creator")))
+    placed = written(placed.withColumn("_network", F.struct("_existing", creator.alias("_creator"))), "placed")
 
     used = first_by(placed, ["_network"], "_order", "_request", "_order", "_network_name")
     belongs = expected_resources(
@@ -102,14 +106,14 @@ def reconcile_chain(
         .unionByName(by_name.where("_name <> ''"))
     )
     keys = ["kind", "_scope", "_name"]
-    found = lookup(wanted, first_by(index, keys, "_listed", "_found"), keys, ["_network"], limit)
+    found = wanted.join(first_by(index, keys, "_listed", "_found"), keys, "left")
 
     # Several networks of one name share a group: who comes first creates it.
     missing = F.when(is_group & F.col("_found").isNull(), F.col("name"))
     found = found.withColumn("_missing", missing)
     group_creators = first_by(found.where("_missing is not null"), ["_missing"], "_first_order", "_first")
     group_creators = group_creators.withColumnRenamed("_first", "_first_group")
-    found = lookup(found, group_creators, ["_missing"], ["_network"], limit)
+    found = found.join(group_creators, ["_missing"], "left")
     by = F.when(F.col("_found").isNull(), F.coalesce("_first_group", "_first"))
     entry = F.struct("kind", "name", F.col("_found").alias("act_id"), by.alias("created_by"))
     lists = found.groupBy("_network").agg(F.collect_list(entry).alias("_entries"))

@@ -71,8 +71,12 @@ def telemetry_documents(
     version: str | Column = "",
     uptime_seconds: float | Column = UPTIME_SECONDS,
     redact_urls: bool = True,
+    id_column: str | None = None,
 ) -> DataFrame:
-    """(doc_id, json): the nested telemetry document of each record."""
+    """(doc_id, json): the nested telemetry document of each record.
+
+    The id in the document is ``doc_id``, or ``id_column`` where the rows are keyed otherwise.
+    """
     values = _metric_values(config, fields, resource, redact_urls)
     entries = F.array(
         *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]
@@ -81,7 +85,7 @@ def telemetry_documents(
     uptime = uptime_seconds if isinstance(uptime_seconds, Column) else F.lit(uptime_seconds)
     document = F.struct(
         F.struct(
-            F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"),
+            F.coalesce(F.col(id_column or doc_id).cast("string"), F.lit("")).alias("id"),
             rfc3339(F.col(sent_at), config.schema[sent_at].dataType).alias("time"),
             F.lit(TELEMETRY_ID).alias("pmmServerTelemetryId"),
             version.alias("pmmServerVersion"),

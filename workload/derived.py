@@ -234,6 +234,32 @@ DERIVED: dict[str, str] = {
                 as zone
         from supplier
     """,
+    "probes": """
+        select
+            user_id % 15 as cluster_id,
+            user_id as member,
+            ts as seen_at,
+            event_id as ord,
+            case event_type when 'error' then 'silent' when 'signup' then 'gone' else
+                'answers' end as state
+        from events
+    """,
+    "ini_edits": """
+        select
+            p_partkey as doc_id,
+            'mysqld' as section,
+            case when p_partkey % 3 = 0 then 'port' else 'userstat' end as key,
+            concat('v', p_size) as value
+        from part
+        where p_partkey % 97 = 1
+        union all select
+            -p_partkey as doc_id,
+            'client' as section,
+            'host' as key,
+            p_type as value
+        from part
+        where p_partkey % 97 = 2
+    """,
     "ini_docs": """
         select
             p_partkey as doc_id,

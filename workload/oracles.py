@@ -102,6 +102,19 @@ _add(
         from sent where not disable_telemetry
     """,
 )
+_add(
+    "telemetry_delivery",
+    f"""
+    select config_id, case when reason is null then {_document(_REPORTED, 'sent_at')} end as json, reason
+    from (
+        select * replace (case when config_id % 17 = 0 then 'vm' else resource end as resource),
+            case when config_id % 17 = 0 then 'unknown_resource' when config_id % 13 = 0 then 'no_time' end as reason
+        from sent where not disable_telemetry
+    )
+    """,
+    "configs",
+    sent=_SENT,
+)
 _EVENT_FIELDS = {
     "instance_type": ("('pmm')", "coalesce(instance_type, '') <> ''"),
     "volume_size": ("('pmm')", "coalesce(volume_size, 0) <> 0"),
@@ -379,6 +392,25 @@ _add(
     overlaid=_OVERLAID,
 )
 
+_add(
+    "upserted_documents",
+    f"""
+    select doc_id, doc as text from ini_docs where doc_id not in (select doc_id from ini_edits)
+    union all
+    select doc_id, text from ({_rendered("edited")}) where doc_id in (select doc_id from ini_edits)
+    """,
+    "ini_docs",
+    "ini_edits",
+    parsed=_INI_PARSED,
+    rows_=_INI_ROWS,
+    edited=_once("""(
+        select doc_id, section, key, value, valueless, 'base' as source, 0 as layer, ord, comment,
+            section_comment from rows_
+        union all
+        select doc_id, section, key, value, false, 'edits', 1, 0, null, null from ini_edits
+    )"""),
+)
+
 # Inventory.
 
 _add(
@@ -765,6 +797,35 @@ _add(
         from members where launch_ord % 3 <> 0
     """,
 )
+_add(
+    "ready_since",
+    """
+    select cluster_id, arg_max(members, seen_at) as n_members, arg_max(silents, seen_at) as n_silent,
+        arg_max(ready, seen_at) as ready, min(seen_at) filter (ready) as first_ready,
+        min(seen_at) filter (seen_at > coalesce(last_unready, '0001-01-01'::timestamp)) as ready_since
+    from judged group by cluster_id
+    """,
+    "probes",
+    changes="""
+        select cluster_id, seen_at, state, lag(state) over (partition by cluster_id, member order by seen_at) as before
+        from probes
+    """,
+    deltas="""
+        select cluster_id, seen_at,
+            sum((state <> 'gone')::bigint - coalesce(before <> 'gone', false)::bigint) as members,
+            sum((state = 'silent')::bigint - coalesce(before = 'silent', false)::bigint) as silents
+        from changes group by cluster_id, seen_at
+    """,
+    swept="""
+        select cluster_id, seen_at, (sum(members) over w)::bigint as members, (sum(silents) over w)::bigint as silents
+        from deltas window w as (partition by cluster_id order by seen_at)
+    """,
+    judged="""
+        select *, members > 0 and silents = 0 as ready,
+            max(case when not (members > 0 and silents = 0) then seen_at end) over (partition by cluster_id) as last_unready
+        from swept
+    """,
+)
 _add(
     "peer_lists",
     """

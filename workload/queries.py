@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 import moorage as m
 from moorage.operators.versions import CLUSTER_PREFIX, SERVER_PREFIX
-from moorage.plans import cluster_files, register_databases, report_telemetry
+from moorage.plans import (
+    cluster_files,
+    read_document_store,
+    register_databases,
+    report_telemetry,
+    upsert_documents,
+    write_document_store,
+)
 from moorage.sources import shared_folder
-from moorage.streaming import config_stream, run_to_files, telemetry_stream
+from moorage.streaming import Delivery, config_stream, files_receiver, run_to_files, telemetry_stream
 
 from .derived import DERIVED, derived, query, table
 
@@ -88,6 +95,30 @@ def telemetry_stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(metrics.schema).parquet(path)
 
 
+@registered
+def telemetry_delivery(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of documents with dead letters, delivered twice from two checkpoints.
+
+    The second run repeats every batch of the first, and the result has each record once.
+    """
+    path = shared_folder(spark, "delivery")
+    for _ in range(2):
+        customers = config_stream(
+            spark, folder, schema=table(spark, folder, "customer").schema, file_format="parquet", files="customer.parquet"
+        )
+        configs = spark.sql(DERIVED["configs"].replace("from customer", "from {customer}"), customer=customers)
+        sent = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("config_id") * 1_234_560)
+        configs = configs.withColumns(
+            {
+                "sent_at": F.when(F.col("config_id") % 13 != 0, sent),
+                "resource": F.when(F.col("config_id") % 17 == 0, "vm").otherwise(F.col("resource")),
+            }
+        )
+        delivery = Delivery(path, configs.schema["config_id"], receiver=files_receiver(f"{path}/received"), version="1.0")
+        delivery.start(configs, shared_folder(spark, "delivery-checkpoint")).awaitTermination()
+    return delivery.outcomes(spark).drop("batch_id")
+
+
 @registered
 def validate_config(spark: SparkSession, folder: str) -> DataFrame:
     checked = m.validate_config(derived(spark, folder, "configs"), strict=True)
@@ -209,6 +240,16 @@ def overlaid_documents(spark: SparkSession, folder: str) -> DataFrame:
     return m.ini_documents(m.overlay_config(_layers(spark, folder)))
 
 
+@registered
+def upserted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored table of documents after some were edited and some came in new."""
+    path = shared_folder(spark, "documents")
+    docs = derived(spark, folder, "ini_docs")
+    write_document_store(docs, path, text="doc", buckets=16)
+    upsert_documents(spark, path, derived(spark, folder, "ini_edits"), buckets=16)
+    return read_document_store(spark, path).select("doc_id", "text")
+
+
 # Inventory.
 
 
@@ -516,6 +557,12 @@ def cluster_readiness(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def ready_since(spark: SparkSession, folder: str) -> DataFrame:
+    """Since when all members of a cluster answer, from a month of probes."""
+    return m.ready_since(derived(spark, folder, "probes"), at="seen_at")
+
+
 @registered
 def instance_config(spark: SparkSession, folder: str) -> DataFrame:
     """Every member with the lists of its cluster, over clusters of a few members."""
