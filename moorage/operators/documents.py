@@ -24,6 +24,11 @@ _AFTER_COMMENT, _IN_VALUE = "\x02", "\x04"
 _COMMENTS = f"(?:[ \\t]*[#;][^{_AFTER_COMMENT}\n]*{_AFTER_COMMENT})"
 
 
+def _where(test: Column, cheap: Column, costly: Column) -> Column:
+    """``costly`` only where it can differ: patterns are matched one character at a time."""
+    return F.when(test, costly).otherwise(cheap)
+
+
 def _comment(prefix: Column) -> Column:
     """Comment lines, joined by line feeds, from the stretch before an entry."""
     lines = F.split(F.rtrim(prefix, F.lit(_AFTER_COMMENT)), _AFTER_COMMENT)
@@ -56,48 +61,68 @@ def ini_rows(docs: DataFrame, *, doc_id: str = "doc_id", doc: str = "doc") -> Da
     text = F.when(
         F.contains(text, F.lit("\\\n")), F.regexp_replace(text, _CONTINUED, "$1")
     ).otherwise(text)
-    text = F.regexp_replace(text, r"(?m)^([ \t]*[#;][^\n]*)\n(?:[ \t]*\n)*", f"$1{_AFTER_COMMENT}")
+    marked = F.contains(text, F.lit("#")) | F.contains(text, F.lit(";"))
+    joined = F.regexp_replace(text, r"(?m)^([ \t]*[#;][^\n]*)\n(?:[ \t]*\n)*", f"$1{_AFTER_COMMENT}")
+    text = _where(marked, text, joined)
     blocks = docs.select(
         doc_id,
         F.posexplode(F.split(text, rf"\n(?={_COMMENTS}*[ \t]*\[)", -1)).alias("_block", "_text"),
     )
+    noted = F.contains("_text", F.lit(_AFTER_COMMENT))
     start = rf"^({_COMMENTS}*)[ \t]*\[([^\n]*)\]"
-    header = F.nullif(F.regexp_extract("_text", start, 2), F.lit(""))
+    # A header is what stands between the first and the last bracket of the line it begins.
+    first = F.ltrim(F.substring_index("_text", "\n", 1), F.lit(" \t"))
+    last = F.length(first) - F.length(F.substring_index(first, "]", -1))
+    plain_header = F.when(
+        F.startswith(first, F.lit("[")) & F.contains(first, F.lit("]")), F.substring(first, F.lit(2), last - 2)
+    ).otherwise("")
+    header = F.nullif(_where(noted, plain_header, F.regexp_extract("_text", start, 2)), F.lit(""))
     lines = blocks.select(
         doc_id,
         "_block",
         F.trim(header).alias("section"),
-        _comment(F.regexp_extract("_text", start, 1)).alias("section_comment"),
+        F.when(noted, _comment(F.regexp_extract("_text", start, 1))).alias("section_comment"),
         F.posexplode(F.split("_text", "\n", -1)).alias("_line", "_entry"),
     )
     entry = rf"(?s)^({_COMMENTS}*)(.*)$"
+    noted = F.contains("_entry", F.lit(_AFTER_COMMENT))
     lines = lines.withColumns(
         {
-            "comment": _comment(F.regexp_extract("_entry", entry, 1)),
-            "_raw": F.btrim(F.regexp_extract("_entry", entry, 2), F.lit(" \t")),
+            "comment": F.when(noted, _comment(F.regexp_extract("_entry", entry, 1))),
+            "_raw": F.btrim(_where(noted, F.col("_entry"), F.regexp_extract("_entry", entry, 2)), F.lit(" \t")),
         }
     )
     raw = F.col("_raw")
-    key = F.btrim(F.regexp_extract(raw, r"(?s)^([^=:]*)", 1), F.lit(" \t"))
-    value = F.btrim(F.regexp_extract(raw, r"(?s)^[^=:]*[=:](.*)$", 1), F.lit(" \t"))
-    plain = F.regexp_replace(
-        F.btrim(F.regexp_replace(value, r"(?s)[#;].*$", ""), F.lit(" \t")),
-        r"(?s)^(['\"])(.*)\1$",
-        "$2",
-    )
+    # The first of both separators ends the key.
+    before = F.length(F.substring_index(F.translate(raw, ":", "="), "=", 1))
+    lines = lines.withColumn("_key_length", before)
+    before = F.col("_key_length")
+    key = F.btrim(F.substring(raw, F.lit(1), before), F.lit(" \t"))
+    value = F.btrim(F.substring(raw, before + 2, F.length(raw)), F.lit(" \t"))
+
+    def uncommented(text: Column) -> Column:
+        marked = F.contains(text, F.lit("#")) | F.contains(text, F.lit(";"))
+        return _where(marked, text, F.btrim(F.regexp_replace(text, r"(?s)[#;].*$", ""), F.lit(" \t")))
+
+    plain = uncommented(value)
+    quoted_once = F.startswith(plain, F.lit("'")) | F.startswith(plain, F.lit('"'))
+    plain = _where(quoted_once, plain, F.regexp_replace(plain, r"(?s)^(['\"])(.*)\1$", "$2"))
     value = (
         F.when(
-            value.rlike(r'(?s)^"""(.*)"""'),
+            F.startswith(value, quotes) & value.rlike(r'(?s)^"""(.*)"""'),
             F.replace(
                 F.regexp_extract(value, r'(?s)^"""(.*)"""', 1), F.lit(_IN_VALUE), F.lit("\n")
             ),
         )
-        .when(value.rlike(r"(?s)^`[^`]*`"), F.regexp_extract(value, r"(?s)^`([^`]*)`", 1))
+        .when(
+            F.startswith(value, F.lit("`")) & value.rlike(r"(?s)^`[^`]*`"),
+            F.regexp_extract(value, r"(?s)^`([^`]*)`", 1),
+        )
         .otherwise(plain)
     )
-    valueless = ~raw.rlike(r"[=:]")
-    bare = F.btrim(F.regexp_replace(raw, r"(?s)[#;].*$", ""), F.lit(" \t"))
-    kept = (raw != "") & ~raw.rlike(r"^[#;\[]")
+    valueless = before == F.length(raw)
+    bare = uncommented(raw)
+    kept = (raw != "") & ~F.substring(raw, 1, 1).isin("#", ";", "[")
     return lines.where(kept).select(
         doc_id,
         (F.col("_block").cast("bigint") * F.lit(_BLOCK_SPAN) + F.col("_line")).alias("ord"),

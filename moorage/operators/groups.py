@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from ..sources.scratch import written
 
 GROUP_ROWS = 1_000_000
+# Rows that one task numbers without being split, whatever limit a caller gives.
+SLICE_ROWS = 100_000
 
 
 def _require_whole_numbers(df: DataFrame, order: str) -> None:
@@ -88,14 +90,13 @@ def numbered(
     def along(rows: DataFrame) -> DataFrame:
         return rows if per_group is None else rows.join(per_group, [*keys], "left")
 
-    if not total:
+    size = max(limit, SLICE_ROWS)
+    # Heavy groups that fit one slice together need no slicing.
+    if (total or 0) <= size:
         return along(_plainly(df, keys, order))
     heavy = written(heavy, "heavy")
     light = _plainly(df.join(heavy, _is_heavy(keys), "left_anti"), keys, order)
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sliced(
-        df.join(heavy, _is_heavy(keys), "left_semi"), keys, order, max(least, -(-total // limit))
-    )
+    rows = sliced(df.join(heavy, _is_heavy(keys), "left_semi"), keys, order, -(-total // size))
     # A group has at most as many slices as there are: these windows see counts only.
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -232,7 +232,7 @@ def member_settings(
     group_name: str | None = None,
     server_port: int = SERVER_PORT,
     galera_port: int = GALERA_PORT,
-    lists: str = INLINE,
+    lists: str = SHARED,
     part_size: int = LIST_PART,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
@@ -307,7 +307,7 @@ def instance_config(
     group_name: str | None = None,
     server_port: int = SERVER_PORT,
     galera_port: int = GALERA_PORT,
-    lists: str = INLINE,
+    lists: str = SHARED,
     part_size: int = LIST_PART,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
@@ -318,9 +318,9 @@ def instance_config(
     The group name is ``group_name`` or, if not given, derived from the cluster id.
 
     The caller chooses how settings that list all members are written, and a cluster's
-    size never changes it. ``lists="inline"``: for every member, as each member's server
-    needs them; that grows with the square of a cluster. ``lists="shared"``: once per cluster, with
-    ``instance`` NULL, in parts of ``part_size`` members as in :func:`peer_lists`.
+    size never changes it. ``lists="shared"``: once per cluster, with ``instance`` NULL, in parts of
+    ``part_size`` members as in :func:`peer_lists`. ``lists="inline"``: for every member, as each
+    member's server needs them; that gathers a cluster in one row and grows with its square.
     """
     found = member_settings(
         members, clusters, cluster=cluster, order=order, private_ip=private_ip, kind=kind,

@@ -33,3 +33,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder():
     return SMALL_FOLDER
+
+
+@pytest.fixture
+def small_slices(monkeypatch):
+    """Groups are cut by the caller's limit, however few rows they have."""
+    monkeypatch.setattr("moorage.operators.groups.SLICE_ROWS", 0)

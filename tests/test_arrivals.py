@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 import moorage as m
 
+pytestmark = pytest.mark.usefixtures("small_slices")
+
 SCHEMA = "cluster_id bigint, launch_ord bigint, public_ip string, high int, note string"
 ROLES = ["cluster_id", "launch_ord", "server_id"]
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import moorage as m
 
 
+
 def parse(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id int, doc string")
     rows = m.ini_rows(df).orderBy("ord")

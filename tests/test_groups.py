@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from moorage.operators.groups import first_by, heavy_groups, lookup, numbered, sliced
 
+pytestmark = pytest.mark.usefixtures("small_slices")
+
 
 @pytest.fixture(scope="module")
 def skewed():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import moorage as m
 
 
+
 def test_resource_names(spark):
     arns = ["arn:aws:ec2:r:1:vpc", "x", None, "arn:aws:ec2:r:vpc/v", "arn:aws:ec2:r:1:vpc/v-1",
             "arn:aws:ec2:r:1:a/b/c", "arn:aws:ec2:r:1:a:b/c:d", "arn:::::/x"]

@@ -7,6 +7,7 @@ from helpers import rows_of
 
 import moorage as m
 
+
 # Cluster to its member addresses in launch order; d has none, u is of an unknown kind.
 FLEET = {
     "a": ["10.0.0.1", "10.0.0.2", "10.0.0.3"],
@@ -95,7 +96,7 @@ def settings_of(df):
 
 @pytest.mark.parametrize("limit", [2, 1_000_000])
 def test_settings_per_member(members, clusters, limit):
-    got = settings_of(m.instance_config(members, clusters, limit=limit))
+    got = settings_of(m.instance_config(members, clusters, lists="inline", limit=limit))
     # One async member, unknown kinds and unlisted clusters get nothing.
     assert {cluster for cluster, _ in got} == {"a", "g", "x", "o"}
     first, second = got["a", "10.0.0.1"], got["a", "10.0.0.2"]
@@ -139,7 +140,7 @@ def test_settings_shared_by_a_cluster(members, clusters, part_size, limit):
     lists = {"group_replication_group_seeds", "group_replication_ip_allowlist", "wsrep_cluster_address"}
     assert {r.key for r in shared} == lists
     plain = {(r.cluster_id, r.instance, r.key, r.value)
-             for r in m.instance_config(members, clusters).collect() if r.key not in lists}
+             for r in m.instance_config(members, clusters, lists="inline").collect() if r.key not in lists}
     assert {(r.cluster_id, r.instance, r.key, r.value) for r in rows if r.key not in lists} == plain
 
 
@@ -173,7 +174,7 @@ def test_given_group_name(members, clusters):
     from pyspark.sql import functions as F
 
     named = clusters.withColumn("name", F.concat(F.lit("uuid-"), "cluster_id"))
-    got = settings_of(m.instance_config(members, named, group_name="name"))
+    got = settings_of(m.instance_config(members, named, group_name="name", lists="inline"))
     assert got["g", "10.1.0.1"]["group_replication_group_name"] == "uuid-g"
 
 

@@ -567,7 +567,7 @@ def ready_since(spark: SparkSession, folder: str) -> DataFrame:
 def instance_config(spark: SparkSession, folder: str) -> DataFrame:
     """Every member with the lists of its cluster, over clusters of a few members."""
     return m.instance_config(
-        derived(spark, folder, "small_members"), derived(spark, folder, "small_clusters")
+        derived(spark, folder, "small_members"), derived(spark, folder, "small_clusters"), lists="inline"
     )
 
 
@@ -575,7 +575,7 @@ def instance_config(spark: SparkSession, folder: str) -> DataFrame:
 def instance_config_shared(spark: SparkSession, folder: str) -> DataFrame:
     """The lists once per cluster, over clusters that grow with the table."""
     return m.instance_config(
-        derived(spark, folder, "members"), derived(spark, folder, "clusters"), lists="shared"
+        derived(spark, folder, "members"), derived(spark, folder, "clusters")
     )
 
 
