@@ -183,19 +183,14 @@ def _several_templates(
     leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
     leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
     texts = _mixed_texts(documents, text, leaves, min_words).drop("total").join(counted.drop("leaf"), _LINE)
-    def worth(rest: DataFrame) -> DataFrame:
-        """The groups that may still hold a template, written once for the round."""
+    rest = cut(texts.withColumn("words", F.split("folded", " ")).select("leaf", *_LINE, "weight", "words"))
+    done, rounds = alone, 0
+    while True:
         totals = rest.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
         totals = totals.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total")
-        kept = cut(rest.join(totals, "leaf"))
-        # What a round leaves on the driver goes before the next one begins.
-        spark.sparkContext._jvm.System.gc()
-        return kept
-
-    spark = lines.sparkSession
-    rest = cut(texts.withColumn("words", F.split("folded", " ")).select("leaf", *_LINE, "weight", "words"))
-    done, rounds, rest = alone, 0, worth(rest)
-    while not rest.isEmpty():
+        rest = cut(rest.join(totals, "leaf"))
+        if rest.isEmpty():
+            return done
         rounds += 1
         votes = cut(
             rest.select("leaf", "total", "weight", F.posexplode("words").alias("place", "word"))
@@ -212,7 +207,7 @@ def _several_templates(
         equal = F.transform("words", lambda word, at: F.when(word == F.col("shape")[at], 1).otherwise(0))
         same = F.aggregate(equal, F.lit(0), lambda x, y: x + y)
         fits = F.coalesce(same >= similarity * F.size("words"), F.lit(False))
-        judged = rest.join(shapes, "leaf", "left").withColumn("fits", fits).drop("shape")
+        judged = cut(rest.join(shapes, "leaf", "left").withColumn("fits", fits).drop("shape"))
         peeled = judged.where("fits").groupBy("leaf").agg(F.sum("weight").alias("fitting"))
         peeled = peeled.where(F.col("fitting") >= min_documents).select("leaf", F.lit(True).alias("peeled"))
         judged = cut(judged.join(peeled, "leaf", "left"))
@@ -233,8 +228,7 @@ def _several_templates(
         moved = judged.where("peeled IS NULL").join(by, ["leaf", *_LINE]).select(
             F.xxhash64("leaf", "by.place", "by.word").alias("leaf"), *_LINE, "weight", "words"
         )
-        rest = worth(again.unionByName(moved))
-    return done
+        rest = cut(again.unionByName(moved))
 
 
 def recurring_lines(
