@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td
 _ENDS |= {"tbody": {"tbody", "thead"}, "tfoot": {"tbody", "thead"}}
 _LIMITS = frozenset("ul ol dl table html body article section div".split())
 _NAMES = regex.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+")
+_OPENED = regex.compile(r"<!--[^>]*>")
 _HIDDEN = regex.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", regex.I)
 LEAF = "#text"
 # Exponents of potentials. Leaves of one element resemble each other, so each counts less
@@ -100,7 +102,7 @@ class _Builder(HTMLParser):
             )
         if tag in BLOCKS and not unseen:
             words = " ".join(values.get(a) or "" for a in ("class", "id", "role", "itemprop"))
-            names = [n.lower() for n in _NAMES.findall(words)][:12]
+            names = [n.lower() for n in _NAMES.findall(words)]
             self.nodes.append(Node(tag, node, names))
             node = len(self.nodes) - 1
         if tag == "a":
@@ -137,10 +139,28 @@ class _Builder(HTMLParser):
             self.leaf.linked += len(data)
 
 
+def _closing(html: str) -> tuple[str, str]:
+    """A page as far as tags can end, and the text behind.
+
+    Where nothing closes a comment any more, its opening is text up to the next ``>``. Told in
+    advance, the parser does not look through the rest of the page for every such opening.
+    """
+    end = html.rfind(">") + 1
+    closed, rest = html[:end], html[end:]
+    last = closed.rfind("-->")
+    begin = last + 3 if last >= 0 else 0
+    # Every opening has a ">" behind it here, so each part is looked at once.
+    closed = closed[:begin] + _OPENED.sub(lambda m: m[0].replace("<", "&lt;"), closed[begin:])
+    return closed, rest
+
+
 def parse(html: str) -> list[Node]:
     builder = _Builder()
-    builder.feed(html)
+    closed, rest = _closing(html)
+    builder.feed(closed)
     builder.close()
+    if rest:
+        builder.handle_data(rest if builder.cdata_elem else unescape(rest))
     nodes = builder.nodes
     for node in nodes:
         if node.tag == LEAF:
