@@ -1,13 +1,18 @@
 """Recurring lines, found by a fixed-depth tree of line templates.
 
 DataFrame functions only. A line is reduced to words; words with a digit become ``<*>``. The
-tree has a level for the number of words and one for each of the leading DEPTH words. In a leaf
-the heaviest word of each position is constant if it has half of the leaf's weight, else the
-position is a variable field: that is the leaf's template.
+tree has a level for the number of words and one for each of the leading DEPTH words. Three
+templates of a leaf can take a line: the line itself; the leaf's majority, whose constants are
+the words with half of the leaf's weight at their place; and the line's own mask, in which
+words that few lines of the leaf have at that place are variable fields. So a leaf has as many
+templates as its lines have masks, and all are found in one pass.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,29 +20,30 @@ from .components import connected_components, cut
 
 DEPTH = 3
 MIN_WORDS = 3
+# Texts in which lines of one template, and equal lines, must stand to recur.
 MIN_DOCUMENTS = 3
-# Share of a line's words that must equal constants of its leaf's template.
+MIN_EQUAL = 2
+# Share of a line's words that must be constants of its template.
 SIMILARITY = 0.7
-# A document whose recurring lines make up this share of its characters is a copy of
-# others, not a text with boilerplate: it is left to the deduplication of documents.
+# Texts that share this part of their lines' characters are copies and count as one.
 COPY_SHARE = 0.8
 
-# Options under which nothing that recurs is kept: equal texts are one document, lines and
-# templates count over texts that are no copies of each other, no document is left whole.
-WHOLE = {"key": None, "copies": "one", "least_exact": 2, "several": True, "copy_share": None}
-
 _SPACE = r" \t\x0B\f\r"
 FIELD = "<*>"
 
-
 # Mixed leaves that are copied to every executor at most: 16 bytes each.
 _COPIED_LEAVES = 1_000_000
+_LINE = ["line", "line_twin"]
 
 
-def _row_hashes(key: str | None, text: str) -> list[Column]:
-    """Two hashes that stand for a row: rows that agree in key and text are one document."""
-    columns = [F.col(c) for c in (key, text) if c]
-    return [F.xxhash64(*columns).alias("_row"), F.xxhash64(F.lit(1), *columns).alias("_twin")]
+def _text_number(value: Column, start: int) -> Column:
+    """60 bits of a text's MD5, as a whole number that SQL can give as well."""
+    return F.conv(F.substring(F.md5(value), start, 15), 16, 10).cast("bigint")
+
+
+def _row_numbers(text: str) -> list[Column]:
+    """Two numbers that stand for a text: rows with equal texts are one document."""
+    return [_text_number(F.col(text), 1).alias("_row"), _text_number(F.col(text), 16).alias("_twin")]
 
 
 def _folded(text: Column) -> Column:
@@ -67,244 +73,170 @@ def _leaf(line: Column) -> Column:
     return F.xxhash64(_words(line), F.substring_index(line, " ", DEPTH))
 
 
-_LINE = ["line", "line_twin"]
+def _written(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder as packed columns."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="moorage-")
+    path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _line_hashes(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("line"), F.xxhash64(F.lit(1), line).alias("line_twin")]
-
-
-def _lines(documents: DataFrame, key: str | None, text: str, min_words: int) -> DataFrame:
-    """A row of hashes and numbers for every line that counts; no text is shuffled."""
-    value = F.coalesce(F.col(text), F.lit(""))
+def _lines(documents: DataFrame, text: str, min_words: int) -> DataFrame:
+    """A row for every line that counts; each text is folded here, once."""
+    value = F.col(text)
     sizes = F.transform(F.split(value, "\n"), lambda line: F.length(line))
     total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    parsed = documents.select(*_row_hashes(key, text), total.alias("total"), sizes.alias("_sizes"), _folded(value).alias("_folded"))
-    line = F.col("both._folded")
+    parsed = documents.where(value.isNotNull()).select(
+        *_row_numbers(text), total.alias("total"), F.arrays_zip(_folded(value).alias("folded"), sizes.alias("size")).alias("_zip")
+    )
+    folded = F.col("both.folded")
     return (
-        parsed.select("_row", "_twin", "total", F.posexplode(F.arrays_zip("_folded", "_sizes")).alias("place", "both"))
-        .where(_long_enough(line, min_words))
+        parsed.select("_row", "_twin", "total", F.posexplode("_zip").alias("place", "both"))
+        .where(_long_enough(folded, min_words))
         .select(
-            "_row", "_twin", "total", "place", F.col("both._sizes").alias("size"),
-            _leaf(line).alias("leaf"), *_line_hashes(line),
+            "_row", "_twin", "total", "place", F.col("both.size").alias("size"), _leaf(folded).alias("leaf"),
+            F.xxhash64(folded).alias("line"), F.xxhash64(F.lit(1), folded).alias("line_twin"), folded.alias("folded"),
         )
     )
 
 
-def _mixed_texts(documents: DataFrame, text: str, leaves: DataFrame, min_words: int) -> DataFrame:
-    """(leaf, total, line, line_twin, folded): texts of lines in leaves of several kinds of line."""
-    folded = F.explode(F.array_distinct(_folded(F.coalesce(F.col(text), F.lit("")))))
-    rows = documents.select(folded.alias("folded")).where(_long_enough(F.col("folded"), min_words))
-    rows = rows.select(_leaf(F.col("folded")).alias("leaf"), *_line_hashes(F.col("folded")), "folded")
-    if leaves.count() <= _COPIED_LEAVES:
-        leaves = F.broadcast(leaves)
-    return rows.join(leaves, "leaf").groupBy("leaf", "total", *_LINE).agg(F.min("folded").alias("folded"))
-
-
-def _templates(
-    documents: DataFrame, lines: DataFrame, text: str, min_words: int, min_documents: int, similarity: float
-) -> DataFrame:
-    """(line, line_twin, template): lines that belong to a template that may recur."""
-    counted = cut(
-        lines.select("_row", "_twin", "leaf", *_LINE)
-        .distinct()
-        .groupBy("leaf", *_LINE)
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
-    alone = counted.where(F.col("weight") >= min_documents).select(*_LINE, F.xxhash64(*_LINE).alias("template"))
-    mixed = cut(
-        _mixed_texts(documents, text, leaves, min_words).join(counted.drop("leaf"), _LINE)
-    )
-    votes = (
-        mixed.select("leaf", "total", "weight", F.posexplode(F.split("folded", " ")).alias("place", "word"))
-        .groupBy("leaf", "total", "place", "word")
-        .agg(F.sum("weight").alias("weight"))
-        .groupBy("leaf", "total", "place")
-        .agg(F.max("weight").alias("weight"), F.min_by("word", F.struct(-F.col("weight"), "word")).alias("word"))
-    )
-    constant = F.when(F.col("weight") * 2 >= F.col("total"), F.col("word"))
-    shapes = cut(
-        votes.groupBy("leaf")
-        .agg(F.array_sort(F.collect_list(F.struct("place", constant.alias("word")))).alias("shape"))
-        .select("leaf", F.transform("shape", lambda field: field["word"]).alias("shape"))
-    )
-    equal = F.zip_with(
-        F.split("folded", " "), "shape", lambda word, field: F.when(word == field, 1).otherwise(0)
-    )
-    same = F.aggregate(equal, F.lit(0), lambda a, b: a + b)
-    fitting = (
-        mixed.join(shapes, "leaf")
-        .where(same >= similarity * F.size("shape"))
-        .select(*_LINE, F.col("leaf").alias("template"))
-    )
-    # A line that fits its leaf's template counts with it, any other for itself.
-    rest = alone.join(fitting.select(*_LINE), _LINE, "left_anti")
-    return fitting.unionByName(rest)
-
+def _origins(met: DataFrame, copy_share: float) -> DataFrame:
+    """(_row, _origin) of the texts that are copies of others: one number for texts that share
+    ``copy_share`` of their lines' characters.
 
-def _origins(lines: DataFrame) -> DataFrame:
-    """The lines with _origin: one number for documents that share 80 % of their lines' characters.
-
-    Each document is compared with the least document of every line it has, by the sizes of
-    the lines that both have, as a share of what either has.
+    Each text is compared with the least text of every line it has, by the sizes of the
+    lines that both have, as a share of what either has.
     """
-    held = cut(lines.groupBy("_row", *_LINE).agg(F.min("size").alias("size"), F.min("total").alias("total")))
-    least = cut(held.groupBy(*_LINE).agg(F.min(F.struct("_row", "total")).alias("least")))
     shared = (
-        held.join(least, _LINE)
-        .where(F.col("_row") != F.col("least._row"))
+        met.where(F.col("_row") != F.col("least._row"))
         .groupBy("_row", "total", "least")
         .agg(F.sum("size").alias("both"))
     )
     either = F.col("total") + F.col("least.total") - F.col("both")
-    links = shared.where(F.col("both") >= COPY_SHARE * either)
-    roots = cut(connected_components(links.select(F.col("_row").alias("a"), F.col("least._row").alias("b"))))
-    joined = lines.join(roots.withColumnRenamed("node", "_row"), "_row", "left")
-    return joined.withColumn("_origin", F.coalesce("root", "_row")).drop("root")
-
-
-def _several_templates(
-    documents: DataFrame, lines: DataFrame, text: str, min_words: int, min_documents: int, least_exact: int,
-    similarity: float,
-) -> DataFrame:
-    """(line, line_twin, template, least): lines of all templates of a leaf, and recurring lines.
-
-    Lines that fit the majority of their group are taken out and the rest votes again. A group
-    without such lines is split: every line goes by the heaviest of its words that not all have.
-    """
-    counted = cut(
-        lines.select("_origin", "leaf", *_LINE).distinct().groupBy("leaf", *_LINE).agg(F.count(F.lit(1)).alias("weight"))
+    links = shared.where(F.col("both") >= copy_share * either)
+    roots = connected_components(links.select(F.col("_row").alias("a"), F.col("least._row").alias("b")))
+    return cut(roots.select(F.col("node").alias("_row"), F.col("root").alias("_origin")))
+
+
+def _fitting(mixed: DataFrame, min_documents: int, similarity: float) -> DataFrame:
+    """(line, line_twin, template): what the lines of leaves with several lines belong to."""
+    words = mixed.select("leaf", "total", "weight", *_LINE, F.posexplode(F.split("folded", " ")).alias("place", "word"))
+    votes = cut(
+        words.groupBy("leaf", "total", "place", "word")
+        .agg(F.sum("weight").alias("votes"))
+        .where(F.col("votes") >= F.least(F.lit(min_documents), F.ceil(F.col("total") / 2)))
     )
-    alone = counted.where(F.col("weight") >= least_exact).select(
-        *_LINE, F.xxhash64(*_LINE).alias("template"), F.lit(least_exact).alias("least")
+    best = votes.groupBy("leaf", "total", "place").agg(
+        F.min_by("word", F.struct(-F.col("votes"), "word")).alias("word"), F.max("votes").alias("votes")
     )
-    leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
-    texts = _mixed_texts(documents, text, leaves, min_words).drop("total").join(counted.drop("leaf"), _LINE)
-    rest = cut(texts.withColumn("words", F.split("folded", " ")).select("leaf", *_LINE, "weight", "words"))
-    done, rounds = alone, 0
-    while True:
-        totals = rest.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        totals = totals.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total")
-        rest = cut(rest.join(totals, "leaf"))
-        if rest.isEmpty():
-            return done
-        rounds += 1
-        votes = cut(
-            rest.select("leaf", "total", "weight", F.posexplode("words").alias("place", "word"))
-            .groupBy("leaf", "total", "place", "word")
-            .agg(F.sum("weight").alias("votes"))
-        )
-        shapes = (
-            votes.where(F.col("votes") * 2 >= F.col("total"))
-            .groupBy("leaf", "place")
-            .agg(F.min_by("word", F.struct(-F.col("votes"), "word")).alias("word"))
-            .groupBy("leaf")
-            .agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("shape"))
+    majority = best.where(F.col("votes") * 2 >= F.col("total")).select("leaf", "place", "word", F.lit(True).alias("major"))
+    known = cut(
+        votes.join(majority, ["leaf", "place", "word"], "left").select(
+            "leaf", "place", "word", (F.col("votes") >= min_documents).alias("often"), F.coalesce("major", F.lit(False)).alias("major")
         )
-        equal = F.transform("words", lambda word, at: F.when(word == F.col("shape")[at], 1).otherwise(0))
-        same = F.aggregate(equal, F.lit(0), lambda x, y: x + y)
-        fits = F.coalesce(same >= similarity * F.size("words"), F.lit(False))
-        judged = cut(rest.join(shapes, "leaf", "left").withColumn("fits", fits).drop("shape"))
-        peeled = judged.where("fits").groupBy("leaf").agg(F.sum("weight").alias("fitting"))
-        peeled = peeled.where(F.col("fitting") >= min_documents).select("leaf", F.lit(True).alias("peeled"))
-        judged = cut(judged.join(peeled, "leaf", "left"))
-        done = done.unionByName(
-            judged.where("fits AND peeled").select(
-                *_LINE, F.xxhash64("leaf", F.lit(rounds)).alias("template"), F.lit(min_documents).alias("least")
-            )
-        )
-        again = judged.where("peeled AND NOT fits").select("leaf", *_LINE, "weight", "words")
-        split = judged.where("peeled IS NULL").select("leaf", *_LINE, "weight", "words", F.posexplode("words").alias("place", "word"))
-        useful = votes.where((F.col("votes") >= min_documents) & (F.col("votes") < F.col("total")))
-        by = (
-            split.select("leaf", *_LINE, "place", "word")
-            .join(useful.drop("total"), ["leaf", "place", "word"])
-            .groupBy("leaf", *_LINE)
-            .agg(F.max(F.struct("votes", "place", "word")).alias("by"))
-        )
-        moved = judged.where("peeled IS NULL").join(by, ["leaf", *_LINE]).select(
-            F.xxhash64("leaf", "by.place", "by.word").alias("leaf"), *_LINE, "weight", "words"
+    )
+    # The places and words of a mask as two sums of hashes: no list of words is gathered.
+    part = [F.when(F.col("often"), F.xxhash64(F.lit(seed), "place", "word") % (1 << 40)) for seed in (0, 1)]
+    judged = cut(
+        cut(words.select("leaf", *_LINE, "place", "word"))
+        .join(known, ["leaf", "place", "word"])
+        .groupBy("leaf", *_LINE)
+        .agg(
+            F.count_if("often").alias("often"),
+            F.count_if("major").alias("major"),
+            *[F.sum(p).alias(name) for p, name in zip(part, ("mask", "mask_twin"))],
         )
-        rest = cut(again.unionByName(moved))
+        .join(mixed.select(*_LINE, F.size(F.split("folded", " ")).alias("n")), _LINE)
+    )
+    of_leaf = judged.where(F.col("major") >= similarity * F.col("n")).select(*_LINE, F.xxhash64("leaf").alias("template"))
+    of_mask = judged.where(F.col("often") >= similarity * F.col("n")).select(
+        *_LINE, F.xxhash64("leaf", "mask", "mask_twin").alias("template")
+    )
+    return of_leaf.unionByName(of_mask)
 
 
 def recurring_lines(
     documents: DataFrame,
-    key: str | None = "doc_id",
     text: str = "text",
     min_words: int = MIN_WORDS,
     min_documents: int = MIN_DOCUMENTS,
+    min_equal: int = MIN_EQUAL,
     similarity: float = SIMILARITY,
-    copy_share: float | None = COPY_SHARE,
-    copies: str = "each",
-    least_exact: int | None = None,
-    several: bool = False,
+    copy_share: float = COPY_SHARE,
 ) -> DataFrame:
-    """(_row, _twin, dropped): the numbers, from 0, of the lines that each document loses.
+    """(_row, _twin, dropped): the numbers, from 0, of the lines that each text loses.
 
-    A template recurs if lines of at least ``min_documents`` different documents belong to
-    it, an equal line by ``least_exact`` documents if ``several`` templates to a leaf are
-    looked for. Lines with fewer than ``min_words`` words never count. Without a ``key``
-    equal texts are one document; ``copies="one"`` also counts documents as one that share
-    80 % of their lines. ``copy_share=None`` leaves no document whole.
+    A template recurs if lines of at least ``min_documents`` texts belong to it, an equal line
+    if it stands in ``min_equal`` texts. Equal texts count as one, and so do texts that share
+    ``copy_share`` of their lines. Lines with fewer than ``min_words`` words never count.
     """
-    lines = cut(_lines(documents, key, text, min_words))
-    lines = cut(_origins(lines)) if copies == "one" else lines.withColumn("_origin", F.xxhash64("_row", "_twin"))
-    if several:
-        templates = _several_templates(
-            documents, lines, text, min_words, min_documents, least_exact or min_documents, similarity
+    lines = _written(_lines(documents, text, min_words))
+    firsts = _written(
+        lines.groupBy("_row", *_LINE).agg(F.min("size").alias("size"), F.min("total").alias("total"), F.min("leaf").alias("leaf"))
+    )
+    kinds = _written(
+        firsts.groupBy(*_LINE).agg(
+            F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("texts"), F.min(F.struct("_row", "total")).alias("least")
         )
-    else:
-        templates = _templates(documents, lines, text, min_words, min_documents, similarity)
-        templates = templates.withColumn("least", F.lit(min_documents))
-    found = cut(
-        lines.select("_row", "_twin", "_origin", "total", "place", "size", *_LINE)
-        .join(cut(templates), _LINE)
-        .select("_row", "_twin", "_origin", "total", "place", "size", "template", "least")
     )
-    spread = found.select("_origin", "template", "least").distinct().groupBy("template", "least").count()
-    recurring = cut(spread.where(F.col("count") >= F.col("least")).select("template"))
-    lost = (
-        found.join(recurring, "template")
-        .groupBy("_row", "_twin", "total", "place")
-        .agg(F.first("size").alias("size"))
-        .groupBy("_row", "_twin", "total")
-        .agg(F.collect_list("place").alias("dropped"), F.sum("size").alias("lost"))
+    several = kinds.where(F.col("texts") > 1).select(*_LINE, "least")
+    met = _written(firsts.drop("leaf").join(several, _LINE))
+    roots = _origins(met, copy_share)
+
+    def by_origin(rows: DataFrame) -> DataFrame:
+        joined = rows.join(roots, "_row", "left")
+        return joined.withColumn("_origin", F.coalesce("_origin", "_row"))
+
+    weights = by_origin(met.select("_row", *_LINE)).select("_origin", *_LINE).distinct()
+    weights = weights.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("weight"))
+    counted = _written(
+        kinds.select("leaf", *_LINE).join(weights, _LINE, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     )
-    if copy_share is not None:
-        lost = lost.where(F.col("lost") < copy_share * F.col("total"))
-    return lost.select("_row", "_twin", "dropped")
-
-
-def drop_recurring_lines(documents: DataFrame, key: str | None = "doc_id", text: str = "text", **options) -> DataFrame:
+    leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
+    if leaves.count() <= _COPIED_LEAVES:
+        leaves = F.broadcast(leaves)
+    texts = lines.select("leaf", *_LINE, "folded").join(leaves, "leaf").groupBy("leaf", "total", *_LINE).agg(F.min("folded").alias("folded"))
+    mixed = _written(texts.join(counted.drop("leaf"), _LINE))
+    fitting = cut(_fitting(mixed, min_documents, similarity))
+    spread = by_origin(firsts.select("_row", *_LINE).join(fitting, _LINE)).select("_origin", "template").distinct()
+    spread = spread.groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
+    by_template = fitting.join(spread.where(F.col("texts") >= min_documents), "template").select(*_LINE)
+    recurring = cut(counted.where(F.col("weight") >= min_equal).select(*_LINE).unionByName(by_template).distinct())
+    found = lines.select("_row", "_twin", "place", *_LINE).join(recurring, _LINE)
+    return found.groupBy("_row", "_twin").agg(F.collect_set("place").alias("dropped"))
+
+
+def drop_recurring_lines(documents: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, all columns, with ``text`` less its recurring lines, and n_lines, n_dropped.
 
-    Kept lines stay as they are and in order. Documents that are copies of others nearly as a
-    whole (see COPY_SHARE) stay whole, but not with the options WHOLE. NULL texts stay NULL and have no line, an empty text
-    has one empty line. Rows that agree in key and text count as one document and are all
-    treated alike. Every column but ``text`` is untouched, but columns that are already
-    called n_lines or n_dropped are replaced.
+    Kept lines stay as they are and in order. NULL texts stay NULL and have no line, an empty
+    text has one empty line. Rows with equal texts count as one document and are all treated
+    alike, so copies alone lose nothing. Every column but ``text`` is untouched, but columns that
+    are already called n_lines or n_dropped are replaced; helper columns take free names.
     """
-    lost = recurring_lines(documents, key, text, **options).select(
-        F.col("_row").alias("__row"), F.col("_twin").alias("__twin"), F.col("dropped").alias("__dropped")
-    )
-    columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    marked = documents.select(
-        *[F.col(c) for c in columns],
-        *[c.alias(f"_{name}") for c, name in zip(_row_hashes(key, text), ("_row", "_twin"))],
-    )
+    taken = {c.lower() for c in documents.columns}
+    free = "_"
+    while any(c.startswith(free) for c in taken):
+        free += "_"
+    row, twin, dropped = (f"{free}{name}" for name in ("row", "twin", "dropped"))
+    lost = recurring_lines(documents, text, **options).toDF(row, twin, dropped)
+    columns = [c for c in documents.columns if c.lower() not in ("n_lines", "n_dropped")]
+    numbers = [c.alias(name) for c, name in zip(_row_numbers(text), (row, twin))]
+    marked = documents.select(*[F.col(f"`{c}`") for c in columns], *numbers)
     lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
     cleaned = F.array_join(F.transform(kept, lambda place: F.get(lines, place)), "\n")
-    changed = F.col("__dropped").isNotNull()
-    return marked.join(lost, ["__row", "__twin"], "left").select(
+    changed = F.col(dropped).isNotNull()
+    return marked.join(lost, [row, twin], "left").select(
         *[
-            F.when(changed, cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(c)
+            F.when(changed, cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`")
             for c in columns
         ],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(changed, F.size("__dropped")).otherwise(0).alias("n_dropped"),
+        F.when(changed, F.size(dropped)).otherwise(0).alias("n_dropped"),
     )

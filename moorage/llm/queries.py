@@ -170,70 +170,76 @@ _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verd
 
 # Fixed values of the line tree, as in the operator.
 _FOLDED_LINES = r"""
+    texts AS (
+        SELECT text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS id
+        FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
     folded AS (
-        SELECT doc_id, text, d.line AS place, d.value AS whole,
+        SELECT id, d.line AS place, d.value AS whole,
                trim(regexp_replace(regexp_replace(d.value, '(^|[ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*',
                                                   '\1<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS line
-        FROM (SELECT doc_id, text, unnest(list_zip(range(len(string_split(text, chr(10)))),
-                                                   string_split(text, chr(10)))) AS z
-              FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)) AS t,
+        FROM (SELECT id, unnest(list_zip(range(len(string_split(text, chr(10)))),
+                                         string_split(text, chr(10)))) AS z FROM texts) AS t,
              LATERAL (SELECT z[1] AS line, z[2] AS value) AS d)
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": f"""
-        WITH {_FOLDED_LINES},
+        WITH RECURSIVE {_FOLDED_LINES},
+        sizes AS (SELECT id, sum(length(whole)) AS total FROM folded GROUP BY id),
         lines AS (
             SELECT *, len(string_split(line, ' ')) AS n,
                    array_to_string(string_split(line, ' ')[1:{linededup.DEPTH}], ' ') AS lead
             FROM folded WHERE line <> '' AND len(string_split(line, ' ')) >= {linededup.MIN_WORDS}),
+        firsts AS (SELECT id, n, lead, line, min(length(whole)) AS size FROM lines GROUP BY id, n, lead, line),
+        least AS (SELECT line, min(id) AS first FROM firsts GROUP BY line),
+        shared AS (
+            SELECT id, first, sum(size) AS common FROM firsts JOIN least USING (line)
+            WHERE id <> first GROUP BY id, first),
+        links AS (
+            SELECT s.id AS a, s.first AS b FROM shared s
+            JOIN sizes x ON x.id = s.id JOIN sizes y ON y.id = s.first
+            WHERE common >= {linededup.COPY_SHARE}::DOUBLE * (x.total + y.total - common)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+        roots AS (SELECT a AS id, least(a, min(b)) AS origin FROM reach GROUP BY a),
+        origins AS (SELECT id, coalesce(origin, id) AS origin FROM texts LEFT JOIN roots USING (id)),
         counted AS (
-            SELECT n, lead, line, count(*) AS weight
-            FROM (SELECT DISTINCT doc_id, text, n, lead, line FROM lines) GROUP BY n, lead, line),
+            SELECT n, lead, line, count(DISTINCT origin) AS weight
+            FROM firsts JOIN origins USING (id) GROUP BY n, lead, line),
         leaves AS (
-            SELECT n, lead, sum(weight) AS total, count(*) AS kinds FROM counted GROUP BY n, lead
-            HAVING sum(weight) >= {linededup.MIN_DOCUMENTS}),
-        mixed AS (
-            SELECT c.n, c.lead, c.line, c.weight, l.total
-            FROM counted c JOIN leaves l ON c.n = l.n AND c.lead = l.lead WHERE l.kinds > 1),
+            SELECT n, lead, sum(weight) AS total FROM counted GROUP BY n, lead
+            HAVING sum(weight) >= {linededup.MIN_DOCUMENTS} AND count(*) > 1),
         words AS (
             SELECT n, lead, total, weight, line, unnest(range(n)) AS place, unnest(string_split(line, ' ')) AS word
-            FROM mixed),
+            FROM counted JOIN leaves USING (n, lead)),
         votes AS (
             SELECT n, lead, total, place, word, sum(weight) AS weight FROM words GROUP BY n, lead, total, place, word),
         shape AS (
             SELECT n, lead, place, word FROM votes WHERE weight * 2 >= total
             QUALIFY row_number() OVER (PARTITION BY n, lead, place ORDER BY weight DESC, word) = 1),
+        often AS (SELECT n, lead, place, word FROM votes WHERE weight >= {linededup.MIN_DOCUMENTS}),
         fitting AS (
-            SELECT w.n, w.lead, w.line FROM words w JOIN shape s
-              ON w.n = s.n AND w.lead = s.lead AND w.place = s.place AND w.word = s.word
-            GROUP BY w.n, w.lead, w.line HAVING count(*) >= {linededup.SIMILARITY} * w.n),
-        templates AS (
-            SELECT n, lead, line, '' AS own FROM fitting
+            SELECT n, lead, line, 'majority' AS template FROM words JOIN shape USING (n, lead, place, word)
+            GROUP BY n, lead, line HAVING count(*) >= {linededup.SIMILARITY}::DOUBLE * n
             UNION ALL
-            SELECT n, lead, line, line AS own FROM counted c WHERE weight >= {linededup.MIN_DOCUMENTS}
-              AND NOT EXISTS (FROM fitting f WHERE f.n = c.n AND f.lead = c.lead AND f.line = c.line)),
-        found AS (
-            SELECT doc_id, text, place, length(whole) AS size, n, lead, own
-            FROM lines JOIN templates USING (n, lead, line)),
+            SELECT n, lead, line, 'mask ' || string_agg(place || ' ' || word, ' ' ORDER BY place) AS template
+            FROM words JOIN often USING (n, lead, place, word)
+            GROUP BY n, lead, line HAVING count(*) >= {linededup.SIMILARITY}::DOUBLE * n),
+        spread AS (
+            SELECT n, lead, template FROM fitting JOIN firsts USING (n, lead, line) JOIN origins USING (id)
+            GROUP BY n, lead, template HAVING count(DISTINCT origin) >= {linededup.MIN_DOCUMENTS}),
         recurring AS (
-            SELECT n, lead, own FROM (SELECT DISTINCT doc_id, text, n, lead, own FROM found)
-            GROUP BY n, lead, own HAVING count(*) >= {linededup.MIN_DOCUMENTS}),
-        lost AS (SELECT doc_id, text, place, size FROM found JOIN recurring USING (n, lead, own)),
-        sizes AS (SELECT doc_id, text, sum(length(whole)) AS total FROM folded GROUP BY doc_id, text),
-        cleaned AS (
-            SELECT doc_id, text FROM lost JOIN sizes USING (doc_id, text)
-            GROUP BY doc_id, text HAVING sum(size) < {linededup.COPY_SHARE} * any_value(total)),
+            SELECT line FROM counted WHERE weight >= {linededup.MIN_EQUAL}
+            UNION
+            SELECT line FROM fitting JOIN spread USING (n, lead, template)),
+        lost AS (SELECT id, place FROM lines JOIN recurring USING (line)),
         kept AS (
-            SELECT f.doc_id, f.text, count(*) AS n_lines, count(l.place) AS n_dropped,
+            SELECT f.id, count(*) AS n_lines, count(l.place) AS n_dropped,
                    string_agg(f.whole, chr(10) ORDER BY f.place) FILTER (WHERE l.place IS NULL) AS kept_text
-            FROM folded f
-            LEFT JOIN (SELECT lost.* FROM lost JOIN cleaned USING (doc_id, text)) l
-              ON f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.text = l.text AND f.place = l.place
-            GROUP BY f.doc_id, f.text)
+            FROM folded f LEFT JOIN lost l ON f.id = l.id AND f.place = l.place GROUP BY f.id)
         SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_dropped, 0)::INTEGER AS n_dropped,
                sha256(coalesce(kept_text, '')) AS kept_sha256
-        FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text
+        FROM documents d LEFT JOIN texts USING (text) LEFT JOIN kept USING (id)
     """,
     "op5_url_filter": f"""
         WITH rests AS (

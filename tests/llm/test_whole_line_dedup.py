@@ -17,7 +17,7 @@ def prose(n=30):
 
 def found(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    return {r.doc_id: r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).collect()}
+    return {r.doc_id: r.text for r in linededup.drop_recurring_lines(df).collect()}
 
 
 def test_several_templates_of_a_leaf(spark):
