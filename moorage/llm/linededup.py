@@ -81,7 +81,7 @@ def _written(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="moorage-")
     path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +95,8 @@ def _lines(documents: DataFrame, text: str, min_words: int) -> DataFrame:
     )
     folded = F.col("both.folded")
     return (
-        parsed.select("_row", "_twin", "total", F.posexplode("_zip").alias("place", "both"))
+        # Not posexplode: for that Spark puts a filter on the array's size below, which folds once more.
+        parsed.select("_row", "_twin", "total", F.posexplode_outer("_zip").alias("place", "both"))
         .where(_long_enough(folded, min_words))
         .select(
             "_row", "_twin", "total", "place", F.col("both.size").alias("size"), _leaf(folded).alias("leaf"),
@@ -124,7 +125,7 @@ def _origins(met: DataFrame, copy_share: float) -> DataFrame:
 
 def _fitting(mixed: DataFrame, min_documents: int, similarity: float) -> DataFrame:
     """(line, line_twin, template): what the lines of leaves with several lines belong to."""
-    words = mixed.select("leaf", "total", "weight", *_LINE, F.posexplode(F.split("folded", " ")).alias("place", "word"))
+    words = mixed.select("leaf", "total", "weight", *_LINE, F.posexplode_outer(F.split("folded", " ")).alias("place", "word"))
     votes = cut(
         words.groupBy("leaf", "total", "place", "word")
         .agg(F.sum("weight").alias("votes"))
@@ -142,7 +143,7 @@ def _fitting(mixed: DataFrame, min_documents: int, similarity: float) -> DataFra
     # The places and words of a mask as two sums of hashes: no list of words is gathered.
     part = [F.when(F.col("often"), F.xxhash64(F.lit(seed), "place", "word") % (1 << 40)) for seed in (0, 1)]
     judged = cut(
-        cut(words.select("leaf", *_LINE, "place", "word"))
+        words.select("leaf", *_LINE, "place", "word")
         .join(known, ["leaf", "place", "word"])
         .groupBy("leaf", *_LINE)
         .agg(
@@ -181,32 +182,33 @@ def recurring_lines(
     kinds = _written(
         firsts.groupBy(*_LINE).agg(
             F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("texts"), F.min(F.struct("_row", "total")).alias("least")
-        )
+        ).withColumn("least", F.when(F.col("texts") > 1, F.col("least")))
     )
     several = kinds.where(F.col("texts") > 1).select(*_LINE, "least")
-    met = _written(firsts.drop("leaf").join(several, _LINE))
+    met = _written(firsts.join(several, _LINE))
     roots = _origins(met, copy_share)
 
     def by_origin(rows: DataFrame) -> DataFrame:
         joined = rows.join(roots, "_row", "left")
         return joined.withColumn("_origin", F.coalesce("_origin", "_row"))
 
-    weights = by_origin(met.select("_row", *_LINE)).select("_origin", *_LINE).distinct()
-    weights = weights.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("weight"))
-    counted = _written(
-        kinds.select("leaf", *_LINE).join(weights, _LINE, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    )
-    leaves = counted.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    # A line of one text weighs one: only the others are looked up.
+    weights = by_origin(met.select("_row", *_LINE, "leaf")).select("_origin", *_LINE, "leaf").distinct()
+    weights = cut(weights.groupBy("leaf", *_LINE).agg(F.count(F.lit(1)).alias("weight")))
+    added = weights.select("leaf", (F.col("weight") - 1).alias("weight"), F.lit(0).alias("kinds"))
+    leaves = kinds.select("leaf", F.lit(1).alias("weight"), F.lit(1).alias("kinds")).unionByName(added)
+    leaves = leaves.groupBy("leaf").agg(F.sum("weight").alias("total"), F.sum("kinds").alias("kinds"))
     leaves = cut(leaves.where((F.col("total") >= min_documents) & (F.col("kinds") > 1)).select("leaf", "total"))
     if leaves.count() <= _COPIED_LEAVES:
         leaves = F.broadcast(leaves)
     texts = lines.select("leaf", *_LINE, "folded").join(leaves, "leaf").groupBy("leaf", "total", *_LINE).agg(F.min("folded").alias("folded"))
-    mixed = _written(texts.join(counted.drop("leaf"), _LINE))
+    weighed = texts.join(weights.drop("leaf"), _LINE, "left")
+    mixed = _written(weighed.withColumn("weight", F.coalesce("weight", F.lit(1))))
     fitting = cut(_fitting(mixed, min_documents, similarity))
     spread = by_origin(firsts.select("_row", *_LINE).join(fitting, _LINE)).select("_origin", "template").distinct()
     spread = spread.groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
     by_template = fitting.join(spread.where(F.col("texts") >= min_documents), "template").select(*_LINE)
-    recurring = cut(counted.where(F.col("weight") >= min_equal).select(*_LINE).unionByName(by_template).distinct())
+    recurring = cut(weights.where(F.col("weight") >= min_equal).select(*_LINE).unionByName(by_template).distinct())
     found = lines.select("_row", "_twin", "place", *_LINE).join(recurring, _LINE)
     return found.groupBy("_row", "_twin").agg(F.collect_set("place").alias("dropped"))
 
