@@ -231,8 +231,13 @@ def drop_recurring_lines(documents: DataFrame, text: str = "text", **options) ->
     numbers = [c.alias(name) for c, name in zip(_row_numbers(text), (row, twin))]
     marked = documents.select(*[F.col(f"`{c}`") for c in columns], *numbers)
     lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
-    cleaned = F.array_join(F.transform(kept, lambda place: F.get(lines, place)), "\n")
+    # A text is split once and its lines pass once: a 1 stands for each line that goes.
+    places = F.array_sort(dropped)
+    before = F.concat(F.array(F.lit(-1)), places)
+    marks = F.zip_with(places, before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1")))
+    marks = F.split(F.array_join(marks, ""), "")
+    kept = F.zip_with(lines, marks, lambda line, mark: F.when(mark == "1", F.lit(None)).otherwise(line))
+    cleaned = F.array_join(kept, "\n")
     changed = F.col(dropped).isNotNull()
     return marked.join(lost, [row, twin], "left").select(
         *[

@@ -50,3 +50,11 @@ def test_a_passage_in_two_texts_recurs(spark):
     passage, a, b, c = prose(60), prose(), prose(), prose()
     rows = [(1, f"{passage}\n{a}"), (2, f"{b}\n{passage}"), (3, c), (4, c)]
     assert found(spark, rows) == {1: a, 2: b, 3: c, 4: c}
+
+
+def test_helper_columns_take_free_names(spark):
+    passage, a, b = prose(60), prose(), prose()
+    rows = [(1, f"{passage}\n{a}", 1, 2, 3), (2, f"{b}\n{passage}", 4, 5, 6), (3, None, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __row int, __twin int, `_dropped` int")
+    rows = linededup.drop_recurring_lines(df).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, a, 1, 2, 3, 2, 1), (2, b, 4, 5, 6, 2, 1), (3, None, 7, 8, 9, 0, 0)]
