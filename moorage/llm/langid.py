@@ -50,6 +50,15 @@ class LanguageModel:
         return [0.0] * len(self.languages)
 
 
+def _shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The part of each language's rows that is taken: equal numbers, what rare ones leave goes on."""
+    shares, left = {}, float(most)
+    for at, language in enumerate(sorted(counts, key=lambda name: (counts[name], name))):
+        taken = min(counts[language], left / (len(counts) - at))
+        shares[language], left = taken / counts[language], left - taken
+    return shares
+
+
 def learn(
     documents: DataFrame,
     text: str = "text",
@@ -58,15 +67,21 @@ def learn(
     max_documents: int = 8_000,
     max_terms: int = 60_000,
 ) -> LanguageModel:
-    """Fit on labelled rows; the bounds are ``max_documents`` rows, picked by a hash of the
-    key, and ``max_terms`` words and as many n-grams of each size, the most frequent ones."""
+    """Fit on labelled rows. The bounds are ``max_documents`` rows in all, shared out evenly over
+    the languages so that rare ones come whole, and ``max_terms`` words and as many n-grams of
+    each size, the most frequent ones. Rows are picked by a hash of key and text.
+    """
     labelled = documents.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).dropna()
     counts = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
     total = sum(counts.values())
     if not total:
         raise ValueError("no labelled row to learn from")
-    share = min(1.0, max_documents / total)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < share * (1 << 20))
+    limits = {language: int(part * (1 << 30)) for language, part in _shares(counts, max_documents).items()}
+    limit = F.coalesce(*[F.when(F.col("_lang") == language, F.lit(n)) for language, n in limits.items()])
+    # By key and text: a key on very many rows brings no more than its share of them, equal rows one.
+    hashes = [F.xxhash64(F.lit(seed), F.col(key), F.col("_text")).alias(name) for seed, name in ((0, "_hash"), (1, "_twin"))]
+    picked = labelled.select("_text", "_lang", *hashes).where(F.pmod("_hash", F.lit(1 << 30)) < limit)
+    sample = picked.groupBy("_hash", "_twin", "_lang").agg(F.first("_text").alias("_text"))
 
     def count(batch):
         words: dict[str, Counter] = {}
