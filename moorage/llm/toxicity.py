@@ -154,8 +154,8 @@ def learn(
     max_documents: int = 24_000,
     max_terms: int = 60_000,
 ) -> ToxicityModel:
-    """Fit on labelled documents: ``max_documents`` of them, picked by a hash of the key,
-    and the ``max_terms`` terms that differ most between the labels.
+    """Fit on labelled documents: about ``max_documents`` different rows at most, picked by a hash
+    of key and text, and the ``max_terms`` terms that differ most between the labels.
 
     The term counts of each half of the sample score the other half, whose words they have
     not seen: these scores give the extreme-value constants (clean documents) and the final
@@ -163,15 +163,16 @@ def learn(
     """
     marked = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).dropna()
     marked = marked.where(F.col("_label").isin(0, 1)).groupBy("_key").agg(F.max("_label").alias("_label"))
-    held = documents.select(F.col(key), F.col(text).alias("_text")).where(F.col(key).isNotNull())
-    total = marked.count()
+    held = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    total = held.join(marked, "_key").count()
     if not total:
         raise ValueError("no labelled row to learn from")
-    limit = min(1.0, max_documents / total) * (1 << 20)
-    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 20))
-    picked = marked.where(place < limit).withColumn("_half", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(2)))
-    # At most max_documents keys and labels, but for the chance in a hash: small enough to copy.
-    sample = held.join(F.broadcast(picked), F.col(key) == F.col("_key")).select("_text", "_label", "_half")
+    limit = min(1.0, max_documents / total) * (1 << 30)
+    # By key and text: a key on very many rows brings no more than its share of them, equal rows one.
+    hashed = held.select("*", F.xxhash64("_key", "_text").alias("_hash"), F.xxhash64(F.lit(1), "_key", "_text").alias("_twin"))
+    rows = hashed.where(F.pmod("_hash", F.lit(1 << 30)) < limit).join(marked, "_key")
+    distinct = rows.groupBy("_key", "_hash", "_twin", "_label").agg(F.first("_text").alias("_text"))
+    sample = distinct.select("_text", "_label", F.pmod("_twin", F.lit(2)).alias("_half"))
 
     def count(batch):
         seen: dict[str, list[int]] = {}

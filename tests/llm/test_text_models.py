@@ -77,6 +77,35 @@ def test_languages_of_odd_rows(spark):
         langid.learn(empty(df))
 
 
+def test_rare_languages_come_whole_and_a_hot_key_brings_its_share():
+    assert langid._shares({"de": 3, "en": 40_000}, 8_000) == {"de": 1.0, "en": 7_997 / 40_000}
+    assert langid._shares({"a": 10, "b": 10}, 100) == {"a": 1.0, "b": 1.0}
+    shares = langid._shares({"a": 100, "b": 1_000, "c": 10}, 90)
+    assert sum(shares[name] * n for name, n in {"a": 100, "b": 1_000, "c": 10}.items()) == pytest.approx(90)
+
+
+def test_a_language_with_three_texts_is_found(spark):
+    rng = random.Random(31)
+    english = "the of and to in that was his with for have this from they will would there their what about".split()
+    german = "der die und das nicht ein auch werden wurde durch zwischen über schon immer wieder keine".split()
+    text = lambda words: " ".join(rng.choices(words, k=25))
+    # One key holds a third of the rows.
+    rows = [(i if i % 3 else 0, text(english), "en") for i in range(3_000)] + [(9_000 + i, text(german), "de") for i in range(3)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_documents=300)
+    asked = spark.createDataFrame([(1, text(german)), (2, text(english))], "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.predict(asked, model).orderBy("doc_id").collect()] == ["de", "en"]
+
+
+def test_a_hot_key_does_not_flood_the_toxic_sample(spark, monkeypatch):
+    rows = [(1 if i % 2 else i, f"fine words number {i}") for i in range(2_000)] + [(5, "you awful scum")] * 500
+    labels = spark.createDataFrame([(i, int(i == 5)) for i in range(2_000)], "doc_id bigint, toxic int")
+    sizes = []
+    fit = toxicity.ToxicityModel.fit_curve
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit_curve", lambda self, x, y: (sizes.append(len(x)), fit(self, x, y)))
+    toxicity.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, max_documents=300)
+    assert 150 < sizes[0] < 350
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa by definition: take the best segment, go on left and right of it."""
     best = None
