@@ -53,10 +53,10 @@ def op2_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids and decoded text of every document, as digests."""
+    """Ids and decoded text of every document, as digests; unequal: words that the library cut otherwise."""
     documents = _table(spark, folder, "documents")
     found = sentencepieces.encode_decode(documents, piece_model())
-    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "unequal")
 
 
 def held_out() -> Column:

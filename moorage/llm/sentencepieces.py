@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -17,6 +18,8 @@ from .batches import map_rows, texts_of
 SPACE = "▁"
 # Distinct words a worker remembers before it starts anew: bounds its memory.
 REMEMBERED = 300_000
+# Symbols from which a word has an agenda of its own: scanning a row grows with its square.
+LONG_WORD = 256
 _WORDS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -26,7 +29,8 @@ class PieceCodec:
     Characters start as symbols. The agenda of a word is the row of its adjacent pairs that
     join to a piece; the best score, leftmost at ties, is merged first and its two
     neighbours are scored anew, until no pair is left. Words of one length run in step as
-    one array. Characters that are no piece become their UTF-8 bytes. No piece of such a
+    one array; a long word keeps its agenda in a heap and its symbols in a linked row.
+    Characters that are no piece become their UTF-8 bytes. No piece of such a
     vocabulary holds the space mark after another character, so a text falls into words
     that never merge with each other, and equal words are encoded once.
     """
@@ -107,6 +111,41 @@ class PieceCodec:
             at = best[right]
             agenda[right, at] = self._ranks(symbols[right, at], symbols[right, at + 1])
 
+    @cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and joined piece of every pair."""
+        return dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_ids.tolist())))
+
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The agenda of one word as a heap of (rank, place), packed into a number each."""
+        pairs, size, count = self._pairs, self.size, len(symbols)
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+
+        def pair(at: int):
+            right = after[at]
+            # Symbols below 0 are characters that join with nothing.
+            if right == count or symbols[at] < 0 or symbols[right] < 0:
+                return None
+            return pairs.get(symbols[at] * size + symbols[right])
+
+        agenda = [found[0] << 40 | at for at in range(count) if (found := pair(at))]
+        heapify(agenda)
+        gone = bytearray(count)
+        while agenda:
+            entry = heappop(agenda)
+            rank, at = entry >> 40, entry & (1 << 40) - 1
+            found = None if gone[at] else pair(at)
+            if found is None or found[0] != rank:
+                continue  # one of its symbols has been merged since
+            right = after[at]
+            symbols[at], gone[right], after[at] = found[1], 1, after[right]
+            if after[right] < count:
+                before[after[right]] = at
+            for place in (before[at], at):
+                if place >= 0 and (found := pair(place)):
+                    heappush(agenda, found[0] << 40 | place)
+        return [symbol for symbol, merged in zip(symbols, gone) if not merged]
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
         out: list = [[] for _ in words]
@@ -120,8 +159,11 @@ class PieceCodec:
         sizes, begins = np.unique(lengths[order], return_index=True)
         ends = np.append(begins[1:], len(order))
         for size, begin, end in zip(sizes.tolist(), begins.tolist(), ends.tolist()):
-            if size:
-                rows = order[begin:end]
+            rows = order[begin:end]
+            if size >= LONG_WORD:
+                for row in rows.tolist():
+                    out[row] = self._merge_long(symbols[starts[row] : starts[row] + size].tolist())
+            elif size:
                 self._merge_in_step(symbols[starts[rows][:, None] + np.arange(size)], rows, out)
         odd = np.searchsorted(starts, np.flatnonzero(symbols < 0), side="right") - 1
         for row in np.unique(odd).tolist():
