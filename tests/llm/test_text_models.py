@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import time
+from collections import Counter
 
 import pytest
 from cases import empty, odd_documents
@@ -25,6 +28,22 @@ def test_pieces_equal_the_library():
     assert [codec.decode(ids) for ids in theirs] == codec.library.decode(theirs, num_threads=1)
 
 
+def test_long_words_take_the_same_pieces_in_short_time(monkeypatch):
+    codec = sentencepieces.PieceCodec(queries.piece_model(), check=False)
+    rng = random.Random(9)
+    syllables = ["a", "b", "the", "ing", "é", "日本", "\x00", "🙂", "er", "qu", "7"]
+    words = ["".join(rng.choices(syllables, k=k)) for k in (1, 2, 3, 300, 700)] + ["a" * 999, "ab" * 400, "日" * 300]
+    theirs = codec.library.encode(words, num_threads=1)
+    monkeypatch.setattr(sentencepieces, "LONG_WORD", 1)
+    assert [codec.encode(w) for w in words] == theirs
+    monkeypatch.undo()
+    long = "".join(rng.choices("abcdefghij", k=1 << 20))
+    began = time.process_time()
+    found = codec.encode(long)
+    assert time.process_time() - began < 30
+    assert found == codec.library.encode(long)
+
+
 def test_pieces_of_whole_table(spark, tables):
     found = queries.op3_sentencepiece(spark, tables)
     import hashlib
@@ -84,6 +103,49 @@ def test_rare_languages_come_whole_and_a_hot_key_brings_its_share():
     assert sum(shares[name] * n for name, n in {"a": 100, "b": 1_000, "c": 10}.items()) == pytest.approx(90)
 
 
+def test_scores_equal_the_model_by_definition(spark):
+    rng = random.Random(32)
+    words = {"en": ["the", "house", "stands", "water"], "de": ["das", "haus", "steht", "wasser"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=12)), lang) for i, lang in enumerate(["en"] * 30 + ["de"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    asked = ["house water", "das unknown Wasser", "xyz", "stehts the"]
+    terms = {lang: [Counter() for _ in range(langid.LONGEST_GRAM + 1)] for lang in words}
+    for _, text, lang in rows:
+        for word in text.split():
+            terms[lang][0][word] += 1
+            for size in range(1, langid.LONGEST_GRAM + 1):
+                marked = f"<{word}>"
+                terms[lang][size].update(marked[i : i + size] for i in range(len(marked) - size + 1))
+
+    def log(lang, size, term):
+        both = sum(terms[x][size][term] for x in words)
+        if not both:
+            return None
+        every = sum(terms[x][size].total() for x in words)
+        return math.log((terms[lang][size][term] + both / every) / (terms[lang][size].total() + 1))
+
+    def word_log(lang, word):
+        if (known := log(lang, 0, word)) is not None:
+            return known
+        for size in range(langid.LONGEST_GRAM, 0, -1):
+            marked = f"<{word}>"
+            grams = [marked[i : i + size] for i in range(len(marked) - size + 1)]
+            known = [value for gram in grams if (value := log(lang, size, gram)) is not None]
+            if known:
+                return sum(known) / len(known)
+        return 0.0
+
+    found = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), langid.learn(df))
+    for r in found.collect():
+        logs = {
+            lang: math.log(n / 50) + sum(word_log(lang, w) for w in asked[r.doc_id].lower().split())
+            for lang, n in (("en", 30), ("de", 20))
+        }
+        best = max(logs, key=logs.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+
+
 def test_a_language_with_three_texts_is_found(spark):
     rng = random.Random(31)
     english = "the of and to in that was his with for have this from they will would there their what about".split()
