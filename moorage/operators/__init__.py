@@ -25,6 +25,7 @@ from .inventory import (
     select_by_labels,
     service_inventory,
 )
+from .paging import follow_pages, page_chains
 from .readiness import ready_since
 from .reconcile import (
     expected_resources,
@@ -58,6 +59,7 @@ __all__ = [
     "error_counts",
     "expected_resources",
     "fingerprint_rows",
+    "follow_pages",
     "group_resource_ids",
     "high_marks",
     "ini_documents",
@@ -74,6 +76,7 @@ __all__ = [
     "orphaned_resources",
     "overlay_config",
     "package_index",
+    "page_chains",
     "parse_resource_names",
     "peer_lists",
     "project_addresses",

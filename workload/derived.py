@@ -125,6 +125,34 @@ DERIVED: dict[str, str] = {
                 'DISCOVER_RDS_POSTGRESQL' else 'DISCOVER_RDS_MYSQL' end as engine
         from supplier
     """,
+    "listing_answers": """
+        select
+            listing,
+            ord,
+            case when place > 1 then concat('t', ord) when listing <> 49 then '' end as token,
+            case when listing % 10 = 4 and next_ord % 97 = 0 then concat('x', next_ord)
+                when next_ord is not null then concat('t', next_ord)
+                when listing % 10 = 3 then concat('t', last_ord) end as next_token
+        from (
+            select
+                o_custkey % 50 as listing,
+                o_orderkey as ord,
+                row_number() over (partition by o_custkey % 50 order by o_orderkey % 7, o_orderkey) as place,
+                lag(o_orderkey) over (partition by o_custkey % 50 order by o_orderkey % 7, o_orderkey)
+                    as last_ord,
+                lead(o_orderkey) over (partition by o_custkey % 50 order by o_orderkey % 7, o_orderkey)
+                    as next_ord
+            from orders
+        ) ordered
+    """,
+    "listing_pages": """
+        select listing, ord, case when listing = 49 and token is null then 'lost' else token end as token,
+            next_token
+        from listing_answers
+        union all select listing, ord + 10000000000 as ord, token, null as next_token
+        from listing_answers
+        where ord % 13 = 0 and token <> ''
+    """,
     "lookups": """
         select
             c_custkey as request_id,
@@ -310,6 +338,11 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+DERIVED["listing_pages"] = DERIVED["listing_pages"].replace(
+    "from listing_answers", f"from ({DERIVED['listing_answers']}) answers"
+)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return reader.parquet(f"{folder}/{name}.parquet")

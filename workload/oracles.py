@@ -499,6 +499,49 @@ _add(
     "selectors",
     "machines",
 )
+# One step of a chain after the other, as many as its listing has answers.
+_FOLLOWED = """
+    select listing, token, next_token, ord, 0::bigint as page_no from answered where token = ''
+    union all
+    select a.listing, a.token, a.next_token, a.ord, f.page_no + 1
+    from followed f join answered a on a.listing = f.listing and a.token = f.next_token
+    where f.page_no < (select max(n) from (select count(*) as n from answered group by listing))
+"""
+_PAGE_VIEWS = {
+    "answered": """
+        select listing, coalesce(token, '') as token, arg_min({'n': next_token}, ord).n as next_token, min(ord) as ord
+        from listing_pages group by 1, 2
+    """,
+    "followed": _FOLLOWED,
+    "places": "select listing, token, ord, min(page_no) as page_no from followed group by 1, 2, 3",
+}
+
+
+def _add_paged(name: str, body: str) -> None:
+    _add(name, body, "listing_pages", **_PAGE_VIEWS)
+    _ORACLES[name] = _ORACLES[name].replace("with ", "with recursive ", 1)
+
+
+_add_paged(
+    "paged_instances",
+    """
+    select listing, page_no, 'db-' || ord || '-' || i as instance_id, 3306 + i as port
+    from (select listing, page_no, ord, unnest(range(ord % 3)) as i from places)
+    """,
+)
+_add_paged(
+    "page_chains",
+    """
+    select a.listing, count(p.page_no) as pages, count(*) - count(p.page_no) as unread,
+        case when count(p.page_no) = 0 then 'headless'
+            when bool_or(p.page_no is not null and a.next_token is null) then 'complete'
+            when bool_or(p.page_no is not null and b.token is null) then 'broken'
+            else 'cyclic' end as status
+    from answered a left join places p on a.listing = p.listing and a.token = p.token
+        left join answered b on a.listing = b.listing and a.next_token = b.token
+    group by a.listing
+    """,
+)
 _add(
     "labels_to_tags",
     """

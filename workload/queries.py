@@ -274,6 +274,32 @@ def discovered_instances(spark: SparkSession, folder: str) -> DataFrame:
     return m.discovered_instances(_discovery(spark, folder), keep=["ord"])
 
 
+def _listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Response pages of none, one or two instances each, behind continuation tokens."""
+    each = F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (F.col("ord") % 3).cast("int"))
+
+    def instance(at: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("db-"), "ord", F.lit("-"), at).alias("instance_id"), (at + 3306).alias("port")
+        )
+
+    body = F.to_json(F.struct(F.transform(each, instance).alias("rds_instances")))
+    return derived(spark, folder, "listing_pages").withColumn("json", body)
+
+
+@registered
+def paged_instances(spark: SparkSession, folder: str) -> DataFrame:
+    """The instances of whole listings, page after page."""
+    pages = m.follow_pages(_listing_pages(spark, folder), keep=["json"])
+    found = m.discovered_instances(pages, keep=["listing", "page_no"])
+    return found.select("listing", "page_no", "instance_id", "port")
+
+
+@registered
+def page_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return m.page_chains(_listing_pages(spark, folder))
+
+
 @registered
 def malformed_documents(spark: SparkSession, folder: str) -> DataFrame:
     from moorage.operators.inventory import DISCOVERY_SCHEMA
