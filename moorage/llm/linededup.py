@@ -47,18 +47,25 @@ def _row_numbers(text: str) -> list[Column]:
 
 
 def _folded(text: Column) -> Column:
-    """Lines with single spaces between words and FIELD for words with a digit.
+    """(folded, size) of each line: single spaces between words, FIELD for words with a digit.
 
     A short search goes first: few texts have other white space, few lines a digit.
     """
-    spaced = F.regexp_replace(text, f"[{_SPACE}]+", " ")
-    lines = F.split(F.when(text.rlike(r"[\t\x0B\f\r]|  "), spaced).otherwise(text), "\n")
 
     def fold(line: Column) -> Column:
         fields = F.regexp_replace(line, "(^| )[^ 0-9]*+[0-9][^ ]*", f"$1{FIELD}")
         return F.trim(F.when(line.rlike("[0-9]"), fields).otherwise(line))
 
-    return F.transform(lines, fold)
+    def plain(line: Column) -> Column:
+        return F.struct(fold(line).alias("folded"), F.length(line).alias("size"))
+
+    def spaced(line: Column) -> Column:
+        single = F.regexp_replace(line, f"[{_SPACE}]+", " ")
+        return F.struct(fold(single).alias("folded"), F.length(line).alias("size"))
+
+    lines = F.split(text, "\n")
+    odd = text.rlike(r"[\t\x0B\f\r]|  ")
+    return F.when(odd, F.transform(lines, spaced)).otherwise(F.transform(lines, plain))
 
 
 def _words(line: Column) -> Column:
@@ -88,10 +95,9 @@ def _written(df: DataFrame) -> DataFrame:
 def _lines(documents: DataFrame, text: str, min_words: int) -> DataFrame:
     """A row for every line that counts; each text is folded here, once."""
     value = F.col(text)
-    sizes = F.transform(F.split(value, "\n"), lambda line: F.length(line))
-    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    total = F.length(F.replace(value, F.lit("\n"), F.lit(""))).cast("bigint")
     parsed = documents.where(value.isNotNull()).select(
-        *_row_numbers(text), total.alias("total"), F.arrays_zip(_folded(value).alias("folded"), sizes.alias("size")).alias("_zip")
+        *_row_numbers(text), total.alias("total"), _folded(value).alias("_zip")
     )
     folded = F.col("both.folded")
     return (
