@@ -63,3 +63,23 @@ def test_only_pairs_meet(spark, fleet):
     asked = spark.createDataFrame([(*row, 1) for row in fleet[1]], SELECTORS)
     plan = plan_of(m.match_selectors(df, asked, owner="owner"))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_equal_selectors_and_machines_meet_in_blocks(spark, fleet, monkeypatch):
+    """What meets grows with the distinct label sets, not with the machines times the selectors."""
+    from moorage.operators import selectors
+
+    tables, write = {}, selectors.written
+    monkeypatch.setattr(selectors, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    machines = [(i, {"site": "a", "zone": f"z{i % 3}"}) for i in range(1200)] + [(7, {"site": "a", "zone": "z1"})]
+    wishes = [(i, {"zone": f"z{i % 4}"}, None) for i in range(40)]
+    assert found(spark, machines, wishes) == brute(machines, wishes)
+    assert tables["machine-blocks"].count() == 3 and tables["selector-blocks"].count() == 3
+
+    tables.clear()
+    monkeypatch.setattr(selectors, "_BLOCK_IDS", 7)
+    monkeypatch.setattr(selectors, "_TASK_PAIRS", 100)
+    assert found(spark, machines, wishes) == brute(machines, wishes)
+    assert tables["machine-blocks"].count() == 3 * 58 and max(r._shares for r in tables["pair-shares"].collect()) > 10
+    tables.clear()
+    assert found(spark, *fleet) == brute(*fleet)
