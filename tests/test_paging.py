@@ -84,3 +84,47 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     found = m.follow_pages(frame(spark, rows))
     assert found.count() == 300 and tables.count("page-jumps") <= 11
     assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+
+
+def test_chains_over_many_slices_equal_following(spark, monkeypatch):
+    """Paths are cut by slices, in every shape of chain."""
+    from moorage.operators import paging
+
+    monkeypatch.setattr(paging, "_SLICE_ROWS", 6)
+    rows = [row for part in CASES.values() for row in part]
+    pages, (found, chains) = frame(spark, rows), brute(rows)
+    assert rows_of(m.follow_pages(pages, keep=["body"])) == found
+    assert rows_of(m.page_chains(pages)) == chains
+
+
+def test_random_links_equal_following(spark, monkeypatch):
+    """Any answer may lead to any other: side chains, cycles, ends in the middle of other chains."""
+    from moorage.operators import paging
+
+    monkeypatch.setattr(paging, "_SLICE_ROWS", 40)
+    rng = random.Random(3)
+    names = [None, *(f"t{i}" for i in range(30))]
+    rows = [(f"l{at}", 40 * at + place, name, rng.choice([*names, "none"]), f"b{place}")
+            for at in range(12) for place, name in enumerate(rng.sample(names, len(names)))]
+    pages, (found, chains) = frame(spark, rows), brute(rows)
+    assert rows_of(m.follow_pages(pages, keep=["body"])) == found
+    assert rows_of(m.page_chains(pages)) == chains
+
+
+def test_only_what_leads_out_of_a_slice_is_followed_in_rounds(spark, monkeypatch):
+    """The rows of all rounds together are few beside the pages, not a multiple of them."""
+    from moorage.operators import paging
+
+    moved, write = [], paging.written
+
+    def counting(df, name):
+        made = write(df, name)
+        if name in ("page-jumps", "pages-known"):
+            moved.append(made.count())
+        return made
+
+    monkeypatch.setattr(paging, "written", counting)
+    monkeypatch.setattr(paging, "_SLICE_ROWS", 100, raising=False)
+    rows = [("long", at, f"t{at}" if at else None, f"t{at + 1}" if at < 599 else None, "x") for at in range(600)]
+    assert rows_of(m.page_chains(frame(spark, rows))) == [("long", 600, 0, "complete")]
+    assert sum(moved) < 200
