@@ -148,7 +148,8 @@ def overlay_config(
     ``layers`` are (name, rows) from the base up; the last layer wins per key. A key keeps the
     place where it first appeared, (layer, ord), and the comments it has there. Rows without
     ``ord``, ``valueless`` or comments may leave them out.
-    Within one layer the later row wins. One shuffle, combined map-side.
+    Within one layer the later row wins. One shuffle, on the key, before anything is sorted: few
+    bytes of stored texts make very many rows, and a task that reads them should not hold them.
     """
     every: DataFrame | None = None
     for number, (name, rows) in enumerate(layers):
@@ -170,7 +171,8 @@ def overlay_config(
         raise ValueError("at least one layer is needed")
     place = F.struct("layer", "ord", "value", "comment", "section_comment")
     return (
-        every.groupBy(doc_id, "section", "key")
+        every.repartition(doc_id, "section", "key")
+        .groupBy(doc_id, "section", "key")
         .agg(
             F.max_by(
                 F.struct("value", "source", "valueless"), F.struct("layer", "ord", "value")
@@ -231,11 +233,15 @@ def ini_documents(
         *[_or_null(rows, column) for column in ("comment", "section_comment")],
     )
     first = F.struct("place", "comment", "section_comment")
-    once = (
-        lines.groupBy(doc_id, "section", "key")
-        .agg(F.min(first).alias("first"), F.max_by("line", "place").alias("line"))
-        .select(doc_id, "section", "first.*", "line")
-    )
+
+    def once(dealt: DataFrame) -> DataFrame:
+        """A row per key, of rows dealt so that a key is in one task: nothing is sorted before that."""
+        return (
+            dealt.groupBy(doc_id, "section", "key")
+            .agg(F.min(first).alias("first"), F.max_by("line", "place").alias("line"))
+            .select(doc_id, "section", "first.*", "line")
+        )
+
     head = F.min(F.struct("place", "section_comment")).alias("head")
     named = F.struct(F.col("section").isNotNull().alias("named"), F.col("head.place").alias("at"))
     entry = F.concat(F.coalesce(F.concat("comment", F.lit("\n")), F.lit("")), "line")
@@ -243,18 +249,19 @@ def ini_documents(
     # No document has more keys than rows.
     if heavy_groups(rows.select(doc_id), [doc_id], part_keys).isEmpty():
         bodies = (
-            # Both aggregations below are clustered by this one shuffle.
-            once.withColumn("part", zero)
-            .repartition(doc_id, "part")
+            # All aggregations are clustered by this one shuffle.
+            once(lines.repartition(doc_id))
+            .withColumn("part", zero)
             .groupBy(doc_id, "part", "section")
             .agg(entries, head)
         )
     else:
-        sections = once.groupBy(
+        keys = once(lines.repartition(doc_id, "section", "key"))
+        sections = keys.groupBy(
             F.col(doc_id).alias("_doc"), F.col("section").alias("_section")
         ).agg(head)
         same = F.col(doc_id).eqNullSafe(F.col("_doc")) & F.col("section").eqNullSafe(F.col("_section"))
-        placed = once.join(sections, same).withColumn("_head", named).drop("_doc", "_section")
+        placed = keys.join(sections, same).withColumn("_head", named).drop("_doc", "_section")
         parts = numbered(placed, [doc_id], ["_head", "place"], part_keys).withColumn(
             "part", F.expr(f"(pos - 1) div {part_keys}")
         )

@@ -5,7 +5,7 @@ import random
 import json
 
 import pytest
-from helpers import rows_of
+from helpers import plan_of, rows_of
 from pyspark.sql import functions as F
 
 import moorage as m
@@ -192,3 +192,15 @@ def test_compact_json_leaves_zero_values_out(spark):
          "sub": {"a": "v", "b": 3}, "items": [{"p": "y"}], "x": 1.5},
         {"sub": {}},
     ]
+
+
+def test_nothing_is_sorted_where_texts_are_read(spark):
+    """A task that reads few bytes of texts makes very many rows: they are dealt out before any sort."""
+    docs = spark.createDataFrame([(1, "[s]\na=1\nb=2\n"), (2, "[s]\na=1\n")], "doc_id int, doc string")
+    rows = m.ini_rows(docs)
+    for made in (m.overlay_config([("base", rows)]), m.ini_documents(rows), m.ini_documents(rows, part_keys=1),
+                 m.ini_documents(m.overlay_config([("base", rows)]))):
+        plan = plan_of(made)
+        assert "Exchange" in plan
+        # What stands below the last exchange of a plan reads the texts.
+        assert "Sort" not in plan[plan.rindex("Exchange"):]
