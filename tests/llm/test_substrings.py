@@ -34,6 +34,31 @@ def test_repeated_windows_equal_counting():
         assert [found.tolist() for found in suffixes.repeated_windows(pieces, weights, length)] == want
 
 
+def test_long_runs_are_compared_in_few_steps(monkeypatch):
+    """A run of one char has one prefix as long as itself: not a step for every eight chars."""
+    steps = []
+    count = np.bitwise_count
+    monkeypatch.setattr(suffixes.np, "bitwise_count", lambda x: steps.append(len(x)) or count(x))
+    found = suffixes.repeated_windows([b"z" * 40_000, b"y" * 400 + b"x"], [1, 1], 400)
+    assert [len(f) for f in found] == [39_601, 0]
+    assert len(steps) < 100
+
+
+def test_prefixes_from_the_least_length_on_are_exact():
+    rng = random.Random(6)
+    for _ in range(200):
+        pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 8))]
+        least = rng.choice([1, 3, 6])
+        text = np.array([c for p in pieces for c in [*(b + 1 for b in p), 0]], np.uint16)
+        room = np.array([len(p) - k for p in pieces for k in range(len(p) + 1)], np.int32)
+        array = suffixes.suffix_array(text)
+        found = suffixes.common_prefixes(text, array, room, least)
+        for b, a in zip(array[:-1].tolist(), array[1:].tolist()):
+            most = min(room[a], room[b])
+            want = next((k for k in range(most) if text[a + k] != text[b + k]), most)
+            assert found[a] == want if want >= least else found[a] < least
+
+
 def brute(rows, length):
     texts = [(key, (text or "").encode()) for key, text in rows]
     counts = Counter(t[k : k + length] for _, t in texts for k in range(len(t) - length + 1))
